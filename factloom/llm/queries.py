@@ -5,12 +5,16 @@ from __future__ import annotations
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import OP7_SQL, op7_decontamination
 from .neardup import OP9_SQL, op9_minhash_near_dedup
+from .packing import op2_best_fit_packing
 from .quality import op3_quality_rules
+from .secrets import op10_secret_scan
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}
