@@ -8,10 +8,12 @@ from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .packing import op2_best_fit_packing
 from .quality import op3_quality_rules
 from .secrets import op10_secret_scan
+from .tokenids import op4_token_ids
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_ids": op4_token_ids,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
