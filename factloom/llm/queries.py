@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import OP7_SQL, op7_decontamination
+from .licenses import op1_license_scan
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .packing import op2_best_fit_packing
 from .quality import op3_quality_rules
@@ -11,6 +12,7 @@ from .secrets import op10_secret_scan
 from .tokenids import op4_token_ids
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
