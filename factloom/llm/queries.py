@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import OP7_SQL, op7_decontamination
+from .hmm import op6_lm_scoring
 from .licenses import op1_license_scan
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .packing import op2_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_ids": op4_token_ids,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
