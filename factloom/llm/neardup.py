@@ -2,9 +2,11 @@
 
 A document's set holds the distinct runs of ``shingle`` words (A-Z lower-cased, split at ASCII blanks), as 64-bit hashes; a text of
 fewer words has its whole sequence as one. Documents with equal sets form a class, of which only the smallest doc_id goes on.
-MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. The same samples are
-folded into an odd sketch: 256 parity bits, whose XOR's population count estimates high similarities and drops candidates that
-are far below the threshold (a pair at 0.8 passes with a margin of four deviations). What remains is confirmed on the full sets.
+MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. One-permutation
+samples (the smallest hash of each of 2048 ranges) are folded into an odd sketch: 2048 parity bits, whose XOR's population count
+estimates high similarities closely. For small sets, where every hash is a sample, the count bounds the difference of the sets
+from below, so the filter loses nothing; for large ones a pair at 0.8 passes with a margin of five deviations. What remains is
+confirmed on the full sets.
 
 Buckets do not emit all their pairs. Two rounds compare the members of a bucket with one pivot each (its smallest, then its
 largest id). Only in buckets that still hold several components are pairs across components compared, so no link is lost that
@@ -17,8 +19,6 @@ stays; rows of one doc_id are one document and stay or go together; ties cannot
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 4
-SKETCH_BITS = 256
+SKETCH_BITS = 2048
 #: Shingles that are hashed for all samples at a time.
 _CHUNK = 4096
 
@@ -75,21 +75,29 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(found: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples: every sample flips one bit."""
-    at = _mixed(found + np.arange(1, len(found) + 1, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a sorted set's one-permutation samples: every sample flips one bit."""
+    ranges = hashes >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    first = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+    at = _mixed(hashes[first]) % np.uint64(SKETCH_BITS)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def sketch_limit(percent: int = PERCENT, deviations: float = 4.2) -> int:
-    """The largest population count of the XOR of two sketches that is still a candidate."""
-    k, share = BANDS * ROWS, 1 - percent / 100
-    flips = 2 * k * share
-    decay = math.exp(-2 * flips / SKETCH_BITS)
-    mean = SKETCH_BITS / 2 * (1 - decay)
-    spread = math.hypot(math.sqrt(SKETCH_BITS / 4 * (1 - decay**2)), 2 * decay * math.sqrt(k * share * (1 - share)))
-    return math.ceil(mean + deviations * spread)
+def _sketches_near(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
+    """Whether sizes and odd sketches allow the similarity.
+
+    At the threshold t, sets of s hashes together have a union of s / (1 + t); samples of a share 1 - t of its non-empty ranges
+    differ, and each difference flips two bits at most, or one for each hash in which small sets differ.
+    """
+    t, both = percent / 100, F.col(n_a) + F.col(n_b)
+    union = both / (1 + t)
+    ranges = SKETCH_BITS * (1 - F.exp(-union / SKETCH_BITS))
+    flips = F.least((1 - t) * union, 2 * (1 - t) * ranges + 10 * F.sqrt(t * (1 - t) * ranges))
+    decay = F.exp(-2 * flips / SKETCH_BITS)
+    limit = F.least(flips, SKETCH_BITS / 2 * (1 - decay) + 5 * F.sqrt(SKETCH_BITS / 4 * (1 - decay * decay)))
+    apart = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(s_a)[0].bitwiseXOR(F.col(s_b)[0])))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart <= limit)
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -107,7 +115,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     own = samples(found)
                     all_bands.append(bands(own))
-                    sketches.append(odd_sketch(own))
+                    sketches.append(odd_sketch(found))
                 else:
                     keys.append(None), all_bands.append([]), sketches.append([])
             yield pa.RecordBatch.from_arrays(
@@ -122,9 +130,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _pairs_near(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Candidates whose set sizes and odd sketches allow the similarity. heads: (rep, n, sketch)."""
     a, b = heads.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), heads.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("s_a")[0].bitwiseXOR(F.col("s_b")[0])))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(a, "a").join(b, "b").filter(sized & (apart <= sketch_limit(percent))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(_sketches_near("n_a", "n_b", "s_a", "s_b", percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -176,8 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     open_ = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
     rest = cut(labelled.join(open_, "band", "left_semi").join(heads, "rep"), "rest")
     x, y = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "sketch")]), rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "sketch")])
-    apart = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col("sketch_x")[0].bitwiseXOR(F.col("sketch_y")[0])))
-    near = (F.col("label_x") < F.col("label_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (apart <= sketch_limit(percent))
+    near = (F.col("label_x") < F.col("label_y")) & _sketches_near("n_x", "n_y", "sketch_x", "sketch_y", percent)
     across = x.join(y, (x["band"] == y["band"]) & near).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
     more = _confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, shingle, percent)
     roots = connected_components(links.union(more))
