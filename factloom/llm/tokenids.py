@@ -30,7 +30,9 @@ END_ID = 1
 SHARD_IDS = 1 << 21
 ROUNDS, ROUND_RULES, MIN_COUNT = 8, 2000, 16
 #: Distinct words that a worker keeps encoded.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: Words that are given to the tokenizer in one text, and told apart by their offsets.
+_JOINED = 256
 _SHARD = "part int, seq int, first_new int, n_docs long, n_ids long, doc_ids array<{kind}>, n_tokens array<long>, symbol_ends array<long>, rules binary, lengths binary, sequence binary"
 
 
@@ -61,9 +63,10 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, limit: int)
         sorted_codes = np.sort(np.array(chosen, wide))
         rank = np.empty(len(chosen), np.int64)
         rank[np.searchsorted(sorted_codes, np.array(chosen, wide))] = np.arange(len(chosen))
-        lefts = np.zeros(first_new + limit, bool)
+        lefts, rights = np.zeros((2, first_new + limit), bool)
         lefts[[v >> bits for v in chosen]] = True
-        at = np.flatnonzero(lefts[seq[:-1]] & ~last[:-1])
+        rights[[v & ((1 << bits) - 1) for v in chosen]] = True
+        at = np.flatnonzero(lefts[seq[:-1]] & rights[seq[1:]] & ~last[:-1])
         near = np.minimum(np.searchsorted(sorted_codes, code[at]), len(chosen) - 1)
         hit = sorted_codes[near] == code[at]
         at, near = at[hit], near[hit]
@@ -127,16 +130,29 @@ def encode_texts(texts: list[bytes | None], tokenizer_file: str) -> list[np.ndar
     """Ids of each text with the end id, as unsigned 32-bit numbers."""
     own, _, cache = _word_ids(tokenizer_file)
     split = [t.lower().split() if t else [] for t in texts]
-    fresh = sorted(set().union(*split).difference(cache))
+    found = [list(map(cache.get, words)) for words in split]
+    fresh = {w for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
     if len(cache) + len(fresh) > CACHE_WORDS:
-        cache.clear()
-        fresh = sorted(set().union(*split))
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at : at + 4096]
-        for word, found in zip(part, own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            cache[word] = np.array(found.ids, np.uint32).tobytes()
-    end = np.array([END_ID], np.uint32).tobytes()
-    return [np.frombuffer(b"".join(map(cache.__getitem__, words)) + end, np.uint32) for words in split]
+        cache.clear()  # what has been found stays in ``found``
+    kind = np.uint16 if own.get_vocab_size() < 1 << 16 else np.uint32
+    fresh = sorted(fresh)
+    for at in range(0, len(fresh), _JOINED):
+        _remember(fresh[at : at + _JOINED], own, kind, cache)
+    end = np.array([END_ID], kind).tobytes()
+    whole = ([x if x is not None else cache[w] for w, x in zip(words, got)] if None in got else got for words, got in zip(split, found))
+    return [np.frombuffer(b"".join(got) + end, kind).astype(np.uint32) for got in whole]
+
+
+def _remember(words: list[bytes], own, kind, cache: dict[bytes, bytes]) -> None:
+    """Encode distinct words, joined by blanks, and keep each one's ids."""
+    plain = [w.decode() for w in words]
+    found = own.encode(" ".join(plain), add_special_tokens=False)
+    ids = np.array(found.ids, kind).tobytes()
+    starts = np.cumsum([0, *(len(w) + 1 for w in plain)])
+    cuts = np.searchsorted([o[0] for o in found.offsets], starts).tolist()
+    size = np.dtype(kind).itemsize
+    for word, a, b in zip(words, cuts, cuts[1:]):
+        cache[word] = ids[size * a : size * b]
 
 
 def shard_row(doc_ids: list, ids: list[np.ndarray], first_new: int) -> dict:
