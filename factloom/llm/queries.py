@@ -6,6 +6,7 @@ from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import OP7_SQL, op7_decontamination
 from .hmm import op6_lm_scoring
 from .licenses import op1_license_scan
+from .linededup import OP8_SQL, op8_line_dedup
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .packing import op2_best_fit_packing
 from .quality import op3_quality_rules
@@ -20,7 +21,8 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_decontamination": op7_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL = {"op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}
+SQL = {"op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
