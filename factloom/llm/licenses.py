@@ -9,7 +9,8 @@ bands retrieve it with probability 1 - 0.81^48 > 0.9999. What is retrieved is ve
 shingles in the window, compared as texts.
 
 A band agrees only if its minimum is the hash of a shingle that both sides have. Texts without any shingle of any template can
-therefore have no collision, and are passed over before windows are made; this loses nothing.
+therefore have no collision, and are passed over before windows are made; so are, still earlier, texts without the longest word
+of any template's shingle. Neither loses anything.
 
 Templates are a bounded parameter (``MAX_SHINGLES`` in all, checked); they are sent as literals. Cases: null or short texts have
 no shingles and no match; templates of fewer than five words are refused, as are null ones; repeated rows are scanned one by one;
@@ -52,8 +53,8 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words."""
-    return F.filter(F.split(F.lower(text), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"), lambda w: w != "")
+    """Lower-cased words; separators at the ends leave an empty word there."""
+    return F.split(F.lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
 
 def _shingle_hashes(own: Column) -> Column:
@@ -72,6 +73,23 @@ def _band_keys(hashes: str) -> Column:
     return F.expr(f"transform(sequence(1, {BANDS}), b -> xxhash64(b, array_min(transform({hashes}, h -> xxhash64(h, b)))))")
 
 
+def _windows(sizes: list[int], known: Column) -> Column:
+    """(m, at, own, part) of the windows around known shingles of the words ``w``: start, shingle hashes and words of each.
+
+    A shingle at place i is in the windows that start at the last two multiples of ``m``. Windows are cut inside the expression, so
+    that rows never repeat a whole text.
+    """
+
+    def around(x, m):
+        hits = F.filter(F.sequence(F.lit(0), F.size(x["sh"]) - 1), lambda i: F.array_contains(known, F.get(x["sh"], i)))
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(i - i % m, i - i % m - m))))
+        cut = lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.slice(x["sh"], at + 1, F.lit(2 * m)).alias("own"), F.slice(x["w"], at + 1, F.lit(2 * m + SHINGLE - 1)).alias("part"))
+        return F.transform(F.filter(starts, lambda at: at >= 0), cut)
+
+    bound = F.array(F.struct(F.col("w").alias("w"), _shingle_hashes(F.col("w")).alias("sh")))
+    return F.flatten(F.transform(bound, lambda x: F.flatten(F.array(*[around(x, m) for m in sizes]))))
+
+
 def _shingle_texts(word_column: str, start: str, n: str) -> Column:
     """The distinct shingles, as texts, of ``n`` shingles from place ``start``."""
     return F.expr(f"array_distinct(transform(sequence(0, {n} - 1), i -> array_join(slice({word_column}, {start} + i + 1, {SHINGLE}), ' ')))")
@@ -83,8 +101,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, percent:
     first_word and last_word bound the matching windows (words from 0), containment is that of the best window.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    own = templates.select("template_id", "license", words(F.col("text")).alias("w")).select("*", _shingle_hashes(F.col("w")).alias("sh")).filter(F.size("sh") > 0).withColumn("m", F.pow(F.lit(2), F.ceil(F.log2(F.size("sh")))).cast("int"))
-    rows = own.select("m", "sh").limit(MAX_SHINGLES + 1).collect()
+    own = templates.select("template_id", "license", F.filter(words(F.col("text")), lambda w: w != "").alias("w")).select("*", _shingle_hashes(F.col("w")).alias("sh")).filter(F.size("sh") > 0).withColumn("m", F.pow(F.lit(2), F.ceil(F.log2(F.size("sh")))).cast("int"))
+    rows = own.select("m", "sh", "w").limit(MAX_SHINGLES + 1).collect()
     wanted = sorted({h for r in rows for h in r["sh"]})
     if len(wanted) > MAX_SHINGLES or len(rows) < templates.count():
         raise ValueError(f"templates need five words each and at most {MAX_SHINGLES} shingles in all")
@@ -92,13 +110,12 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, percent:
     if not rows:
         sizes, wanted = [1], [0]
     known = F.array(*[F.lit(h) for h in wanted])
-    likely = docs.filter(F.arrays_overlap(_shingle_hashes(words(F.col("text"))), known)).select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", _shingle_hashes(F.col("w")).alias("sh"), F.array(*[F.lit(m) for m in sizes]).alias("ms"))
-    placed = likely.select("doc_id", "w", "sh", F.explode("ms").alias("m")).select("*", F.explode(F.expr("sequence(0, greatest(size(sh) - m, 1) - 1, m)")).alias("at"))
-    windows = placed.select("doc_id", "m", "at", F.expr("slice(sh, at + 1, 2 * m)").alias("own"), "w").filter(F.arrays_overlap("own", known)).select(
-        "doc_id", "m", "at", F.size("own").alias("n"), F.expr(f"slice(w, at + 1, size(own) + {SHINGLE} - 1)").alias("part"), _band_keys("own").alias("keys")
-    )
+    anchors = sorted({max(r["w"][i : i + SHINGLE], key=lambda w: (len(w), w)) for r in rows for i in range(len(r["sh"]))}) or [""]
+    anchored = docs.filter(F.arrays_overlap(words(F.col("text")), F.array(*[F.lit(w) for w in anchors])))
+    likely = anchored.filter(F.arrays_overlap(_shingle_hashes(words(F.col("text"))), known)).select("doc_id", words(F.col("text")).alias("w"))
+    windows = likely.select("doc_id", F.inline(_windows(sizes, known))).select("doc_id", "m", "at", F.size("own").alias("n"), "part", _band_keys("own").alias("keys"))
     banded = own.select("template_id", "license", "m", _shingle_texts("w", "0", "size(sh)").alias("wanted"), F.explode(_band_keys("sh")).alias("key"))
-    met = windows.select("doc_id", "m", "at", "n", "part", F.explode("keys").alias("key")).join(F.broadcast(banded), ["m", "key"]).dropDuplicates(["doc_id", "at", "template_id", "part"])
+    met = windows.select("doc_id", "m", "at", "n", "part", F.explode("keys").alias("key")).join(F.broadcast(banded), ["m", "key"]).withColumn("same", F.xxhash64("part")).dropDuplicates(["doc_id", "at", "template_id", "same"])
     share = F.size(F.array_intersect("wanted", _shingle_texts("part", "0", "n"))) / F.size("wanted")
     found = met.select("doc_id", "template_id", "license", "at", "n", share.alias("share")).filter(F.col("share") * 100 >= percent)
     return found.groupBy("doc_id", "template_id", "license").agg(
