@@ -1,10 +1,16 @@
-"""Queries over the given tables, by name."""
+"""Queries over the given tables, by name, and SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import search_queries
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_PARTS = (search_queries,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best documents for each benchmark text."""
+    return search_queries.search_topk(spark, sf_dir)
