@@ -25,19 +25,20 @@ from .common import cut, table
 
 PERCENT, MIN_WORDS, HOT = 80, 5, 64
 BUCKET_BITS = 17
+#: Line numbers that are broadcast at most (about 16 bytes each), to find the texts of candidates; beyond that, lines are shuffled.
+BROADCAST_LINES = 1_000_000
 _LOW = (1 << 56) - 1
 
 
 def words(line: Column) -> Column:
-    """Lower-cased words between ASCII blanks (A-Z only)."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.filter(F.split(F.translate(line, upper, lower), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Lower-cased words between ASCII blanks."""
+    return F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def rarity_levels(docs: DataFrame) -> bytearray:
     """For each hash bucket, half-steps of log2 of how many words of all documents fall into it."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(1 << BUCKET_BITS)).cast("int")
-    counts = docs.select(F.explode(words(F.col("text"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    counts = docs.select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     levels = bytearray(1 << BUCKET_BITS)
     for b, n in zip(*(c.to_pylist() for c in counts.toArrow().columns)):  # 2^17 rows at most
         levels[b] = min(120, 2 * n.bit_length() - (n < 3 << max(0, n.bit_length() - 2)))
@@ -54,30 +55,46 @@ def _order(lines: DataFrame):
 
 
 def measured_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2, n, bitmap, prefix) of every line with enough words."""
+    """(doc_id, pos, k1, k2, n, bitmap, prefix) of every line with enough words.
+
+    Prefix words are hashes of 31 bits, doubled, plus 1 if the word's level says that more than HOT lines may have it. Hashes only
+    find candidates, so that words that share one do no harm.
+    """
     levels = F.lit(rarity_levels(docs))
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    coded = F.transform(words(F.col("line")), lambda w: F.shiftleft(F.ascii(F.substr(levels, F.pmod(F.xxhash64(w), F.lit(1 << BUCKET_BITS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW))))
+    hashes = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
+    at = lambda h: h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1
+    coded = F.transform(hashes, lambda h: F.shiftleft(F.ascii(F.substr(levels, at(h), F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     bound = F.array(F.sort_array(F.array_distinct(coded)))
+    hot = F.lit((2 * HOT.bit_length() - 1) << 56)
     summary = F.transform(bound, lambda s: F.struct(
         F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(17), s).alias("k2"), F.size(s).alias("n"),
         F.aggregate(s, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bitmap"),
-        F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1).alias("prefix"),
+        F.transform(F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
     ))
-    return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= MIN_WORDS)
+    return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= MIN_WORDS).withColumn("prefix", F.col("prefix").cast("array<long>"))
 
 
-def _fits(x: str, y: str) -> Column:
-    """Whether line y can be similar enough to line x, from sizes, positions in the prefix and bitmaps."""
-    nx, ny, ix, iy = (F.col(c) for c in (f"n_{x}", f"n_{y}", f"i_{x}", f"i_{y}"))
-    sized = (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny))
-    placed = (1 + F.least(nx - 1 - ix, ny - 1 - iy) + F.least(ix, iy)) * (100 + PERCENT) >= PERCENT * (nx + ny)
-    apart = F.bit_count(F.col(f"bitmap_{x}").bitwiseXOR(F.col(f"bitmap_{y}"))) * (100 + PERCENT) <= (100 - PERCENT) * (nx + ny)
-    return sized & apart & placed
+def _packed(classes: DataFrame) -> DataFrame:
+    """(a, ord, bitmap) for each prefix word of each class; ``a`` holds the word's 32 bits, the line's size and the word's place."""
+    a = F.shiftleft(F.col("word"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(65535)).cast("long"), 16)).bitwiseOR(F.least("i", F.lit(65535)).cast("long"))
+    return classes.select("ord", "n", "bitmap", F.posexplode("prefix").alias("i", "word")).select(a.alias("a"), "ord", "bitmap")
+
 
+def _word(a: str) -> Column:
+    return F.shiftrightunsigned(F.col(a), 32)
 
-def _side(df: DataFrame, x: str) -> DataFrame:
-    return df.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("ord", "n", "i", "bitmap")])
+
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(ord_x, ord_y): pairs of a later line x and an earlier line y that share a prefix word and fit each other."""
+    part = lambda c, shift: F.shiftright(F.col(c), shift).bitwiseAND(F.lit(65535))
+    one, two = (df.select(F.col("a").alias(f"a_{c}"), F.col("ord").alias(f"ord_{c}"), F.col("bitmap").alias(f"bitmap_{c}")) for df, c in ((x, "x"), (y, "y")))
+    nx, ny, ix, iy = part("a_x", 16), part("a_y", 16), part("a_x", 0), part("a_y", 0)
+    sized = 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
+    placed = (1 + F.least(nx - 1 - ix, ny - 1 - iy) + F.least(ix, iy)) * (100 + PERCENT) >= PERCENT * (nx + ny)
+    apart = F.bit_count(F.col("bitmap_x").bitwiseXOR(F.col("bitmap_y"))) * (100 + PERCENT) <= (100 - PERCENT) * (nx + ny)
+    longest = (nx == 65535) | (ny == 65535)  # sizes and places of such lines are cut off, so they are verified anyway
+    return one.join(two, _word("a_x") == _word("a_y")).filter((F.col("ord_x") > F.col("ord_y")) & (longest | (sized & apart & placed))).select("ord_x", "ord_y")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
@@ -85,7 +102,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     ends = cut(pairs.select("ord_x", "ord_y").distinct(), "line-pairs")
     wanted = cut(ends.select(F.col("ord_x").alias("ord")).union(ends.select("ord_y")).distinct(), "line-ids")
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("ord", order)
-    texts = cut(lines.join(wanted, "ord", "left_semi").select("ord", "line").distinct(), "line-texts")
+    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "ord", "left_semi").select("ord", "line").distinct(), "line-texts")
     sets = texts.select("ord", F.array_distinct(words(F.col("line"))).alias("set"))
     both = ends.join(sets.select(F.col("ord").alias("ord_x"), F.col("set").alias("set_x")), "ord_x").join(sets.select(F.col("ord").alias("ord_y"), F.col("set").alias("set_y")), "ord_y")
     common = F.size(F.array_intersect("set_x", "set_y"))
@@ -98,18 +116,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     order = _order(lines)
     classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("prefix").alias("prefix"))
     classes = cut(classes, "line-classes")
-    keyed = classes.select("ord", "n", "bitmap", F.posexplode("prefix").alias("i", "word"))
-    shared = cut(keyed.groupBy("word").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-words")
-    usual = keyed.join(shared, "word", "left_anti")
-    pairs = _side(usual, "x").join(_side(usual, "y"), "word").filter((F.col("ord_x") > F.col("ord_y")) & _fits("x", "y"))
-
-    hot = cut(keyed.join(shared, "word").select("word", "ord", "n", "i", "bitmap", "first"), "hot-lines")
-    heads = _side(hot.filter("ord = first"), "y")
-    stars = _side(hot, "x").join(heads, "word").filter((F.col("ord_x") > F.col("ord_y")) & _fits("x", "y"))
-    gone = cut(_verified(pairs.select("ord_x", "ord_y").union(stars.select("ord_x", "ord_y")), docs, order), "lines-gone")
+    keyed = _packed(classes)
+    maybe = keyed.filter(_word("a") % 2 == 1)
+    shared = cut(maybe.groupBy(_word("a").alias("word")).agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-words")
+    usual = keyed.join(shared, _word("a") == F.col("word"), "left_anti")
+    pairs = _met(usual, usual)
+
+    hot = cut(maybe.join(shared, _word("a") == F.col("word")).select("a", "ord", "bitmap", "first"), "hot-lines")
+    stars = _met(hot, hot.filter("ord = first"))
+    gone = cut(_verified(pairs.union(stars), docs, order), "lines-gone")
     rest = hot.join(gone, "ord", "left_anti")
-    more = _side(rest, "x").join(_side(hot, "y"), "word").filter((F.col("ord_x") > F.col("ord_y")) & _fits("x", "y"))
-    gone = gone.union(_verified(more, docs, order)).distinct().withColumn("near", F.lit(True))
+    gone = gone.union(_verified(_met(rest, hot), docs, order)).distinct().withColumn("near", F.lit(True))
     verdicts = classes.select("k1", "k2", "ord").join(gone, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     return lines.select("doc_id", "pos", "k1", "k2", order.alias("ord")).join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
 
@@ -136,7 +153,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS pos, list_distinct(regexp_extract_all(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w
+  SELECT doc_id, i - 1 AS pos, list_distinct(regexp_extract_all(lower(s[i]), '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), c AS (
   SELECT list_sort(w) AS k, len(list_sort(w)) AS n, min((doc_id, pos)) AS first FROM l WHERE len(w) >= 5 GROUP BY 1, 2

@@ -42,12 +42,12 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, limit: int)
     bits = 16 if first_new + limit <= 1 << 16 else 32
     wide = np.uint32 if bits == 16 else np.uint64
     for _ in range(ROUNDS):
-        code = (seq[:-1].astype(wide) << wide(bits)) | seq[1:].astype(wide)
-        values, count = np.unique(code[~last[:-1]], return_counts=True)
-        often = np.flatnonzero(count >= MIN_COUNT)
-        often = often[np.lexsort((values[often], -count[often]))]
+        inner = ~last[:-1]
+        code = (seq[:-1].astype(wide, copy=False) << wide(bits)) | seq[1:]
+        values, count = _frequent(code[inner])
+        order = np.lexsort((values, -count))
         chosen, role = [], {}
-        for value in values[often].tolist():
+        for value in values[order].tolist():
             if len(chosen) >= min(ROUND_RULES, limit - len(rules)):
                 break
             left, right = value >> bits, value & ((1 << bits) - 1)
@@ -57,34 +57,43 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, limit: int)
                 role[left] = "both"
             elif role.setdefault(left, "left") != "left" or role.setdefault(right, "right") != "right":
                 continue
-            chosen.append(value)
+            chosen.append((left, right))
         if not chosen:
             break
-        sorted_codes = np.sort(np.array(chosen, wide))
-        rank = np.empty(len(chosen), np.int64)
-        rank[np.searchsorted(sorted_codes, np.array(chosen, wide))] = np.arange(len(chosen))
-        lefts, rights = np.zeros((2, first_new + limit), bool)
-        lefts[[v >> bits for v in chosen]] = True
-        rights[[v & ((1 << bits) - 1) for v in chosen]] = True
-        at = np.flatnonzero(lefts[seq[:-1]] & rights[seq[1:]] & ~last[:-1])
-        near = np.minimum(np.searchsorted(sorted_codes, code[at]), len(chosen) - 1)
-        hit = sorted_codes[near] == code[at]
-        at, near = at[hit], near[hit]
+        # a small table by left and right symbol gives each pair's rule; 0 is for no left, no right, no rule
+        pairs = np.array(chosen)
+        left_at, right_at = np.zeros((2, first_new + limit), np.int32)
+        lefts, rights = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+        left_at[lefts], right_at[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        rule_of = np.zeros((len(lefts) + 1, len(rights) + 1), np.int32)
+        rule_of[left_at[pairs[:, 0]], right_at[pairs[:, 1]]] = np.arange(1, len(pairs) + 1)
+        at = np.flatnonzero((left_at[seq[:-1]] > 0) & inner)
+        near = rule_of[left_at[seq[at]], right_at[seq[at + 1]]]
+        hit = near > 0
+        at, near = at[hit], near[hit] - 1
         if len(at):  # of overlapping hits, which only a pair of equal symbols has, every second one counts
             begins = np.concatenate(([True], np.diff(at) > 1))
             run = at[begins][np.cumsum(begins) - 1]
             use = (at - run) % 2 == 0
             at, near = at[use], near[use]
-        seq[at] = first_new + len(rules) + rank[near]
+        seq[at] = first_new + len(rules) + near
         last = last.copy()
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules += [(v >> bits, v & ((1 << bits) - 1)) for v in chosen]
+        rules += chosen
     return seq, last, np.array(rules, np.uint32).reshape(-1, 2)
 
 
+def _frequent(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur MIN_COUNT times or more, ascending, and how often."""
+    code.sort()
+    again = code[: len(code) - MIN_COUNT + 1] == code[MIN_COUNT - 1 :] if len(code) >= MIN_COUNT else np.empty(0, bool)
+    values = np.unique(code[: len(again)][again])
+    return values, np.searchsorted(code, values, "right") - np.searchsorted(code, values)
+
+
 def rule_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
     """How many ids each new symbol stands for."""
     out: list[int] = []
