@@ -33,3 +33,61 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text) of the benchmark items."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+LINES = """
+  SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS idx FROM lineitem"""
+FACTS = f"""
+  lines AS ({LINES}),
+  home AS (SELECT c_custkey, c_name, r_name AS project_id, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS file_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+  facts AS (
+    SELECT r_name AS project_id, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS key, 'file' AS type, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS file_path, '' AS symbol_name, '' AS enclosing_type, '' AS enclosing_method, 0 AS start_line, 0 AS end_line FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT project_id, file_path || '::type::' || c_name || '::' || c_custkey, 'type', file_path, c_name, '', '', 1, 999 FROM home
+    UNION ALL SELECT project_id, file_path || '::method::' || c_name || '::o' || o_orderkey, 'method', file_path, 'o' || o_orderkey, c_name, '', 1, 7 FROM orders JOIN home ON o_custkey = c_custkey
+    UNION ALL SELECT project_id, file_path || '::endpoint::o' || o_orderkey, 'endpoint', file_path, 'o' || o_orderkey, c_name, '', 1, 1 FROM orders JOIN home ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT project_id, file_path || '::call::' || c_name || '::o' || o_orderkey || '::p' || l_partkey || '::' || idx, 'call', file_path, 'p' || l_partkey, c_name, 'o' || o_orderkey, l_linenumber, l_linenumber
+      FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN home ON o_custkey = c_custkey
+  )"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their place in the order's list."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")) - 1
+    return table(spark, sf_dir, "lineitem").withColumn("idx", place).select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "idx")
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested analyses: a file for each order with its lines as calls."""
+    own = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("idx", "l_partkey", "l_linenumber", "l_returnflag"))).alias("c"))
+    calls = F.transform("c", lambda x: F.struct(F.concat(F.lit("p"), x["l_partkey"]).alias("name"), x["l_linenumber"].alias("start_line"), x["l_returnflag"].alias("flag")))
+    none = F.array().cast("array<struct<name:string,start_line:int,flag:string>>")
+    return table(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.concat(F.lit("o"), "o_orderkey").alias("file_path"), F.col("o_orderpriority").alias("package"), F.coalesce(calls, none).alias("calls"))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as files, customers as types, orders as methods, urgent orders as endpoints, line items as calls."""
+    t = lambda name: table(spark, sf_dir, name)
+    path = F.concat(F.lit("r"), "r_regionkey", F.lit("/n"), "n_nationkey", F.lit(".src"))
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("project_id"), path.alias("file_path"))
+    home = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "project_id", "file_path")
+    own = t("orders").join(home, F.col("o_custkey") == F.col("c_custkey")).withColumn("o", F.concat(F.lit("o"), "o_orderkey"))
+    calls = lines(spark, sf_dir).join(own, F.col("l_orderkey") == F.col("o_orderkey"))
+    none = F.lit("")
+
+    def fact(df, kind, parts, symbol, enclosing=none, method=none, start=0, end=0):
+        number = lambda x: x.cast("int") if hasattr(x, "cast") else F.lit(x)
+        key = F.concat_ws("::", "file_path", F.lit(kind), *parts) if parts else F.col("file_path")
+        return df.select("project_id", key.alias("key"), F.lit(kind).alias("type"), "file_path", symbol.alias("symbol_name"), enclosing.alias("enclosing_type"), method.alias("enclosing_method"), number(start).alias("start_line"), number(end).alias("end_line"))
+
+    name, o, part, line = F.col("c_name"), F.col("o"), F.concat(F.lit("p"), "l_partkey"), F.col("l_linenumber")
+    out = fact(nations, "file", [], none)
+    for df in (
+        fact(home, "type", [name, F.col("c_custkey").cast("string")], name, start=1, end=999),
+        fact(own, "method", [name, o], o, name, start=1, end=7),
+        fact(own.filter("o_orderpriority = '1-URGENT'"), "endpoint", [o], o, name, start=1, end=1),
+        fact(calls, "call", [name, o, part, F.col("idx").cast("string")], part, name, o, line, line),
+    ):
+        out = out.unionByName(df)
+    return out

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import report_queries, search_queries
+from . import fact_queries, report_queries, search_queries
 
-_PARTS = (search_queries, report_queries)
+_PARTS = (search_queries, report_queries, fact_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
