@@ -119,7 +119,7 @@ def certified_level(n: int, first_rejects: list[int], alpha: float, threshold: f
 def certify(holdout: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, n_good, level) from measured good documents; a row for each stratum that has any."""
     at = [F.count_if(F.col("quality.first_level") == level).alias(f"at_{level}") for level in range(LEVELS)]
-    counts = holdout.filter(~F.col("quality.base_failed")).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n_good"), *at)
+    counts = cut(holdout.filter(~F.col("quality.base_failed")).groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n_good"), *at), "quality-counts")
     strata = max(1, counts.count())
 
     def decide(frames):
@@ -143,9 +143,9 @@ def verdicts(found: DataFrame, levels: DataFrame, stratum: str) -> DataFrame:
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Certified levels of all strata; ``docs`` are measured once, and only those that are labelled good."""
-    good = docs.select("doc_id", "text", F.col(stratum).alias("stratum")).join(good_ids(labels), "doc_id", "left_semi")
-    return cut(certify(measured(good.select("stratum", "text"), keep=["stratum"]), "stratum", alpha, delta), "quality-levels")
+    """Certified levels of all strata. Texts are measured where they lie; only the measures meet the labels."""
+    found = cut(measured(docs.withColumn("_stratum", F.col(stratum)), keep=["doc_id", "_stratum"]), "quality-measures")
+    return cut(certify(found.join(good_ids(labels), "doc_id", "left_semi"), "_stratum", alpha, delta), "quality-levels")
 
 
 def apply_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
