@@ -60,11 +60,11 @@ def measured_lines(docs: DataFrame) -> DataFrame:
     Prefix words are hashes of 31 bits, doubled, plus 1 if the word's level says that more than HOT lines may have it. Hashes only
     find candidates, so that words that share one do no harm.
     """
-    levels = F.lit(rarity_levels(docs))
+    levels = F.split(F.lit(",".join(map(str, rarity_levels(docs)))), ",").cast("array<int>")  # folded to one literal
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashes = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
-    at = lambda h: h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1
-    coded = F.transform(hashes, lambda h: F.shiftleft(F.ascii(F.substr(levels, at(h), F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
+    at = lambda h: h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    coded = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, at(h)), F.lit(0)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     bound = F.array(F.sort_array(F.array_distinct(coded)))
     hot = F.lit((2 * HOT.bit_length() - 1) << 56)
     summary = F.transform(bound, lambda s: F.struct(
@@ -98,16 +98,26 @@ def _met(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
-    """Lines (by order number) with an earlier match among the pairs (ord_x later, ord_y earlier)."""
+    """Lines (by order number) with an earlier match among the pairs (ord_x later, ord_y earlier).
+
+    One match is enough, so each line is compared with the earliest of its candidates, and with the others only if that fails.
+    """
     ends = cut(pairs.select("ord_x", "ord_y").distinct(), "line-pairs")
     wanted = cut(ends.select(F.col("ord_x").alias("ord")).union(ends.select("ord_y")).distinct(), "line-ids")
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("ord", order)
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "ord", "left_semi").select("ord", "line").distinct(), "line-texts")
     sets = texts.select("ord", F.array_distinct(words(F.col("line"))).alias("set"))
-    both = ends.join(sets.select(F.col("ord").alias("ord_x"), F.col("set").alias("set_x")), "ord_x").join(sets.select(F.col("ord").alias("ord_y"), F.col("set").alias("set_y")), "ord_y")
-    common = F.size(F.array_intersect("set_x", "set_y"))
-    return both.filter(common * (100 + PERCENT) >= PERCENT * (F.size("set_x") + F.size("set_y"))).select(F.col("ord_x").alias("ord")).distinct()
+
+    def similar(some):
+        both = some.join(sets.select(F.col("ord").alias("ord_x"), F.col("set").alias("set_x")), "ord_x").join(sets.select(F.col("ord").alias("ord_y"), F.col("set").alias("set_y")), "ord_y")
+        common = F.size(F.array_intersect("set_x", "set_y"))
+        return both.filter(common * (100 + PERCENT) >= PERCENT * (F.size("set_x") + F.size("set_y"))).select(F.col("ord_x").alias("ord")).distinct()
+
+    first = ends.groupBy("ord_x").agg(F.min("ord_y").alias("ord_y"))
+    found = cut(similar(first), "lines-similar")
+    rest = ends.join(found.withColumnRenamed("ord", "ord_x"), "ord_x", "left_anti").join(first, ["ord_x", "ord_y"], "left_anti")
+    return found.union(similar(rest))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
