@@ -107,12 +107,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("ord", order)
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "ord", "left_semi").select("ord", "line").distinct(), "line-texts")
-    sets = texts.select("ord", F.array_distinct(words(F.col("line"))).alias("set"))
 
     def similar(some):
-        both = some.join(sets.select(F.col("ord").alias("ord_x"), F.col("set").alias("set_x")), "ord_x").join(sets.select(F.col("ord").alias("ord_y"), F.col("set").alias("set_y")), "ord_y")
-        common = F.size(F.array_intersect("set_x", "set_y"))
-        return both.filter(common * (100 + PERCENT) >= PERCENT * (F.size("set_x") + F.size("set_y"))).select(F.col("ord_x").alias("ord")).distinct()
+        """Lines are joined as texts, which are much smaller than arrays of words."""
+        both = some.join(texts.select(F.col("ord").alias("ord_x"), F.col("line").alias("line_x")), "ord_x").join(texts.select(F.col("ord").alias("ord_y"), F.col("line").alias("line_y")), "ord_y")
+        sets = F.array(F.struct(F.array_distinct(words(F.col("line_x"))).alias("x"), F.array_distinct(words(F.col("line_y"))).alias("y")))
+        alike = F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (100 + PERCENT) >= PERCENT * (F.size(s["x"]) + F.size(s["y"])))
+        return both.filter(alike).select(F.col("ord_x").alias("ord")).distinct()
 
     first = ends.groupBy("ord_x").agg(F.min("ord_y").alias("ord_y"))
     found = cut(similar(first), "lines-similar")
