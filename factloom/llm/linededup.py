@@ -6,7 +6,7 @@ they are. A line goes if an earlier one (by doc_id, then position) has a Jaccard
 Lines with equal sets form a class, of which only the first goes on. Words are ordered by rarity: a table of 2^17 hash buckets,
 counted over all documents, gives each word a level, and rarer levels come first, ties by hash. Two sets of similarity t share a
 word among the first ``n - ceil(t n) + 1`` words of each (prefix filter). Candidates that share one must also fit in length
-(n_x >= t n_y), in position (the words that are left must suffice), and in a bitmap of parities, of which no more bits can
+(n_x >= t n_y), in position (the words that are left must suffice), and in bitmaps of parities, of which no more bits can
 differ than the sets' difference has words. All three lose nothing. What is left is verified on the words themselves.
 
 A prefix word that more than ``HOT`` classes share does not emit all their pairs: its classes are compared with the first of
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 PERCENT, MIN_WORDS, HOT = 80, 5, 64
+#: Lines of more distinct words have a second bitmap of 128 bits.
+LONG = 40
 BUCKET_BITS = 17
 #: Line numbers that are broadcast at most (about 16 bytes each), to find the texts of candidates; beyond that, lines are shuffled.
 BROADCAST_LINES = 1_000_000
 _LOW = (1 << 56) - 1
+_BITMAPS = ("bitmap", "bitmap2", "bitmap3")
 
 
 def words(line: Column) -> Column:
@@ -55,7 +58,7 @@ def _order(lines: DataFrame):
 
 
 def measured_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2, n, bitmap, prefix) of every line with enough words.
+    """(doc_id, pos, k1, k2, n, bitmap, bitmap2, bitmap3, prefix) of every line with enough words.
 
     Prefix words are hashes of 31 bits, doubled, plus 1 if the word's level says that more than HOT lines may have it. Hashes only
     find candidates, so that words that share one do no harm.
@@ -67,18 +70,22 @@ def measured_lines(docs: DataFrame) -> DataFrame:
     coded = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, at(h)), F.lit(0)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     bound = F.array(F.sort_array(F.array_distinct(coded)))
     hot = F.lit((2 * HOT.bit_length() - 1) << 56)
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda s, those: F.aggregate(s, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.when(those(t), bit(t)).otherwise(0)))
     summary = F.transform(bound, lambda s: F.struct(
         F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(17), s).alias("k2"), F.size(s).alias("n"),
-        F.aggregate(s, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bitmap"),
+        parity(s, lambda t: F.lit(True)).alias("bitmap"),
+        F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) == 0)).otherwise(F.lit(0).cast("long")).alias("bitmap2"),
+        F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("long")).alias("bitmap3"),
         F.transform(F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
     ))
     return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= MIN_WORDS).withColumn("prefix", F.col("prefix").cast("array<long>"))
 
 
 def _packed(classes: DataFrame) -> DataFrame:
-    """(a, ord, bitmap) for each prefix word of each class; ``a`` holds the word's 32 bits, the line's size and the word's place."""
+    """(a, ord, bitmaps) for each prefix word of each class; ``a`` holds the word's 32 bits, the line's size and the word's place."""
     a = F.shiftleft(F.col("word"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(65535)).cast("long"), 16)).bitwiseOR(F.least("i", F.lit(65535)).cast("long"))
-    return classes.select("ord", "n", "bitmap", F.posexplode("prefix").alias("i", "word")).select(a.alias("a"), "ord", "bitmap")
+    return classes.select("ord", "n", *_BITMAPS, F.posexplode("prefix").alias("i", "word")).select(a.alias("a"), "ord", *_BITMAPS)
 
 
 def _word(a: str) -> Column:
@@ -88,11 +95,13 @@ def _word(a: str) -> Column:
 def _met(x: DataFrame, y: DataFrame) -> DataFrame:
     """(ord_x, ord_y): pairs of a later line x and an earlier line y that share a prefix word and fit each other."""
     part = lambda c, shift: F.shiftright(F.col(c), shift).bitwiseAND(F.lit(65535))
-    one, two = (df.select(F.col("a").alias(f"a_{c}"), F.col("ord").alias(f"ord_{c}"), F.col("bitmap").alias(f"bitmap_{c}")) for df, c in ((x, "x"), (y, "y")))
+    one, two = (df.select(F.col("a").alias(f"a_{c}"), F.col("ord").alias(f"ord_{c}"), *[F.col(b).alias(f"{b}_{c}") for b in _BITMAPS]) for df, c in ((x, "x"), (y, "y")))
     nx, ny, ix, iy = part("a_x", 16), part("a_y", 16), part("a_x", 0), part("a_y", 0)
     sized = 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
     placed = (1 + F.least(nx - 1 - ix, ny - 1 - iy) + F.least(ix, iy)) * (100 + PERCENT) >= PERCENT * (nx + ny)
-    apart = F.bit_count(F.col("bitmap_x").bitwiseXOR(F.col("bitmap_y"))) * (100 + PERCENT) <= (100 - PERCENT) * (nx + ny)
+    bits = lambda b: F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")))
+    most = (100 - PERCENT) * (nx + ny)
+    apart = (bits("bitmap") * (100 + PERCENT) <= most) & ((nx <= LONG) | (ny <= LONG) | ((bits("bitmap2") + bits("bitmap3")) * (100 + PERCENT) <= most))
     longest = (nx == 65535) | (ny == 65535)  # sizes and places of such lines are cut off, so they are verified anyway
     return one.join(two, _word("a_x") == _word("a_y")).filter((F.col("ord_x") > F.col("ord_y")) & (longest | (sized & apart & placed))).select("ord_x", "ord_y")
 
@@ -125,7 +134,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): every line that an earlier line matches."""
     lines = cut(measured_lines(docs), "lines")
     order = _order(lines)
-    classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"), F.any_value("prefix").alias("prefix"))
+    classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in _BITMAPS], F.any_value("prefix").alias("prefix"))
     classes = cut(classes, "line-classes")
     keyed = _packed(classes)
     maybe = keyed.filter(_word("a") % 2 == 1)
@@ -133,7 +142,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     usual = keyed.join(shared, _word("a") == F.col("word"), "left_anti")
     pairs = _met(usual, usual)
 
-    hot = cut(maybe.join(shared, _word("a") == F.col("word")).select("a", "ord", "bitmap", "first"), "hot-lines")
+    hot = cut(maybe.join(shared, _word("a") == F.col("word")).select("a", "ord", *_BITMAPS, "first"), "hot-lines")
     stars = _met(hot, hot.filter("ord = first"))
     gone = cut(_verified(pairs.union(stars), docs, order), "lines-gone")
     rest = hot.join(gone, "ord", "left_anti")
