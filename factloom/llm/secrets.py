@@ -100,10 +100,18 @@ def _counted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(code, pa.int64()), pa.array(total[kind, code], pa.int64())], names=["kind", "code", "n"])
 
 
-def log_ratios(counts: np.ndarray) -> np.ndarray:
-    """Log ratio of the two models' transition probabilities (random over ordinary), with half a count added everywhere."""
-    smooth = counts.reshape(2, _N, _N) + 0.5
-    logs = np.log(smooth / smooth.sum(axis=2, keepdims=True))
+def log_ratios(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
+    """Log ratio of the two models' transition probabilities (random over ordinary).
+
+    Every transition gives up one count, so that a secret nobody labelled cannot vouch for itself; these counts and ``weight`` more are
+    dealt out by each model's own frequencies of characters, to which half a count is added.
+    """
+    pairs = counts.reshape(2, _N, _N).astype(float)
+    chars = pairs.sum(axis=1) + 0.5
+    chars /= chars.sum(axis=1, keepdims=True)
+    total, kept = pairs.sum(axis=2, keepdims=True), np.maximum(pairs - 1, 0)
+    spare = total - kept.sum(axis=2, keepdims=True) + weight
+    logs = np.log((kept + spare * chars[:, None, :]) / (total + weight))
     return (logs[1] - logs[0]).ravel()
 
 
