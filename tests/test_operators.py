@@ -132,3 +132,13 @@ def test_streams(spark, tmp_path):
     incremental.stream_upsert(stream(), out, check, ["id"], ["seq"]).awaitTermination(60)
     got = {r["id"]: r["text"] for r in incremental.read_keyed(spark, out, ["id"], ["seq"]).collect()}
     assert got == {"a": "z", "b": "y"}
+
+
+def test_scan_api_calls(spark):
+    text = "import x\naxios.get('/api/users/' + (id))\nfetch(`/api/a`, {method: 'POST',\n body: f(\")\")})\nplain(1)\nopen('/x'"
+    files = spark.createDataFrame([("a.vue", text), ("b.vue", None)], "path string, content string")
+    got = [(r["callee"], r["url"], r["line"], r["expression"]) for r in routes.scan_api_calls(files).orderBy("ord").collect()]
+    assert got == [
+        ("axios.get", "/api/users/", 2, "axios.get('/api/users/' + (id))"), ("fetch", "/api/a", 3, "fetch(`/api/a`, {method: 'POST', body: f(\")\")})"),
+        ("f", ")", 4, 'f(")")'), ("open", "/x", 6, "open('/x'"),
+    ]
