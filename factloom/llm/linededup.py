@@ -3,7 +3,7 @@
 A line's set holds its distinct lower-cased words between ASCII blanks; lines of fewer than ``MIN_WORDS`` distinct words stay as
 they are. A line goes if an earlier one (by doc_id, then position) has a Jaccard similarity of 0.8 or more with it.
 
-Lines with equal sets form a class, of which only the first goes on. Words are ordered by rarity: a table of 2^17 hash buckets,
+Lines with equal sets form a class, of which only the first goes on. Words are ordered by rarity: a table of 2^19 hash buckets,
 counted over all documents, gives each word a level, and rarer levels come first, ties by hash. Two sets of similarity t share a
 word among the first ``n - ceil(t n) + 1`` words of each (prefix filter). Candidates that share one must also fit in length
 (n_x >= t n_y), in position (the words that are left must suffice), and in bitmaps of parities, of which no more bits can
@@ -26,7 +26,7 @@ from .common import cut, table
 PERCENT, MIN_WORDS, HOT = 80, 5, 64
 #: Lines of more distinct words have a second bitmap of 128 bits.
 LONG = 40
-BUCKET_BITS = 17
+BUCKET_BITS = 19
 #: Line numbers that are broadcast at most (about 16 bytes each), to find the texts of candidates; beyond that, lines are shuffled.
 BROADCAST_LINES = 1_000_000
 _LOW = (1 << 56) - 1
@@ -43,7 +43,7 @@ def rarity_levels(docs: DataFrame) -> bytearray:
     bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
     counts = docs.select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     levels = bytearray(1 << BUCKET_BITS)
-    for b, n in zip(*(c.to_pylist() for c in counts.toArrow().columns)):  # 2^17 rows at most
+    for b, n in zip(*(c.to_pylist() for c in counts.toArrow().columns)):  # 2^19 rows at most
         levels[b] = min(120, 2 * n.bit_length() - (n < 3 << max(0, n.bit_length() - 2)))
     return levels
 
