@@ -163,3 +163,39 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(found, levels, "lang").select(
         "doc_id", *counts, "quality.base_failed", F.col("_kept").alias("kept"), F.coalesce("_level", F.lit(-1)).alias("certified_level"), F.col("quality.first_level").alias("first_level")
     )
+
+
+def _sql() -> str:
+    """The query in DuckDB SQL, with this module's cutoffs."""
+    word, number = r"[^\x20\x09-\x0D]", lambda x: f"{x!r}e0"
+    above = [" OR ".join(f"{rule} > {number(at)}" for rule, at in cutoffs(level).items()) for level in range(LEVELS)]
+    first = "CASE " + " ".join(f"WHEN {x} THEN {level}" for level, x in enumerate(above)) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{word}+') AS w FROM d),
+u AS (SELECT r, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS y, CASE WHEN i + 7 <= len(w) THEN array_to_string(w[i:i + 7], ' ') END AS g FROM w, unnest(range(1, len(w) + 1)) AS v(i)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM u WHERE g IS NOT NULL) WHERE c > 1) GROUP BY r),
+top AS (SELECT r, max(c) AS n FROM (SELECT r, x, count(*) AS c FROM u GROUP BY r, x) GROUP BY r),
+st AS (SELECT r, count(*) AS n FROM u WHERE x = y GROUP BY r),
+m AS (
+  SELECT d.*, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls, coalesce(rep.n, 0) AS n_repeat_words, coalesce(top.n, 0) AS top, coalesce(st.n, 0) AS st
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN top USING (r) LEFT JOIN st USING (r)
+), f AS (
+  SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_symbols::DOUBLE / greatest(1, word_chars) AS symbol_share, upper::DOUBLE / greatest(1, word_chars) AS upper_share, top::DOUBLE / greatest(1, n_words) AS top_word_share,
+    (len(ls) - len(list_distinct(ls)))::DOUBLE / greatest(1, len(ls)) AS dup_line_share, n_repeat_words::DOUBLE / greatest(1, n_words) AS repeat_share, word_chars::DOUBLE / greatest(1, n_words) AS mean_word_chars, st::DOUBLE / greatest(1, n_words) AS stutter_share,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM m
+), q AS (SELECT *, {first} AS first_level FROM f),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+h AS (SELECT * FROM q WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+n AS (SELECT lang, count(*) AS n, count(*) OVER () AS strata FROM h GROUP BY lang),
+k AS (SELECT n.lang, n.n, strata, l, (SELECT count(*) FROM h WHERE h.lang IS NOT DISTINCT FROM n.lang AND first_level <= l) AS k FROM n, unnest(range({LEVELS})) AS v(l)),
+p AS (SELECT lang, l, strata, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({number(ALPHA)}) + (n - j) * ln(1 - {number(ALPHA)}))) FROM unnest(range(k + 1)) AS v(j)) AS p FROM k),
+c AS (SELECT lang, coalesce(min(l) FILTER (p > {number(DELTA)} / strata), {LEVELS}) - 1 AS level FROM p GROUP BY lang)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND (first_level IS NULL OR first_level > coalesce(level, -1)) AS kept, coalesce(level, -1)::INT AS certified_level, first_level
+FROM q LEFT JOIN c ON c.lang IS NOT DISTINCT FROM q.lang"""
+
+
+OP3_SQL = _sql()

@@ -9,7 +9,7 @@ from .licenses import op1_license_scan
 from .linededup import OP8_SQL, op8_line_dedup
 from .neardup import OP9_SQL, op9_minhash_near_dedup
 from .packing import op2_best_fit_packing
-from .quality import op3_quality_rules
+from .quality import OP3_SQL, op3_quality_rules
 from .secrets import op10_secret_scan
 from .tokenids import op4_token_ids
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL = {"op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+SQL = {"op3_quality_rules": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
