@@ -181,6 +181,8 @@ SQL = {
     "document_chunks": f"WITH corpus AS ({CORPUS}) SELECT 'kb:' || file_path AS id, 'Knowledge document ' || file_path || chr(10) || text AS text FROM corpus",
     "chunk_facts": f"WITH {FACTS} SELECT file_path || '::endpoint::' || symbol_name || '::' || start_line AS id, 'endpoint: ' || symbol_name || chr(10) || 'File: ' || file_path || chr(10) || 'Type: ' || enclosing_type AS text FROM facts WHERE type = 'endpoint'",
     "chunk_methods": f"WITH {FACTS}, c AS (SELECT file_path, enclosing_type, enclosing_method, string_agg(symbol_name, ', ' ORDER BY start_line, key) AS calls FROM facts WHERE type = 'call' GROUP BY 1, 2, 3) SELECT key, 'Method: ' || symbol_name || chr(10) || 'Type: ' || m.enclosing_type || chr(10) || 'File: ' || m.file_path || CASE WHEN calls IS NULL THEN '' ELSE chr(10) || 'Calls: ' || calls END AS text FROM facts m LEFT JOIN c ON c.file_path = m.file_path AND c.enclosing_type = m.enclosing_type AND c.enclosing_method = m.symbol_name WHERE m.type = 'method'",
+    "asset_chunks": f"""WITH {ASSETS}, {TAGS}, ev AS (SELECT asset_id, string_agg(l, chr(10) ORDER BY ord) AS l FROM (SELECT asset_id, ord, concat_ws(' - ', nullif(file_path, ''), nullif(symbol_name, '')) AS l FROM evidence) WHERE l <> '' GROUP BY 1)
+      SELECT id, concat_ws(chr(10), 'Asset: ' || title, 'Kind: ' || type, 'Status: ' || status, 'Tags: ' || (SELECT string_agg(tag, ', ' ORDER BY ord) FROM tags WHERE asset_id = id), content, ev.l) AS text FROM assets LEFT JOIN ev ON asset_id = id""",
     "norm_tags": f"WITH {ASSETS}, {TAGS} SELECT asset_id, ord::INT AS ord, tag FROM tags",
     "slugs": "WITH t AS (SELECT item_id AS ord, 'Rule ' || (item_id % 10) AS title, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS n FROM benchmark) SELECT ord, title, lower(replace(title, ' ', '-')) || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS slug FROM t",
     "nest_assets": f"WITH {ASSETS}, {TAGS} SELECT id, (SELECT string_agg(tag, ',' ORDER BY ord) FROM tags WHERE asset_id = id) AS tags, (SELECT string_agg(file_path || '|' || symbol_name, ',' ORDER BY evidence.ord) FROM evidence WHERE asset_id = id) AS evidence FROM assets",
