@@ -60,7 +60,7 @@ def endpoint_flows(endpoints: DataFrame, reachable: DataFrame, usages: DataFrame
 def flow_graph(flows: DataFrame, cap: int = 80) -> DataFrame:
     """(src, type, dst): edges of the first ``cap`` flows: endpoint and calls along the path, runs SQL, touches table; each once."""
     place = F.row_number().over(Window.orderBy("endpoint_path", "code_path", "owner", "statement"))
-    top = flows.withColumn("n", place).filter(F.col("n") <= cap)
+    top = flows.orderBy("endpoint_path", "code_path", "owner", "statement").limit(cap).withColumn("n", place)
     nodes = top.select("n", F.posexplode(F.concat(F.array("endpoint_path"), F.split("code_path", " -> "))).alias("i", "node"))
     nxt = F.lead("node").over(Window.partitionBy("n").orderBy("i"))
     calls = nodes.select(F.col("node").alias("src"), F.lit("calls").alias("type"), nxt.alias("dst")).filter("dst is not null")
