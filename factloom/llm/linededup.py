@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 PERCENT, MIN_WORDS, HOT = 80, 5, 64
-#: Lines of more distinct words have a second bitmap of 128 bits.
+#: Pairs of lines of more distinct words compare bitmaps of 128 bits, others of 64; lines that fit no shorter ones lack the latter.
 LONG = 40
 BUCKET_BITS = 19
 #: Line numbers that are broadcast at most (about 16 bytes each), to find the texts of candidates; beyond that, lines are shuffled.
@@ -74,7 +74,7 @@ def measured_lines(docs: DataFrame) -> DataFrame:
     parity = lambda s, those: F.aggregate(s, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.when(those(t), bit(t)).otherwise(0)))
     summary = F.transform(bound, lambda s: F.struct(
         F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(17), s).alias("k2"), F.size(s).alias("n"),
-        parity(s, lambda t: F.lit(True)).alias("bitmap"),
+        F.when(F.size(s) * PERCENT <= LONG * 100, parity(s, lambda t: F.lit(True))).otherwise(F.lit(0).cast("long")).alias("bitmap"),
         F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) == 0)).otherwise(F.lit(0).cast("long")).alias("bitmap2"),
         F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("long")).alias("bitmap3"),
         F.transform(F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
@@ -101,7 +101,8 @@ def _met(x: DataFrame, y: DataFrame) -> DataFrame:
     placed = (1 + F.least(nx - 1 - ix, ny - 1 - iy) + F.least(ix, iy)) * (100 + PERCENT) >= PERCENT * (nx + ny)
     bits = lambda b: F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")))
     most = (100 - PERCENT) * (nx + ny)
-    apart = (bits("bitmap") * (100 + PERCENT) <= most) & ((nx <= LONG) | (ny <= LONG) | ((bits("bitmap2") + bits("bitmap3")) * (100 + PERCENT) <= most))
+    long = (nx > LONG) & (ny > LONG)
+    apart = (long | (bits("bitmap") * (100 + PERCENT) <= most)) & (~long | ((bits("bitmap2") + bits("bitmap3")) * (100 + PERCENT) <= most))
     longest = (nx == 65535) | (ny == 65535)  # sizes and places of such lines are cut off, so they are verified anyway
     return one.join(two, _word("a_x") == _word("a_y")).filter((F.col("ord_x") > F.col("ord_y")) & (longest | (sized & apart & placed))).select("ord_x", "ord_y")
 
