@@ -2,11 +2,10 @@
 
 A document's set holds the distinct runs of ``shingle`` words (A-Z lower-cased, split at ASCII blanks), as 64-bit hashes; a text of
 fewer words has its whole sequence as one. Documents with equal sets form a class, of which only the smallest doc_id goes on.
-MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. One-permutation
-samples (the smallest hash of each of 2048 ranges) are folded into an odd sketch: 2048 parity bits, whose XOR's population count
-estimates high similarities closely. For small sets, where every hash is a sample, the count bounds the difference of the sets
-from below, so the filter loses nothing; for large ones a pair at 0.8 passes with a margin of five deviations. What remains is
-confirmed on the full sets.
+MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. An odd sketch holds the
+parity of a set's hashes in each of 2048 buckets. The population count of two sketches' XOR bounds the difference of the sets from
+below, so the filter loses nothing at any size; pairs of sets too large for it (over about 4600 hashes at 0.8) all pass. What
+remains is confirmed on the full sets.
 
 Buckets do not emit all their pairs. Two rounds compare the members of a bucket with one pivot each (its smallest, then its
 largest id). Only in buckets that still hold several components are pairs across components compared, so no link is lost that
@@ -76,28 +75,21 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a sorted set's one-permutation samples: every sample flips one bit."""
-    ranges = hashes >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
-    first = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
-    at = _mixed(hashes[first]) % np.uint64(SKETCH_BITS)
+    """Parity bitmap of a set: every hash flips one bit."""
+    at = _mixed(hashes) % np.uint64(SKETCH_BITS)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _sketches_near(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
-    """Whether sizes and odd sketches allow the similarity.
+    """Whether sizes and odd sketches allow the similarity, in integers.
 
-    At the threshold t, sets of s hashes together have a union of s / (1 + t); samples of a share 1 - t of its non-empty ranges
-    differ, and each difference flips two bits at most, or one for each hash in which small sets differ.
+    Sets of s hashes together are similar enough if and only if at most s (1 - t) / (1 + t) hashes are in one of them alone. Each
+    of these flips one bit, so no more bits can differ.
     """
-    t, both = percent / 100, F.col(n_a) + F.col(n_b)
-    union = both / (1 + t)
-    ranges = SKETCH_BITS * (1 - F.exp(-union / SKETCH_BITS))
-    flips = F.least((1 - t) * union, 2 * (1 - t) * ranges + 10 * F.sqrt(t * (1 - t) * ranges))
-    decay = F.exp(-2 * flips / SKETCH_BITS)
-    limit = F.least(flips, SKETCH_BITS / 2 * (1 - decay) + 5 * F.sqrt(SKETCH_BITS / 4 * (1 - decay * decay)))
     apart = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(s_a)[0].bitwiseXOR(F.col(s_b)[0])))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart <= limit)
+    sized = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sized & (apart * (100 + percent) <= (100 - percent) * (F.col(n_a) + F.col(n_b)))
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

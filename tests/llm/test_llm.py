@@ -273,6 +273,21 @@ def test_near_duplicate_chain(spark):
     assert got == dict(enumerate(root))
 
 
+def test_near_duplicates_at_threshold(spark):
+    """Pairs of similarity 0.8 exactly are linked, whatever the size of their union; pairs just below are not."""
+    rows, want = [], {}
+    for k in (1, 2, 3, 5, 11, 20, 50, 100, 200, 400, 1000, 2000):
+        for trial in range(8):
+            low, less = len(rows), trial == 7
+            common = [f"c{k}x{trial}x{i}" for i in range(4 * k - less)]
+            own = [f"d{k}x{trial}x{i}" for i in range(k + less)]
+            rows.append((low, " ".join(common + own[: k // 2]), "", "", 0))
+            rows.append((low + 1, " ".join(common + own[k // 2 :]), "", "", 0))
+            want |= {low: low, low + 1: low + less}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=1).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 9), (1, 1), (None, 2), (5, 4)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components.connected_components(edges).collect()} == {(5, 2), (4, 2), (3, 2), (9, 7), (8, 7)}
