@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import best_per_block
+from .search import best_per_block, in_passes
 
 #: Words that say nothing about a text.
 STOP_WORDS = ["api", "code", "document", "file", "java", "knowledge", "method", "package", "section", "type"]
@@ -39,32 +39,37 @@ def record_terms(text: Column, *metadata: Column) -> Column:
 def overlaps(anchors: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
     """(q, id, ord, score, rank): for each anchor row the ``m`` records that share most terms with it.
 
-    ``anchors``: (q from 0, terms, side, excluded ids), a stated bounded set; ``records``: (id, ord, terms, side). Sides must differ
-    where the anchor has one; ties go by ord.
+    ``anchors``: (q from 0, terms, side, excluded ids), of any number, MAX_QUERIES in a pass; ``records``: (id, ord, terms, side).
+    Sides must differ where the anchor has one; ties go by ord.
     """
-    rows = anchors.orderBy("q").collect()
-    index: dict[str, list[int]] = {}
-    for r in rows:
-        for t in r["terms"]:
-            index.setdefault(t, []).append(r["q"])
-    places = {t: np.array(q) for t, q in index.items()}
-    sides, left_out = np.array([r["side"] or "" for r in rows], object), {}
-    for r in rows:
-        for i in r["excluded"] or []:
-            left_out.setdefault(i, []).append(r["q"])
-
-    def score(batch):
-        out = np.full((len(rows), batch.num_rows), np.nan)
-        for j, (i, own, side) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            met = [places[t] for t in own if t in places]
-            if met:
-                n = np.bincount(np.concatenate(met), minlength=len(rows)).astype(float)
-                n[(n == 0) | (sides == (side or "-"))] = np.nan
-                n[left_out.get(i, [])] = np.nan
-                out[:, j] = n
-        return out
-
-    return best_per_block(records.select("id", F.col("ord").cast("long").alias("ord"), "terms", "side"), score, len(rows), m)
+    own_rows = records.select("id", F.col("ord").cast("long").alias("ord"), "terms", "side")
+
+    def one_pass(rows):
+        base = rows[0]["q"] if rows else 0
+        index: dict[str, list[int]] = {}
+        for r in rows:
+            for t in r["terms"]:
+                index.setdefault(t, []).append(r["q"] - base)
+        places = {t: np.array(q) for t, q in index.items()}
+        sides, left_out = np.array([r["side"] or "" for r in rows], object), {}
+        for r in rows:
+            for i in r["excluded"] or []:
+                left_out.setdefault(i, []).append(r["q"] - base)
+
+        def score(batch):
+            out = np.full((len(rows), batch.num_rows), np.nan)
+            for j, (i, own, side) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                met = [places[t] for t in own if t in places]
+                if met:
+                    n = np.bincount(np.concatenate(met), minlength=len(rows)).astype(float)
+                    n[(n == 0) | (sides == (side or "-"))] = np.nan
+                    n[left_out.get(i, [])] = np.nan
+                    out[:, j] = n
+            return out
+
+        return best_per_block(own_rows, score, len(rows), m).withColumn("q", (F.col("q") + F.lit(base)).cast("int"))
+
+    return in_passes(anchors.orderBy("q"), one_pass)
 
 
 def related_candidates(hits: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
@@ -81,7 +86,7 @@ def related_candidates(hits: DataFrame, records: DataFrame, m: int = M) -> DataF
     own = records.select("id", "ord", record_terms(F.col("text"), F.col("kind"), F.col("file_path"), F.col("source_type"), F.col("status")).alias("terms"), F.when(is_knowledge(), "k").when(F.col("source_type") == "code", "c").alias("side"))
     found = overlaps(numbered, own.filter("side is not null"), m)
     names = numbered.select("q", "query_id", F.col("rank").alias("hit_rank"), F.col("id").alias("hit_id"))
-    return found.join(F.broadcast(names), "q").select("query_id", "hit_rank", "hit_id", "id", F.col("score").cast("int").alias("overlap"), F.col("rank").alias("cand_rank"))
+    return found.join(names, "q").select("query_id", "hit_rank", "hit_id", "id", F.col("score").cast("int").alias("overlap"), F.col("rank").alias("cand_rank"))
 
 
 def relations(candidates: DataFrame, m: int = M) -> DataFrame:

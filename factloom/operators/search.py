@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,7 +81,7 @@ def best_per_block(rows: DataFrame, score, queries: int, k: int) -> DataFrame:
 
         best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, object))] * queries
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not queries:
                 continue
             found, order, ids = score(b), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.array(b.column(0).to_pylist(), object)
             for q in range(queries):
@@ -96,50 +99,77 @@ def best_per_block(rows: DataFrame, score, queries: int, k: int) -> DataFrame:
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-#: Queries that are scored at once; more are dealt into several passes by the caller.
+#: Queries that are scored at once; more are dealt into several passes.
 MAX_QUERIES = 10_000
 
 
+def in_passes(queries: DataFrame, one_pass) -> DataFrame:
+    """The union of ``one_pass(rows)`` over blocks of at most MAX_QUERIES rows; ``queries`` is ordered.
+
+    The driver holds one block at a time. Where there are several, each result is cut off from its block.
+    """
+    rows, out = queries.toLocalIterator(), []
+    block = list(islice(rows, MAX_QUERIES))
+    while True:
+        following = list(islice(rows, MAX_QUERIES))
+        found = one_pass(block)
+        if following or out:
+            found = found.checkpoint() if queries.sparkSession.sparkContext.getCheckpointDir() else found.localCheckpoint()
+        out.append(found)
+        if not following:
+            return reduce(DataFrame.unionByName, out)
+        block = following
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = DIM) -> DataFrame:
     """(query_id, rank, id, ord, score): exact top-k by cosine, rounded to 6 digits; texts without common buckets score 0.
 
-    ``queries``: (query_id, text), a stated set of at most MAX_QUERIES; ``vectors``: :func:`vector_rows` with an ``ord`` column,
+    ``queries``: (query_id, text), of any number, MAX_QUERIES in a pass; ``vectors``: :func:`vector_rows` with an ``ord`` column,
     filtered beforehand.
     """
-    found = vector_rows(queries, "query_id", dim).select("query_id", "buckets", "weights").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(found) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    dense = np.zeros((len(found), dim))
-    for i, r in enumerate(found):
-        dense[i, r["buckets"]] = r["weights"]
-    norm_q = np.sqrt((dense**2).sum(axis=1))
-
-    def score(batch):
-        n, size = batch.num_rows, np.array([len(x) for x in batch.column(2)], np.int64)
-        own = np.zeros((n, dim))
-        own[np.repeat(np.arange(n), size), np.concatenate(batch.column(2).to_pylist() or [[]]).astype(np.int64)] = np.concatenate(batch.column(3).to_pylist() or [[]])
-        both = norm_q[:, None] * np.sqrt((own**2).sum(axis=1))[None, :]
-        dot = dense @ own.T
-        return np.floor(np.divide(dot, both, out=np.zeros_like(dot), where=both > 0) * 1e6 + 0.5) / 1e6
-
-    spark = queries.sparkSession
-    names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(found)], f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    best = best_per_block(vectors.select("id", F.col("ord").cast("long").alias("ord"), "buckets", "weights"), score, len(found), k)
-    return best.join(F.broadcast(names), "q").select("query_id", "rank", "id", "ord", "score")
+    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "buckets", "weights")
 
+    def one_pass(found):
+        dense = np.zeros((len(found), dim))
+        for i, r in enumerate(found):
+            dense[i, r["buckets"]] = r["weights"]
+        norm_q = np.sqrt((dense**2).sum(axis=1))
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits."""
-    found = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    dense = np.array([r["embedding"] for r in found], float)
-    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+        def score(batch):
+            n, size = batch.num_rows, np.array([len(x) for x in batch.column(2)], np.int64)
+            own = np.zeros((n, dim))
+            own[np.repeat(np.arange(n), size), np.concatenate(batch.column(2).to_pylist() or [[]]).astype(np.int64)] = np.concatenate(batch.column(3).to_pylist() or [[]])
+            both = norm_q[:, None] * np.sqrt((own**2).sum(axis=1))[None, :]
+            dot = dense @ own.T
+            return np.floor(np.divide(dot, both, out=np.zeros_like(dot), where=both > 0) * 1e6 + 0.5) / 1e6
+
+        return _named(best_per_block(rows, score, len(found), k), queries, found).select("query_id", "rank", "id", "ord", "score")
+
+    return in_passes(vector_rows(queries, "query_id", dim).select("query_id", "buckets", "weights").orderBy("query_id"), one_pass)
 
-    def score(batch):
-        own = np.array(batch.column(2).to_pylist(), float)
-        return np.round(dense @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T, 6)
 
+def _named(best: DataFrame, queries: DataFrame, found: list) -> DataFrame:
+    """Numbers of a pass replaced by the ids of its queries."""
     names = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(found)], f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return best_per_block(vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding"), score, len(found), k).join(F.broadcast(names), "q").select("query_id", "rank", "id", "score")
+    return best.join(F.broadcast(names), "q")
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), of any number, ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits."""
+    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding")
+
+    def one_pass(found):
+        dense = np.array([r["embedding"] for r in found], float)
+        if found:
+            dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+
+        def score(batch):
+            own = np.array(batch.column(2).to_pylist(), float)
+            return np.round(dense @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T, 6)
+
+        return _named(best_per_block(rows, score, len(found), k), queries, found).select("query_id", "rank", "id", "score")
+
+    return in_passes(queries.select("query_id", "embedding").orderBy("query_id"), one_pass)
 
 
 def index_status(vectors: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def related_chunks(spark, sf_dir):
 
     numbered = pages.withColumn("q", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("int"))
     chunks = corpus(spark, sf_dir).filter("source_type = 'kb'").select("id", "ord", word(F.col("text")).alias("terms"), F.lit(None).cast("string").alias("side"))
-    return U.overlaps(numbered, chunks).join(F.broadcast(numbered.select("q", "query_id")), "q").select("query_id", "rank", "id", F.col("score").cast("int").alias("overlap"))
+    return U.overlaps(numbered, chunks).join(numbered.select("q", "query_id"), "q").select("query_id", "rank", "id", F.col("score").cast("int").alias("overlap"))
 
 
 def context_items(spark, sf_dir):

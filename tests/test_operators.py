@@ -1,12 +1,13 @@
 """Edge cases of the library's operators on small hand-written rows."""
 
+import random
 import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import assets, callgraph, chunking, facts, lineage, report, routes, search
+from factloom.operators import assets, callgraph, chunking, facts, fusion, lineage, report, routes, search
 from factloom.sources import corpus, state
 from factloom.streaming import incremental
 
@@ -142,3 +143,20 @@ def test_scan_api_calls(spark):
         ("axios.get", "/api/users/", 2, "axios.get('/api/users/' + (id))"), ("fetch", "/api/a", 3, "fetch(`/api/a`, {method: 'POST', body: f(\")\")})"),
         ("f", ")", 4, 'f(")")'), ("open", "/x", 6, "open('/x'"),
     ]
+
+
+def test_queries_in_passes(spark, monkeypatch):
+    """More queries than one pass takes are all answered, with the rows that a single pass gives."""
+    rng = random.Random(4)
+    rows = lambda n, c: [(i, i, [rng.random() for _ in range(4)], " ".join(rng.choices("abcdefgh", k=5))) for i in range(n)]
+    queries = spark.createDataFrame(rows(11, 0), "query_id long, ord long, embedding array<double>, text string")
+    vectors = spark.createDataFrame(rows(20, 1), "id long, ord long, embedding array<double>, text string")
+    sparse = search.vector_rows(vectors.select("id", "ord", "text"))
+    anchors = queries.select(F.col("query_id").cast("int").alias("q"), F.split("text", " ").alias("terms"), F.lit(None).cast("string").alias("side"), F.array(F.col("query_id")).alias("excluded"))
+    records = vectors.select("id", "ord", F.split("text", " ").alias("terms"), F.lit("c").alias("side"))
+    ways = [lambda: search.dense_search(queries, vectors, 3), lambda: search.search(queries.select("query_id", "text"), sparse, 3), lambda: fusion.overlaps(anchors, records, 3)]
+    for way in ways:
+        monkeypatch.setattr(search, "MAX_QUERIES", 100)
+        whole = sorted(way().collect())
+        monkeypatch.setattr(search, "MAX_QUERIES", 4)
+        assert sorted(way().collect()) == whole and len({r[0] for r in whole}) == 11
