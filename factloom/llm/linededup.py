@@ -1,11 +1,13 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's set holds its distinct lower-cased words between ASCII blanks; lines of fewer than ``MIN_WORDS`` distinct words stay as
-they are. A line goes if an earlier one (by doc_id, then position) has a Jaccard similarity of 0.8 or more with it.
+A line's set holds its distinct lower-cased words between ASCII blanks. A line goes if an earlier one (by doc_id, then position)
+has a Jaccard similarity of 0.8 or more with it. :func:`remove_lines` judges every line that has a word; the query, like its SQL,
+leaves lines of fewer than ``MIN_WORDS`` distinct words as they are.
 
 Lines with equal sets form a class, of which only the first goes on. Words are ordered by rarity: a table of 2^19 hash buckets,
 counted over all documents, gives each word a level, and rarer levels come first, ties by hash. Two sets of similarity t share a
-word among the first ``n - ceil(t n) + 1`` words of each (prefix filter). Candidates that share one must also fit in length
+word among the first ``n - ceil(t n) + 1`` words of each (prefix filter). Sets of up to ``ALONE`` words match equal sets only, so
+they have no prefix. Candidates that share one must also fit in length
 (n_x >= t n_y), in position (the words that are left must suffice), and in bitmaps of parities, of which no more bits can
 differ than the sets' difference has words. All three lose nothing. What is left is verified on the words themselves.
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 PERCENT, MIN_WORDS, HOT = 80, 5, 64
+#: The largest set whose similarity with every other set is under PERCENT: 3 of 4 words are 0.75, but 4 of 5 are 0.8.
+ALONE = (PERCENT - 1) // (100 - PERCENT)
 #: Pairs of lines of more distinct words compare bitmaps of 128 bits, others of 64; lines that fit no shorter ones lack the latter.
 LONG = 40
 BUCKET_BITS = 19
@@ -57,8 +61,8 @@ def _order(lines: DataFrame):
     return F.col("doc_id").cast(kind) * F.lit(1 << bits).cast(kind) + F.col("pos").cast(kind)
 
 
-def measured_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, k1, k2, n, bitmap, bitmap2, bitmap3, prefix) of every line with enough words.
+def measured_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, pos, k1, k2, n, bitmap, bitmap2, bitmap3, prefix) of every line with ``least`` distinct words or more.
 
     Prefix words are hashes of 31 bits, doubled, plus 1 if the word's level says that more than HOT lines may have it. Hashes only
     find candidates, so that words that share one do no harm.
@@ -77,9 +81,9 @@ def measured_lines(docs: DataFrame) -> DataFrame:
         F.when(F.size(s) * PERCENT <= LONG * 100, parity(s, lambda t: F.lit(True))).otherwise(F.lit(0).cast("long")).alias("bitmap"),
         F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) == 0)).otherwise(F.lit(0).cast("long")).alias("bitmap2"),
         F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("long")).alias("bitmap3"),
-        F.transform(F.slice(s, F.lit(1), F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
+        F.transform(F.slice(s, F.lit(1), F.when(F.size(s) <= ALONE, 0).otherwise(F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1)), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
     ))
-    return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= MIN_WORDS).withColumn("prefix", F.col("prefix").cast("array<long>"))
+    return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= least).withColumn("prefix", F.col("prefix").cast("array<long>"))
 
 
 def _packed(classes: DataFrame) -> DataFrame:
@@ -131,9 +135,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     return found.union(similar(rest))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos): every line that an earlier line matches."""
-    lines = cut(measured_lines(docs), "lines")
+def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, pos): every line of ``least`` distinct words or more that an earlier one matches."""
+    lines = cut(measured_lines(docs, least), "lines")
     order = _order(lines)
     classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in _BITMAPS], F.any_value("prefix").alias("prefix"))
     classes = cut(classes, "line-classes")
@@ -153,8 +157,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """Documents without their removed lines (``n_chars`` follows, if there is one); documents that lose all their words go."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
+    """Documents without their removed lines, short ones too (``n_chars`` follows, if there is one); documents that lose all their words go."""
+    gone = removed_lines(docs, 1).groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     found = docs.join(gone, "doc_id", "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     found = found.filter(F.col("_gone").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))

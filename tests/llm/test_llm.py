@@ -232,6 +232,18 @@ def test_line_dedup(spark, odd):
     assert {(9, 0), (9, 1), (9, 2), (2, 0), (3, 0)} == {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(odd).collect()}
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of few distinct words against the plain rule, those of 4 and 5 words that match each other among them."""
+    rng = random.Random(12)
+    lines = ["All rights reserved.", "a b c d e", "a b c d", "b c d", "d c b", "one", "ONE one", "", " ", "all rights reserved.", "e d b a"] + [" ".join(rng.choices("p q r s t u".split(), k=rng.randint(1, 7))) for _ in range(60)] + ["la " * 119] * 2
+    rows = [(i, f"mark{i} {' '.join(f'own{i}x{j}' for j in range(9))}\n{t}", "", "", 0) for i, t in enumerate(lines)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sets = [set(t.lower().split()) for t in lines]
+    want = {i for i, s in enumerate(sets) if s and any(len(s & o) * 5 >= 4 * len(s | o) for o in sets[:i])}
+    assert {r["doc_id"]: r["text"] for r in linededup.remove_lines(docs).collect()} == {i: t.split("\n")[0] if i in want else t for i, t, *_ in rows}
+    assert {r["doc_id"] for r in linededup.removed_lines(docs, 1).collect()} == want and {2, 4, 6, 9, 10, len(lines) - 1} <= want
+
+
 def test_line_dedup_hot_words(spark, monkeypatch):
     """With a tiny limit all words are hot; the result is that of the plain rule."""
     monkeypatch.setattr(linededup, "HOT", 1)
