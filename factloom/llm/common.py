@@ -1,12 +1,17 @@
-"""What the operators of this package share: table reads, the shared work folder, cut lineage."""
+"""What the operators of this package share: table reads, the shared work folder, tables that cut the lineage and their removal."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that :func:`cut` wrote within the open :func:`scratch` blocks.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark."""
@@ -14,18 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one of our own only where it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``).
+
+    Where it is unset, a temporary one of our own, which only a local master can read; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; it outlives the :func:`scratch` blocks around it.
 
     This cuts the lineage and survives a lost executor: what was written need not be computed again.
     """
@@ -37,11 +47,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove what :func:`cut` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._factloom_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """:func:`keep`, but only until the :func:`scratch` block around it ends."""
+    out = keep(df, name)
+    if _MADE.get() is not None:
+        _MADE.get().append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what :func:`cut` or :func:`keep` wrote, once nothing reads it any more.
+
+    Spark deletes shuffle files once the driver has collected the plans that made them; asking for that here keeps the disks of
+    long jobs from filling up with shuffles that nobody reads.
+    """
+    made = _MADE.get()
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._factloom_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if made is not None:
+            made[:] = [m for m in made if m is not df]
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+@contextmanager
+def scratch():
+    """Tables that are :func:`cut` within the block are removed at its end; the block's result must be kept."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        drop(*made)
+        _MADE.reset(token)
 
 
 def with_columns(schema, *fields: str):

@@ -1,21 +1,29 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's set holds its distinct lower-cased words between ASCII blanks. A line goes if an earlier one (by doc_id, then position)
-has a Jaccard similarity of 0.8 or more with it. :func:`remove_lines` judges every line that has a word; the query, like its SQL,
-leaves lines of fewer than ``MIN_WORDS`` distinct words as they are.
-
-Lines with equal sets form a class, of which only the first goes on. Words are ordered by rarity: a table of 2^19 hash buckets,
-counted over all documents, gives each word a level, and rarer levels come first, ties by hash. Two sets of similarity t share a
-word among the first ``n - ceil(t n) + 1`` words of each (prefix filter). Sets of up to ``ALONE`` words match equal sets only, so
-they have no prefix. Candidates that share one must also fit in length
-(n_x >= t n_y), in position (the words that are left must suffice), and in bitmaps of parities, of which no more bits can
-differ than the sets' difference has words. All three lose nothing. What is left is verified on the words themselves.
-
-A prefix word that more than ``HOT`` classes share does not emit all their pairs: its classes are compared with the first of
-them, and only those that remain without an earlier match are compared with the others.
-
-Cases: null or empty texts have no lines to judge; lines of documents with a null doc_id are left alone; rows of one doc_id count
-as one document; ties go by doc_id and position; other columns stay; empty tables give empty results.
+A line's set holds its distinct lower-cased words between ASCII blanks. A line that has a word goes if an earlier one (by doc_id,
+then position) has a Jaccard similarity of 0.8 or more with it. Lines with equal sets form a class, of which only the first is
+compared with other classes.
+
+Words are ordered by rarity: a table of 2^20 hash buckets, counted over all documents, gives each word a level, and rarer levels
+come first, ties by hash. Two sets of similarity t have at least a = ceil(t n) words in common, so they share l of the first
+n - a + l words of each, for any l up to a (prefix filter). A single shared word says little once a corpus is large. Therefore
+
+* a word that occurs ``RARE`` times or less is a key by itself; as few lines can have it, all that share it are compared;
+* other words are dealt to ``m`` parts by their hash, and every ``wise`` of them that lie in one part are a key together.
+
+With l = 1 + m (wise - 1), the shared words have a rare one, or else ``wise`` of them are in one part: nothing is lost. Longer
+lines have more parts (``BANDS``); a line joins the band below as well if a shorter partner can be there. The number of keys a
+line follows from its length and not from the corpus, and ``wise`` grows with the corpus, so that keys stay selective.
+Sets of fewer than eight words can only match equal ones or those with one word more or less: their key is the set, and that of
+sets of up to eight words every set without one word.
+
+Candidates that share a key must also fit in length (n_x >= t n_y) and in position (the words that are left must suffice). What
+is left is verified on the whole sets (64-bit hashes of their words). A key that more than ``HOT`` classes share does not emit all their pairs: its
+classes are compared with the first of them, and only those without an earlier match then meet the earlier ones of fitting length.
+
+Cases: null or empty texts have no lines to judge; lines without a word and lines of documents with a null doc_id are left
+alone; rows of one doc_id count as one document; ties go by doc_id and position; very long lines are judged whole; doc_ids may be
+of any ordered type; other columns stay; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,142 +31,199 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-
-PERCENT, MIN_WORDS, HOT = 80, 5, 64
-#: The largest set whose similarity with every other set is under PERCENT: 3 of 4 words are 0.75, but 4 of 5 are 0.8.
-ALONE = (PERCENT - 1) // (100 - PERCENT)
-#: Pairs of lines of more distinct words compare bitmaps of 128 bits, others of 64; lines that fit no shorter ones lack the latter.
-LONG = 40
-BUCKET_BITS = 19
-#: Line numbers that are broadcast at most (about 16 bytes each), to find the texts of candidates; beyond that, lines are shuffled.
-BROADCAST_LINES = 1_000_000
+from .common import cut, keep, scratch, table
+
+PERCENT = 80
+#: Words of more occurrences are keys only together; keys of more classes are hot.
+RARE, HOT = 8, 256
+#: (least number of words, parts) of each band of lengths. Shorter lines are matched by sets without one word.
+BANDS = ((8, 2), (16, 3), (32, 5), (64, 8))
+BUCKET_BITS = 20
+#: Beyond so many classes, keys have three words in place of two.
+MANY_CLASSES = 1 << 31
+#: Keys or line numbers that are broadcast at most (about 16 bytes each); beyond that, the tables are shuffled.
+BROADCAST_ROWS = 1_000_000
 _LOW = (1 << 56) - 1
-_BITMAPS = ("bitmap", "bitmap2", "bitmap3")
+#: A prefix word is a number of 31 bits: 29 of its hash, whether it is often seen, whether it may be in a hot key.
+_OFTEN, _BUSY = 1, 2
 
 
-def words(line: Column) -> Column:
-    """Lower-cased words between ASCII blanks."""
-    return F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), "")
+def _plain(text: Column, blanks: str = "\t\x0b\x0c\r") -> Column:
+    """The lower-cased text with blanks in place of other ASCII blanks; looking for each is much cheaper than a pattern."""
+    for c in blanks:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.lower(text)
 
 
-def rarity_levels(docs: DataFrame) -> bytearray:
-    """For each hash bucket, half-steps of log2 of how many words of all documents fall into it."""
-    bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-    counts = docs.select(F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    levels = bytearray(1 << BUCKET_BITS)
-    for b, n in zip(*(c.to_pylist() for c in counts.toArrow().columns)):  # 2^19 rows at most
-        levels[b] = min(120, 2 * n.bit_length() - (n < 3 << max(0, n.bit_length() - 2)))
-    return levels
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line): the lines to judge, as plain texts; documents without an id have none."""
+    return docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line"))
 
 
-def _order(lines: DataFrame):
-    """A number that orders lines by (doc_id, pos): a long where it fits, else a decimal."""
-    low, high, pos = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("pos")).first()
-    bits = int(pos or 0).bit_length() + 1
-    fits = max(abs(int(low or 0)), abs(int(high or 0))).bit_length() + bits < 63
-    kind = "long" if fits else "decimal(38,0)"
-    return F.col("doc_id").cast(kind) * F.lit(1 << bits).cast(kind) + F.col("pos").cast(kind)
+def _hashes(line: Column) -> Column:
+    """Hashes of a plain line's words."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
 
 
-def measured_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos, k1, k2, n, bitmap, bitmap2, bitmap3, prefix) of every line with ``least`` distinct words or more.
+def _level(count: int) -> int:
+    """Half-steps of log2."""
+    return min(120, 2 * count.bit_length() - (count < 3 << max(0, count.bit_length() - 2)))
 
-    Prefix words are hashes of 31 bits, doubled, plus 1 if the word's level says that more than HOT lines may have it. Hashes only
-    find candidates, so that words that share one do no harm.
-    """
-    levels = F.split(F.lit(",".join(map(str, rarity_levels(docs)))), ",").cast("array<int>")  # folded to one literal
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashes = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
-    at = lambda h: h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
-    coded = F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(levels, at(h)), F.lit(0)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
-    bound = F.array(F.sort_array(F.array_distinct(coded)))
-    hot = F.lit((2 * HOT.bit_length() - 1) << 56)
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda s, those: F.aggregate(s, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.when(those(t), bit(t)).otherwise(0)))
-    summary = F.transform(bound, lambda s: F.struct(
-        F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(17), s).alias("k2"), F.size(s).alias("n"),
-        F.when(F.size(s) * PERCENT <= LONG * 100, parity(s, lambda t: F.lit(True))).otherwise(F.lit(0).cast("long")).alias("bitmap"),
-        F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) == 0)).otherwise(F.lit(0).cast("long")).alias("bitmap2"),
-        F.when(F.size(s) > LONG, parity(s, lambda t: t.bitwiseAND(F.lit(64)) != 0)).otherwise(F.lit(0).cast("long")).alias("bitmap3"),
-        F.transform(F.slice(s, F.lit(1), F.when(F.size(s) <= ALONE, 0).otherwise(F.size(s) - F.ceil(F.size(s) * F.lit(PERCENT) / 100).cast("int") + 1)), lambda t: (F.shiftrightunsigned(F.shiftleft(t, 16), 33) * 2 + F.when(t >= hot, 1).otherwise(0))).alias("prefix"),
-    ))
-    return lines.select("doc_id", "pos", F.inline(summary)).filter(F.col("n") >= least).withColumn("prefix", F.col("prefix").cast("array<long>"))
-
-
-def _packed(classes: DataFrame) -> DataFrame:
-    """(a, ord, bitmaps) for each prefix word of each class; ``a`` holds the word's 32 bits, the line's size and the word's place."""
-    a = F.shiftleft(F.col("word"), 32).bitwiseOR(F.shiftleft(F.least("n", F.lit(65535)).cast("long"), 16)).bitwiseOR(F.least("i", F.lit(65535)).cast("long"))
-    return classes.select("ord", "n", *_BITMAPS, F.posexplode("prefix").alias("i", "word")).select(a.alias("a"), "ord", *_BITMAPS)
-
-
-def _word(a: str) -> Column:
-    return F.shiftrightunsigned(F.col(a), 32)
-
-
-def _met(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(ord_x, ord_y): pairs of a later line x and an earlier line y that share a prefix word and fit each other."""
-    part = lambda c, shift: F.shiftright(F.col(c), shift).bitwiseAND(F.lit(65535))
-    one, two = (df.select(F.col("a").alias(f"a_{c}"), F.col("ord").alias(f"ord_{c}"), *[F.col(b).alias(f"{b}_{c}") for b in _BITMAPS]) for df, c in ((x, "x"), (y, "y")))
-    nx, ny, ix, iy = part("a_x", 16), part("a_y", 16), part("a_x", 0), part("a_y", 0)
+
+def rarity_levels(docs: DataFrame) -> bytes:
+    """For each hash bucket, the level of how many words of all documents fall into it."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    counts = docs.select(F.explode(F.split(_plain(F.col("text"), "\n\t\x0b\x0c\r"), " ")).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    levels = bytearray(1 << BUCKET_BITS)
+    for b, n in zip(*(c.to_pylist() for c in counts.filter("n > 1").toArrow().columns)):  # 2^20 rows at most
+        levels[b] = _level(n)
+    return bytes(levels)
+
+
+def _at_most(n: Column) -> Column:
+    """How many of n words a set can lack and still match another one: n - ceil(t n)."""
+    return F.floor(n * (100 - PERCENT) / 100).cast("int")
+
+
+def _by_band(n: Column, values) -> Column:
+    """The value of the band that n lies in; for the shortest lines that of the first."""
+    found = F.lit(values[0])
+    for (least, _), value in zip(BANDS, values):
+        found = F.when(n >= least, F.lit(value)).otherwise(found)
+    return found
+
+
+def measured_lines(docs: DataFrame, wise: int) -> DataFrame:
+    """(doc_id, pos, k1, k2, n, prefix) of every line that has a word; k1 and k2 are hashes of its set, n is the set's size."""
+    levels = F.lit(rarity_levels(docs))
+    level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    coded = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
+    flags = lambda t: F.when(t >= F.lit(_level(HOT + 1) << 56), _OFTEN + _BUSY).when(t > F.lit((_level(RARE) + 1 << 56) - 1), _OFTEN).otherwise(0)
+    packed = lambda t: (F.shiftright(t, 24).bitwiseAND(F.lit((1 << 29) - 1)) * 4 + flags(t)).cast("int")
+    # explode() of one set: a plain column would be copied into every expression that uses it
+    sets = _lines(docs).select("doc_id", "pos", F.explode(F.array(F.sort_array(F.array_distinct(coded)))).alias("s")).filter(F.size("s") > 0)
+    n = F.size("s")
+    size = F.when(n <= BANDS[0][0], n).otherwise(_at_most(n) + 1 + _by_band(n, [m for _, m in BANDS]) * (wise - 1))
+    return sets.select("doc_id", "pos", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(17), "s").alias("k2"), n.alias("n"), F.transform(F.slice("s", F.lit(1), size), packed).alias("prefix"))
+
+
+def _order(lines: DataFrame) -> Column:
+    """What orders lines by (doc_id, pos): one long where both fit, else a struct."""
+    if lines.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        low, high, pos = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("pos")).first()
+        bits = (pos or 0).bit_length() + 1
+        if max(abs(low or 0), abs(high or 0)).bit_length() + bits < 63:
+            return F.col("doc_id").cast("long") * F.lit(1 << bits) + F.col("pos")
+    return F.struct("doc_id", "pos")
+
+
+def _keys(classes: DataFrame, wise: int) -> DataFrame:
+    """(key, ord, busy, n, i): the keys of every class of eight words or more; i is the place of the key's last word."""
+    n, part = F.col("n"), lambda c: F.shiftright(c, 2) % F.col("m")
+    ends = [least for least, _ in BANDS[1:]] + [1 << 30]
+    bands = F.array(*[F.when((n >= least) & (n - _at_most(n) < end), b) for b, ((least, _), end) in enumerate(zip(BANDS, ends))])
+    lines = classes.filter(n >= BANDS[0][0]).select("ord", "n", "prefix", F.explode(bands).alias("band")).filter("band is not null")
+    parts = F.get(F.array(*[F.lit(m) for _, m in BANDS]), F.col("band"))
+    lines = lines.withColumn("m", parts).select("ord", "n", "band", "m", F.slice("prefix", F.lit(1), _at_most(n) + 1 + F.col("m") * (wise - 1)).alias("p"))
+    single = lines.select("*", F.posexplode("p").alias("i", "w")).withColumn("key", F.xxhash64("band", "w"))
+    often = lambda c: F.col(c).bitwiseAND(F.lit(_OFTEN)) > 0
+    rare = single.filter(~often("w")).select("key", "ord", F.lit(False).alias("busy"), "n", "i")
+    some = single.filter(often("w")).withColumn("busy", F.col("w"))
+    for _ in range(wise - 1):
+        some = some.select("*", F.posexplode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("j", "v")).filter(often("v") & (part(F.col("v")) == part(F.col("w")))).select(
+            "ord", "n", "band", "m", "p", (F.col("i") + 1 + F.col("j")).alias("i"), "w", F.xxhash64("key", "v").alias("key"), F.col("busy").bitwiseAND(F.col("v")).alias("busy")
+        )
+    return rare.union(some.select("key", "ord", F.col("busy").bitwiseAND(F.lit(_BUSY)) > 0, "n", "i"))
+
+
+def _fitting(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+    """(ord_x, ord_y): pairs of a later line x and an earlier line y that agree in the columns ``on`` and fit in length and position."""
+    nx, ny, ix, iy = (F.col(c) for c in ("x.n", "y.n", "x.i", "y.i"))
     sized = 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
     placed = (1 + F.least(nx - 1 - ix, ny - 1 - iy) + F.least(ix, iy)) * (100 + PERCENT) >= PERCENT * (nx + ny)
-    bits = lambda b: F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y")))
-    most = (100 - PERCENT) * (nx + ny)
-    long = (nx > LONG) & (ny > LONG)
-    apart = (long | (bits("bitmap") * (100 + PERCENT) <= most)) & (~long | ((bits("bitmap2") + bits("bitmap3")) * (100 + PERCENT) <= most))
-    longest = (nx == 65535) | (ny == 65535)  # sizes and places of such lines are cut off, so they are verified anyway
-    return one.join(two, _word("a_x") == _word("a_y")).filter((F.col("ord_x") > F.col("ord_y")) & (longest | (sized & apart & placed))).select("ord_x", "ord_y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    return x.alias("x").join(y.alias("y"), [*same, F.col("x.ord") > F.col("y.ord"), sized, placed]).select(F.col("x.ord").alias("ord_x"), F.col("y.ord").alias("ord_y"))
+
+
+def _short_pairs(classes: DataFrame) -> DataFrame:
+    """(ord_x, ord_y): pairs of short sets of which one is the other without one word."""
+    most = BANDS[0][0]
+    n, without = F.col("n"), F.concat(F.slice("prefix", F.lit(1), F.col("i")), F.slice("prefix", F.col("i") + 2, F.lit(most)))
+    least = 100 // (100 - PERCENT)
+    whole = classes.filter((n >= least - 1) & (n < most)).select("ord", F.xxhash64("prefix").alias("key"))
+    less = classes.filter((n >= least) & (n <= most)).select("ord", "prefix", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("ord", F.xxhash64(without).alias("key"))
+    met = whole.alias("x").join(less.alias("y"), F.col("x.key") == F.col("y.key"))
+    return met.select(F.greatest("x.ord", "y.ord").alias("ord_x"), F.least("x.ord", "y.ord").alias("ord_y")).filter("ord_x > ord_y")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The table, broadcast if its size has been checked."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     """Lines (by order number) with an earlier match among the pairs (ord_x later, ord_y earlier).
 
-    One match is enough, so each line is compared with the earliest of its candidates, and with the others only if that fails.
+    Bitmaps of parities come first: no more bits can differ than the sets' difference has words. One match is enough, so each line
+    is then compared with the earliest of its candidates, and with the others only if that fails.
     """
-    ends = cut(pairs.select("ord_x", "ord_y").distinct(), "line-pairs")
+    ends = cut(pairs.distinct(), "line-pairs")
     wanted = cut(ends.select(F.col("ord_x").alias("ord")).union(ends.select("ord_y")).distinct(), "line-ids")
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("ord", order)
-    few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "ord", "left_semi").select("ord", "line").distinct(), "line-texts")
+    lines = _lines(docs).withColumn("ord", order).join(_small(wanted), "ord", "left_semi")
+    sets = cut(lines.select("ord", F.array_distinct(_hashes(F.col("line"))).alias("w")).dropDuplicates(["ord"]), "line-words")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    parts = [F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(3)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(4)]
+    maps = cut(sets.select("ord", F.explode("w").alias("h")).groupBy("ord").agg(F.count("*").alias("n"), *parts), "line-maps")
+    named = lambda df, c: df.select(*[F.col(x).alias(f"{x}_{c}") for x in df.columns])
+    differ = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(1, 4)), F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))))
+    near = ends.join(named(maps, "x"), "ord_x").join(named(maps, "y"), "ord_y").filter(differ * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y")))
+    near = cut(near.select("ord_x", "ord_y"), "line-near-pairs")
 
     def similar(some):
-        """Lines are joined as texts, which are much smaller than arrays of words."""
-        both = some.join(texts.select(F.col("ord").alias("ord_x"), F.col("line").alias("line_x")), "ord_x").join(texts.select(F.col("ord").alias("ord_y"), F.col("line").alias("line_y")), "ord_y")
-        sets = F.array(F.struct(F.array_distinct(words(F.col("line_x"))).alias("x"), F.array_distinct(words(F.col("line_y"))).alias("y")))
-        alike = F.exists(sets, lambda s: F.size(F.array_intersect(s["x"], s["y"])) * (100 + PERCENT) >= PERCENT * (F.size(s["x"]) + F.size(s["y"])))
-        return both.filter(alike).select(F.col("ord_x").alias("ord")).distinct()
+        both = some.join(named(sets, "x"), "ord_x").join(named(sets, "y"), "ord_y")
+        return both.filter(F.size(F.array_intersect("w_x", "w_y")) * (100 + PERCENT) >= PERCENT * (F.size("w_x") + F.size("w_y"))).select(F.col("ord_x").alias("ord")).distinct()
 
-    first = ends.groupBy("ord_x").agg(F.min("ord_y").alias("ord_y"))
+    first = near.groupBy("ord_x").agg(F.min("ord_y").alias("ord_y"))
     found = cut(similar(first), "lines-similar")
-    rest = ends.join(found.withColumnRenamed("ord", "ord_x"), "ord_x", "left_anti").join(first, ["ord_x", "ord_y"], "left_anti")
+    rest = near.join(found.withColumnRenamed("ord", "ord_x"), "ord_x", "left_anti").join(first, ["ord_x", "ord_y"], "left_anti")
     return found.union(similar(rest))
 
 
-def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, pos): every line of ``least`` distinct words or more that an earlier one matches."""
-    lines = cut(measured_lines(docs, least), "lines")
+def removed_lines(docs: DataFrame, wise: int | None = None) -> DataFrame:
+    """(doc_id, pos): every line that an earlier one matches. ``wise``: words of a key; it follows the corpus if it is not given."""
+    with scratch():
+        return keep(_removed(docs, wise), "lines-removed")
+
+
+def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
+    if wise is None:  # the number of lines is known only with the lines, so the texts' line feeds bound it
+        most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+        wise = 2 if most <= MANY_CLASSES else 3
+    lines = cut(measured_lines(docs, wise), "lines")
     order = _order(lines)
-    classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in _BITMAPS], F.any_value("prefix").alias("prefix"))
-    classes = cut(classes, "line-classes")
-    keyed = _packed(classes)
-    maybe = keyed.filter(_word("a") % 2 == 1)
-    shared = cut(maybe.groupBy(_word("a").alias("word")).agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-words")
-    usual = keyed.join(shared, _word("a") == F.col("word"), "left_anti")
-    pairs = _met(usual, usual)
-
-    hot = cut(maybe.join(shared, _word("a") == F.col("word")).select("a", "ord", *_BITMAPS, "first"), "hot-lines")
-    stars = _met(hot, hot.filter("ord = first"))
-    gone = cut(_verified(pairs.union(stars), docs, order), "lines-gone")
-    rest = hot.join(gone, "ord", "left_anti")
-    gone = gone.union(_verified(_met(rest, hot), docs, order)).distinct().withColumn("near", F.lit(True))
-    verdicts = classes.select("k1", "k2", "ord").join(gone, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.select("doc_id", "pos", "k1", "k2", order.alias("ord")).join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
+    numbered = lines.withColumn("ord", order)
+    classes = cut(numbered.groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "line-classes")
+
+    keyed = _keys(classes, wise)
+    hot_keys = cut(keyed.filter("busy").groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
+    usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
+    hot = cut(keyed.filter("busy").join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
+    pairs = _fitting(usual, usual, "key").union(_fitting(hot, hot.filter("ord = first"), "key")).union(_short_pairs(classes))
+    gone = cut(_verified(pairs, docs, order), "lines-gone")
+
+    # lines of hot keys that are still without a match meet the earlier lines of a similar length
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    rest = hot.join(gone, "ord", "left_anti").select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    more = _verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order)
+    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+
+    verdicts = classes.select("k1", "k2", "ord").join(near, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    return numbered.select("doc_id", "pos", "k1", "k2", "ord").join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """Documents without their removed lines, short ones too (``n_chars`` follows, if there is one); documents that lose all their words go."""
-    gone = removed_lines(docs, 1).groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
+    """Documents without their removed lines (``n_chars`` follows, if there is one); documents that lose all their words go."""
+    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     found = docs.join(gone, "doc_id", "left").withColumn("_left", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     found = found.filter(F.col("_gone").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
@@ -181,7 +246,7 @@ WITH l AS (
   SELECT doc_id, i - 1 AS pos, list_distinct(regexp_extract_all(lower(s[i]), '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), c AS (
-  SELECT list_sort(w) AS k, len(list_sort(w)) AS n, min((doc_id, pos)) AS first FROM l WHERE len(w) >= 5 GROUP BY 1, 2
+  SELECT list_sort(w) AS k, len(list_sort(w)) AS n, min((doc_id, pos)) AS first FROM l WHERE len(w) > 0 GROUP BY 1, 2
 ), ids AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM c),
 t AS (SELECT id, n, unnest(k) AS t FROM ids),
 p AS (SELECT x.id, x.n AS nx, y.n AS ny, y.id AS y, count(*) AS o FROM t x JOIN t y ON x.t = y.t AND x.id > y.id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY 1, 2, 3, 4),

@@ -225,7 +225,7 @@ def test_line_dedup(spark, odd):
     line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(2, f"{line}\nother words that stand here alone", "", "", 0), (1, line + "\nshort one\nshort one", "", "", 0), (3, line.replace("kappa", "lambda"), "", "", 0), (4, " ".join(line.split()[:7]), "", "", 0), (5, None, "", "", 0), (None, line, "", "", 0), (1, line + "\nshort one\nshort one", "", "", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("ord", F.lit("clash"))
-    assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {(2, 0), (3, 0)}
+    assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {(1, 2), (2, 0), (3, 0)}
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in linededup.remove_lines(docs).collect()}
     assert left[2] == ("other words that stand here alone", 33) and 3 not in left and left[None][0] == line and 5 in left
     assert linededup.removed_lines(empty(spark)).count() == 0
@@ -241,18 +241,30 @@ def test_line_dedup_short_lines(spark):
     sets = [set(t.lower().split()) for t in lines]
     want = {i for i, s in enumerate(sets) if s and any(len(s & o) * 5 >= 4 * len(s | o) for o in sets[:i])}
     assert {r["doc_id"]: r["text"] for r in linededup.remove_lines(docs).collect()} == {i: t.split("\n")[0] if i in want else t for i, t, *_ in rows}
-    assert {r["doc_id"] for r in linededup.removed_lines(docs, 1).collect()} == want and {2, 4, 6, 9, 10, len(lines) - 1} <= want
+    assert {r["doc_id"] for r in linededup.removed_lines(docs).collect()} == want and {2, 4, 6, 9, 10, len(lines) - 1} <= want
 
 
-def test_line_dedup_hot_words(spark, monkeypatch):
-    """With a tiny limit all words are hot; the result is that of the plain rule."""
-    monkeypatch.setattr(linededup, "HOT", 1)
+@pytest.mark.parametrize("rare, hot, wise", [(8, 256, 2), (0, 256, 2), (0, 1, 2), (3, 2, 2), (0, 256, 3), (2, 1, 3)])
+def test_line_dedup_keys(spark, monkeypatch, rare, hot, wise):
+    """Lines of 1 to 90 words, with tiny limits too, so that words are often seen and keys hot; the result is that of the plain rule."""
+    monkeypatch.setattr(linededup, "RARE", rare), monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(6)
-    lines = [" ".join(rng.sample("a b c d e f g h i j k l".split(), rng.randint(5, 10))) for _ in range(120)]
-    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(lines)], DOCS)
+    lines = []
+    for size in (5, 7, 8, 9, 12, 15, 16, 18, 31, 33, 60, 66, 80):
+        pool = [f"w{i}" for i in range(size + 3)]
+        lines += [" ".join(rng.sample(pool, rng.randint(max(1, size - 3), size))) for _ in range(25)]
+        base = rng.sample([f"v{i}" for i in range(400)], size)
+        lines += [" ".join(w if rng.random() > 0.1 else rng.choice(pool) for w in base) for _ in range(25)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i // 3, "\n".join(lines[i : i + 3]), "", "", 0) for i in range(0, len(lines), 3)], DOCS)
     sets = [set(t.split()) for t in lines]
     want = {i for i, s in enumerate(sets) if any(len(s & o) * 5 >= 4 * len(s | o) for o in sets[:i])}
-    assert {r["doc_id"] for r in linededup.removed_lines(docs).collect()} == want
+    assert {3 * r["doc_id"] + r["pos"] for r in linededup.removed_lines(docs, wise).collect()} == want
+
+
+def test_line_dedup_text_ids(spark):
+    docs = spark.createDataFrame([("b", "one two three"), ("a", "three two one\n"), ("a", None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {("b", 0)}
 
 
 def test_near_duplicates(spark, odd):
