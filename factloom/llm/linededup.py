@@ -206,16 +206,18 @@ def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
 
     keyed = _keys(classes, wise)
     hot_keys = cut(keyed.filter("busy").groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
-    usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
-    hot = cut(keyed.filter("busy").join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
-    pairs = _fitting(usual, usual, "key").union(_fitting(hot, hot.filter("ord = first"), "key")).union(_short_pairs(classes))
-    gone = cut(_verified(pairs, docs, order), "lines-gone")
-
-    # lines of hot keys that are still without a match meet the earlier lines of a similar length
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    rest = hot.join(gone, "ord", "left_anti").select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    more = _verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order)
-    near = gone.union(more).distinct().withColumn("near", F.lit(True))
+    if hot_keys.isEmpty():
+        gone = _verified(_fitting(keyed, keyed, "key").union(_short_pairs(classes)), docs, order)
+    else:
+        usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
+        hot = cut(keyed.filter("busy").join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
+        pairs = _fitting(usual, usual, "key").union(_fitting(hot, hot.filter("ord = first"), "key")).union(_short_pairs(classes))
+        gone = cut(_verified(pairs, docs, order), "lines-gone")
+        # lines of hot keys that are still without a match meet the earlier lines of a similar length
+        step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+        rest = hot.join(gone, "ord", "left_anti").select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+        gone = gone.union(_verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order))
+    near = gone.distinct().withColumn("near", F.lit(True))
 
     verdicts = classes.select("k1", "k2", "ord").join(near, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     return numbered.select("doc_id", "pos", "k1", "k2", "ord").join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
