@@ -2,20 +2,23 @@
 
 Documents are put in ascending doc_id order by a range partitioning and encoded with a public tokenizer; each partition is written
 as shards of about ``SHARD_IDS`` ids. Within a shard, frequent pairs of neighbouring ids (never across documents) are replaced by
-new symbols, round after round: a round takes the most frequent pairs of which no two can overlap, and ends the grammar once no
-pair is frequent enough. A shard row holds
+new symbols, round after round: a round takes the most frequent pairs of which no two can overlap. The grammar ends once no pair
+occurs ``MIN_COUNT`` times in its shard, or ``LIMIT`` rules are made (with 16-bit symbols: once these are used up, after about
+16,000 rules for a vocabulary of 49,408). A shard row holds
 
 * ``part, seq``: its place; ``first_new``: its first new symbol; ``n_docs, n_ids``; ``doc_ids``, ``n_tokens`` and ``symbol_ends`` of its documents,
 * ``rules``: the two symbols of each new symbol, ``lengths``: how many ids each new symbol stands for (random access),
 * ``sequence``: the shard's symbols. Numbers are little-endian; symbols have 16 bits where ids and rules fit, else 32.
 
 Encoding goes word by word: the tokenizer never joins across ASCII blanks, so distinct words are encoded once per worker and
-kept in a bounded cache. Cases: a null or empty text has only its end id; a null doc_id sorts first; rows of one doc_id are
+kept in a bounded cache. The names of its added tokens in a text give those tokens, as in the tokenizer's own encoding. Its file is
+read by the driver and broadcast (a few MB). Cases: a null or empty text has only its end id; a null doc_id sorts first; rows of one doc_id are
 ordered by a hash of their text; other columns are ignored; an empty table gives no shards.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 import zlib
@@ -24,11 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import keep, table
 
 END_ID = 1
 SHARD_IDS = 1 << 21
-ROUNDS, ROUND_RULES, MIN_COUNT = 8, 2000, 16
+ROUND_RULES, MIN_COUNT, LIMIT = 2000, 16, 1 << 16
 #: Distinct words that a worker keeps encoded.
 CACHE_WORDS = 1_000_000
 #: Words that are given to the tokenizer in one text, and told apart by their offsets.
@@ -41,7 +44,7 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, limit: int)
     seq, rules = seq.astype(np.uint32), []
     bits = 16 if first_new + limit <= 1 << 16 else 32
     wide = np.uint32 if bits == 16 else np.uint64
-    for _ in range(ROUNDS):
+    while True:
         inner = ~last[:-1]
         code = (seq[:-1].astype(wide, copy=False) << wide(bits)) | seq[1:]
         values, count = _frequent(code[inner])
@@ -103,8 +106,19 @@ def rule_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_new: int) -> np.ndarray:
-    """The ids that symbols stand for."""
+def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
+    """The ids that symbols stand for; only rules that these need are looked at."""
+    while (new := symbols >= first_new).any():
+        size = 1 + new
+        at = (np.cumsum(size) - size)[new]
+        pair = rules[symbols[new] - first_new]
+        symbols = np.repeat(symbols, size)
+        symbols[at], symbols[at + 1] = pair[:, 0], pair[:, 1]
+    return symbols.astype(np.uint32)
+
+
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_new: int) -> np.ndarray:
+    """:func:`expand` for whole shards: every rule is unfolded once, and its ids are copied to where it occurs."""
     ends = np.cumsum(lengths.astype(np.int64))
     flat = np.empty(first_new + int(lengths.sum()), np.uint32)
     flat[:first_new] = np.arange(first_new)
@@ -119,26 +133,35 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_ne
     return flat[np.repeat(start[symbols] - (np.cumsum(n) - n), n) + np.arange(total)]
 
 
-def _word_ids(tokenizer_file: str):
-    """(encoder of words to id bytes, first new symbol, number type); one per worker process, kept between tasks."""
+def _word_ids(tokenizer_json: str):
+    """(tokenizer, first new symbol, cache of words to id bytes); one per worker process, kept between tasks."""
     home = sys.modules.setdefault("_factloom_tokenizers", types.ModuleType("_factloom_tokenizers"))
-    if tokenizer_file not in home.__dict__:
+    name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    if name not in home.__dict__:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(tokenizer_file)
-        own.encode_special_tokens = True
-        first_new = max(own.get_vocab_size(with_added_tokens=True), END_ID + 1)
-        home.__dict__[tokenizer_file] = own, first_new, {}
-    return home.__dict__[tokenizer_file]
+        own = Tokenizer.from_str(tokenizer_json)
+        home.__dict__[name] = own, max(own.get_vocab_size(with_added_tokens=True), END_ID + 1), {}
+    return home.__dict__[name]
+
+
+def _split(raw: bytes | None) -> list[bytes]:
+    """A text's words, in lower case where that changes no ids.
+
+    The tokenizer composes letters and marks before it lower-cases, and looks for added tokens first; some capitals have no composed
+    form with a mark (all marks that compose with ASCII letters begin with the byte CC). Such texts keep their capitals.
+    """
+    raw = raw or b""
+    return raw.split() if b"\xcc" in raw or b"<|" in raw else raw.lower().split()
 
 
-def encode_texts(texts: list[bytes | None], tokenizer_file: str) -> list[np.ndarray]:
-    """Ids of each text with the end id, as unsigned 32-bit numbers."""
-    own, _, cache = _word_ids(tokenizer_file)
-    split = [t.lower().split() if t else [] for t in texts]
+def encode_texts(texts: list[bytes | None], tokenizer) -> list[np.ndarray]:
+    """Ids of each text with the end id, as unsigned 32-bit numbers. ``tokenizer``: what _word_ids gives."""
+    own, _, cache = tokenizer
+    split = [_split(t) for t in texts]
     found = [list(map(cache.get, words)) for words in split]
     fresh = {w for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
     if len(cache) + len(fresh) > CACHE_WORDS:
@@ -170,7 +193,7 @@ def shard_row(doc_ids: list, ids: list[np.ndarray], first_new: int) -> dict:
     last = np.zeros(int(sizes.sum()), bool)
     last[np.cumsum(sizes) - 1] = True
     narrow = first_new < 1 << 16
-    limit = (1 << 16) - first_new if narrow else ROUNDS * ROUND_RULES
+    limit = (1 << 16) - first_new if narrow else LIMIT
     seq, last, rules = replace_pairs(np.concatenate(ids), last, first_new, limit)
     kind = np.uint16 if narrow else np.uint32
     return {
@@ -180,19 +203,22 @@ def shard_row(doc_ids: list, ids: list[np.ndarray], first_new: int) -> dict:
 
 
 def encode_corpus(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """The shards of a corpus, to be written as Parquet."""
+    """The shards of a corpus, to be written as Parquet; ``tokenizer_file`` is a path on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = _parse_datatype_string(_SHARD.format(kind=kind))
+    with open(tokenizer_file, encoding="utf-8") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part, seq, keys, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
-        first_new = _word_ids(tokenizer_file)[1]
+        tokenizer = _word_ids(sent.value)
+        first_new = tokenizer[1]
 
         def row():
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq} | shard_row(keys, ids, first_new)], schema=to_arrow_schema(schema))
@@ -201,7 +227,7 @@ def encode_corpus(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             size = 512
             for at in range(0, b.num_rows, size):
                 some = b.slice(at, size)
-                for key, own in zip(some.column(0).to_pylist(), encode_texts(some.column(1).cast(pa.binary()).to_pylist(), tokenizer_file)):
+                for key, own in zip(some.column(0).to_pylist(), encode_texts(some.column(1).cast(pa.binary()).to_pylist(), tokenizer)):
                     keys.append(key), ids.append(own)
                     n += len(own)
                     if n >= SHARD_IDS:
@@ -215,7 +241,7 @@ def encode_corpus(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
 
 def decode_document(row, index: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Random access: ids [start, stop) of one document of a shard row, expanding no symbols outside the range."""
+    """Random access: ids [start, stop) of one document of a shard row, expanding only the symbols that reach into the range."""
     kind = np.uint16 if row["first_new"] < 1 << 16 else np.uint32
     rules, lengths = np.frombuffer(row["rules"], kind).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32)
     begin = row["symbol_ends"][index - 1] if index else 0
@@ -225,7 +251,7 @@ def decode_document(row, index: int, start: int = 0, stop: int | None = None) ->
     stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
     skipped = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, lengths, row["first_new"])[start - skipped : stop - skipped]
+    return expand(symbols[a:b], rules, row["first_new"])[start - skipped : stop - skipped]
 
 
 def read_corpus(shards: DataFrame) -> DataFrame:
@@ -240,7 +266,7 @@ def read_corpus(shards: DataFrame) -> DataFrame:
                 first_new = row["first_new"]
                 number = np.uint16 if first_new < 1 << 16 else np.uint32
                 rules, lengths = np.frombuffer(row["rules"], number).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32)
-                ids = expand(np.frombuffer(row["sequence"], number).astype(np.int64), rules, lengths, first_new).astype("<u4")
+                ids = expand_all(np.frombuffer(row["sequence"], number).astype(np.int64), rules, lengths, first_new).astype("<u4")
                 starts = np.concatenate(([0], np.cumsum(row["n_tokens"])[:-1])).astype(np.int64)
                 ends = np.cumsum(row["n_tokens"])
                 view = memoryview(ids.tobytes())
@@ -269,7 +295,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer_file = public_tokenizers.path("word_bpe_49k.json")
-    shards = cut(encode_corpus(table(spark, sf_dir, "documents"), tokenizer_file), "token-shards")
+    shards = keep(encode_corpus(table(spark, sf_dir, "documents"), tokenizer_file), "token-shards")
     return read_corpus(shards).join(shard_starts(shards), ["part", "seq"]).select(
         "doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_symbols"
     )
