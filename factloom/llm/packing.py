@@ -11,16 +11,16 @@ follows the corpus, so no task holds more than about ``shard_rows`` pieces or th
 keys are moved, never texts.
 
 Cases: a document without words (or with a null text) gets one row with no bin; a null source or cluster conflicts with
-nothing; repeated rows are packed each; ties go by doc_id and piece; other columns are ignored; an empty table gives no rows.
+nothing; repeated rows are packed each; ties go by doc_id, piece, source and cluster; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, keep, scratch, table
 
 CAPACITY = 2048
 SHARD_ROWS, SHARD_WORDS = 10_000, 8_000_000
@@ -85,25 +85,31 @@ class Bins:
         return b, self.capacity - room
 
 
-def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Pack one shard: adds bin (from 0) and bin_start. Pieces of a full sequence get bins of their own."""
-    pieces = pieces.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    bits, used = [0] * len(pieces), 1
-    for name in ("source", "cluster"):
-        codes, values = pd.factorize(pieces[name])
-        often = pd.Series(codes[codes >= 0]).value_counts()
-        index = {c: i for i, c in enumerate(sorted(often[often > 1].index))}
-        for row, code in enumerate(codes.tolist()):
-            if code in index:
-                bits[row] |= 1 << used + index[code]
-        used += len(index)
+def pack_shard(n_words: list[int], groups: list[np.ndarray], capacity: int) -> tuple[list[int], list[int]]:
+    """Pack pieces in their order: the bin of each (from 0) and where it starts there. Pieces of a full sequence get bins of their own.
+
+    ``groups``: for sources and for clusters the number of each piece's group, -1 for none.
+    """
+    bits, used = [0] * len(n_words), 1
+    for codes in groups:
+        count = np.bincount(codes[codes >= 0]) if (codes >= 0).any() else np.zeros(0, np.int64)
+        bit_of = np.cumsum(count > 1) - 1  # groups of one piece need no bit
+        for row in np.flatnonzero(codes >= 0).tolist():
+            if count[codes[row]] > 1:
+                bits[row] |= 1 << used + int(bit_of[codes[row]])
+        used += int((count > 1).sum())
     bins = Bins(capacity)
-    placed = [bins.put(size, b) for size, b in zip(pieces["n_words"].tolist(), bits)]
-    return pieces.assign(bin=[p[0] for p in placed], bin_start=[p[1] for p in placed])
+    placed = [bins.put(size, b) for size, b in zip(n_words, bits)]
+    return [p[0] for p in placed], [p[1] for p in placed]
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents given as (doc_id, n_words, source, cluster): (doc_id, piece, start_word, n_words, bin_id, bin_start)."""
+    with scratch():
+        return keep(_packed(sizes, capacity), "packed")
+
+
+def _packed(sizes: DataFrame, capacity: int) -> DataFrame:
     sizes = cut(sizes.select("doc_id", "n_words", "source", "cluster"), "sizes")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_words") / capacity))
     total = sizes.agg(F.coalesce(F.sum(pieces), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
@@ -115,13 +121,19 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     dealt = cut_up.filter("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     kind = sizes.schema["doc_id"].dataType.simpleString()
 
-    def run(key, frame):
-        out = pack_shard(frame, capacity)
-        out["bin_id"] = key[0] * (1 << 32) + out["bin"]
-        return out[["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_start"]]
+    def run(key, rows):
+        """Ids stay in Arrow, as 64-bit ids beside a null one would become floats elsewhere."""
+        import pyarrow as pa
+
+        rows = rows.sort_by([("n_words", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "source", "cluster"))])
+        groups = [rows[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("source", "cluster")]
+        bins, starts = pack_shard(rows["n_words"].to_pylist(), groups, capacity)
+        first = key[0].as_py() << 32
+        out = rows.select(["doc_id", "piece", "start_word", "n_words"])
+        return out.append_column("bin_id", pa.array([first + b for b in bins], pa.int64())).append_column("bin_start", pa.array(starts, pa.int64()))
 
     schema = f"doc_id {kind}, piece long, start_word long, n_words long, bin_id long, bin_start long"
-    packed = dealt.groupBy("shard").applyInPandas(run, schema)
+    packed = dealt.groupBy("shard").applyInArrow(run, schema)
     empty = cut_up.filter("n_words <= 0").select("doc_id", "piece", "start_word", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_start"))
     return packed.unionByName(empty)
 
