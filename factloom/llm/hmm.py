@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, keep, scratch, table
 
 STATES, ROUNDS, WARM_ROUNDS, WARM_DOCS = 12, 4, 12, 400
 SYMBOLS, CLASSES, KNOWN_WORDS = 4095, 512, 250_000
@@ -288,6 +288,11 @@ def _summed(symbols: DataFrame, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``."""
+    with scratch():
+        return keep(_scored(docs), "scores")
+
+
+def _scored(docs: DataFrame) -> DataFrame:
     counts = cut(word_counts(docs), "word-counts")
     v = Vocabulary(counts, docs.filter(~held_out()).count())
     rows = cut(encoded(docs, v), "symbols")

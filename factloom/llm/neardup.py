@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table
+from .common import cut, keep, scratch, table
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -150,6 +150,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
+    with scratch():
+        return keep(_grouped(docs, shingle, percent), "near-duplicates")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     found = cut(signatures(docs, shingle), "signatures")
     classes = (
         found.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
@@ -186,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def remove_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the one with the smallest doc_id."""
-    gone = cut(near_duplicates(docs, shingle, percent).filter("not kept").select("doc_id").distinct(), "removed")
+    gone = near_duplicates(docs, shingle, percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_struct, cut, table
+from .common import add_struct, cut, keep, scratch, table
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Each rule's measure with its cutoff at the loosest and at the strictest level; a document is rejected above the cutoff.
@@ -144,8 +144,9 @@ def verdicts(found: DataFrame, levels: DataFrame, stratum: str) -> DataFrame:
 
 def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Certified levels of all strata. Texts are measured where they lie; only the measures meet the labels."""
-    found = cut(measured(docs.withColumn("_stratum", F.col(stratum)), keep=["doc_id", "_stratum"]), "quality-measures")
-    return cut(certify(found.join(good_ids(labels), "doc_id", "left_semi"), "_stratum", alpha, delta), "quality-levels")
+    with scratch():
+        found = cut(measured(docs.withColumn("_stratum", F.col(stratum)), keep=["doc_id", "_stratum"]), "quality-measures")
+        return keep(certify(found.join(good_ids(labels), "doc_id", "left_semi"), "_stratum", alpha, delta), "quality-levels")
 
 
 def apply_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

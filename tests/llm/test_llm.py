@@ -81,25 +81,32 @@ def test_packing(spark, odd):
 
 def test_best_fit_is_tightest():
     """Against a plain search over all open bins."""
-    import pandas as pd
-
     rng = random.Random(5)
-    frame = pd.DataFrame([(i, 0, rng.randint(1, 60), rng.choice("aaabcd"), rng.choice([None, 1, 2])) for i in range(400)], columns=["doc_id", "piece", "n_words", "source", "cluster"])
-    got = packing.pack_shard(frame, 64)
-    open_bins, counts = [], [frame["source"].value_counts(), frame["cluster"].value_counts()]
-    for r in got.to_dict("records"):
-        own = {(n, r[n]) for n, c in zip(("source", "cluster"), counts) if c.get(r[n], 0) > 1}
-        fits = [b for b in open_bins if b["room"] >= r["n_words"] and not b["has"] & own]
-        placed = next((b for b in open_bins if b["id"] == r["bin"]), None)
+    rows = [(rng.randint(1, 60), rng.choice("aaabcd"), rng.choice([None, 1, 2])) for _ in range(400)]
+    rows.sort(key=lambda r: -r[0])
+    groups = [np.array([{"a": 0, "b": 1, "c": 2, "d": 3}[r[1]] for r in rows]), np.array([-1 if r[2] is None else r[2] for r in rows])]
+    open_bins, counts = [], [collections.Counter(r[k] for r in rows) for k in (1, 2)]
+    for (size, *named), bin_id, start in zip(rows, *packing.pack_shard([r[0] for r in rows], groups, 64)):
+        own = {(k, x) for k, x in enumerate(named) if x is not None and counts[k][x] > 1}
+        fits = [b for b in open_bins if b["room"] >= size and not b["has"] & own]
+        placed = next((b for b in open_bins if b["id"] == bin_id), None)
         if placed is None:
-            assert not fits or r["n_words"] == 64
-            open_bins.append({"id": r["bin"], "room": 64 - r["n_words"], "has": own})
+            assert not fits or size == 64
+            open_bins.append({"id": bin_id, "room": 64 - size, "has": own})
         else:
-            assert placed["room"] == min(b["room"] for b in fits) and placed in fits
-            placed["room"] -= r["n_words"]
+            assert placed["room"] == min(b["room"] for b in fits) and placed in fits and start == 64 - placed["room"]
+            placed["room"] -= size
             placed["has"] |= own
 
 
+def test_packing_large_ids(spark):
+    """Ids and clusters over 2^53 beside null ones."""
+    big = (1 << 60) + 1
+    rows = [(big, 3, "a", big), (None, 2, None, None), (big + 1, 1, "b", big + 1), (big + 2, 0, "a", None), (big, 3, "a", big)]
+    got = sorted(((r["doc_id"], r["n_words"]) for r in packing.pack(spark.createDataFrame(rows, "doc_id long, n_words long, source string, cluster long")).collect()), key=repr)
+    assert got == sorted(((r[0], r[1]) for r in rows), key=repr)
+
+
 def test_quality_counts():
     def plain(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -150,26 +157,54 @@ def test_token_ids_round_trip(spark, odd):
     assert tokenids.encode_corpus(empty(spark), path).count() == 0
 
 
+def test_token_ids_are_the_tokenizers():
+    """Word by word as whole texts: added tokens, letters that compose only in lower case, blanks of all kinds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), tokenids._word_ids(open(path).read())
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "x<|endoftext|>y", "J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "\u0308", "E\u0301", "\u0130", "\u03a3", "\u00a0", "\u3000", "\ud55c\u1100\u1161", " ", "\n", "\t", "Hello", "WORLD's", "1234", "don't", "\U0001f600", "\x1f", "<|", "\x85", "\u212b", "\ufeff"]
+    rng = random.Random(13)
+    texts = [*parts, None] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(1500)]
+    for text, got in zip(texts, tokenids.encode_texts([t if t is None else t.encode() for t in texts], own), strict=True):
+        assert got.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1], repr(text)
+
+
 def test_repair_is_lossless():
     rng = np.random.default_rng(0)
     for kind in (np.repeat([7], 500), rng.integers(0, 3, 4000), np.tile([1, 2, 1, 2, 3], 300), np.array([4])):
         last = np.zeros(len(kind), bool)
         last[[len(kind) // 3, len(kind) - 1]] = True
         seq, ends, rules = tokenids.replace_pairs(kind.astype(np.uint32), last.copy(), 10, 500)
-        assert (tokenids.expand(seq.astype(np.int64), rules, tokenids.rule_lengths(rules, 10), 10) == kind).all() and ends.sum() == last.sum()
+        assert (tokenids.expand_all(seq.astype(np.int64), rules, tokenids.rule_lengths(rules, 10), 10) == kind).all() and (tokenids.expand(seq.astype(np.int64), rules, 10) == kind).all() and ends.sum() == last.sum()
         assert len(seq) < len(kind) or len(kind) == 1
 
 
 def test_chat(spark):
     rows = [(1, None, None, None), (1, 0, "user", "a\\<|b"), (1, 0, "user", "a\\<|b"), (1, 1, "assistant", "<|im_end|>\\p\\n"), (1, 2, "assistant", ""), (None, 5, "odd\nrole\\n", "x"), (2, 400, "assistant", "late"), (2, 3, "user", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ord", F.lit("clash"))
-    segments = chat.format_turns(df)
-    got = [(r["conv_id"], r["role"], r["text"]) for r in chat.parse_turns(segments).orderBy(F.col("conv_id").asc_nulls_first(), "ord").collect()]
+    streams, examples = chat.format_conversations(df)
+    got = [(r["conv_id"], r["role"], r["text"]) for r in chat.parse_turns(streams).orderBy(F.col("conv_id").asc_nulls_first(), "ord").collect()]
     assert got == [(None, "odd\nrole\\n", "x"), (1, "", ""), (1, "user", "a\\<|b"), (1, "user", "a\\<|b"), (1, "assistant", "<|im_end|>\\p\\n"), (1, "assistant", ""), (2, "user", "q"), (2, "assistant", "late")]
-    examples = chat.prefix_examples(segments)
-    for r in chat.render_examples(segments, examples).collect():
+    for r in chat.render_examples(streams, examples).collect():
         assert r["context"].endswith("<|im_start|>assistant\n") and len(r["context"]) == r["context_chars"]
-    assert examples.count() == 3 and chat.format_turns(df.limit(0)).count() == 0
+    assert {(r["conv_id"], r["target"]) for r in chat.targets(streams, examples).collect()} == {(1, "<|im_end|>\\p\\n"), (1, ""), (2, "late")}
+    streams, examples = chat.format_conversations(df.limit(0))
+    assert streams.isEmpty() and examples.isEmpty() and chat.parse_turns(streams).isEmpty()
+
+
+def test_chat_long_conversation(spark):
+    """Many turns with one number, over several chunks and parts: order, offsets and contexts of the whole stream; a very long text."""
+    rng = random.Random(14)
+    rows = [(7, 3, rng.choice(["user", "assistant"]), f"{rng.random()}" * rng.randint(0, 3)) for _ in range(900)] + [(7, 9, "assistant", "long \\<|" * 100_000), (8, 1, "assistant", "x")]
+    streams, examples = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = chat.parse_turns(streams.filter("conv_id = 7")).orderBy("ord").collect()
+    assert [(r["role"], r["text"]) for r in turns] == [r[2:] for r in sorted(rows[:-1])] and [r["ord"] for r in turns] == list(range(1, 902))
+    assert [r["target"] for r in chat.targets(streams, examples.filter("conv_id = 7")).orderBy("ord").collect()] == [r[3] for r in sorted(rows[:-1]) if r[2] == "assistant"]
+    last = chat.render_examples(streams, examples.filter("conv_id = 7").orderBy(F.desc("ord")).limit(1)).first()
+    whole = "".join(r["stream"] for r in streams.filter("conv_id = 7").orderBy("start").collect())
+    assert whole.startswith(last["context"]) and whole[last["target_end"] :] == "<|im_end|>\n"
 
 
 def test_hmm_is_exact():
