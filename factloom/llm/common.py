@@ -55,12 +55,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Remove what :func:`cut` or :func:`keep` wrote, once nothing reads it any more.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs.
 
-    Spark deletes shuffle files once the driver has collected the plans that made them; asking for that here keeps the disks of
-    long jobs from filling up with shuffles that nobody reads.
+    It does so once the driver's garbage collection finds the plans that made them, which may take half an hour; asking for it
+    keeps the disks of long jobs from filling up with shuffles that nobody reads.
     """
+    spark._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what :func:`cut` or :func:`keep` wrote, once nothing reads it any more, and the shuffles of finished jobs."""
     made = _MADE.get()
     for df in tables:
         spark = df.sparkSession
@@ -69,7 +74,7 @@ def drop(*tables: DataFrame) -> None:
         if made is not None:
             made[:] = [m for m in made if m is not df]
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
 
 
 @contextmanager

@@ -31,13 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keep, scratch, table
+from .common import cut, drop, free_shuffles, keep, scratch, table
 
 PERCENT = 80
 #: Words of more occurrences are keys only together; keys of more classes are hot.
 RARE, HOT = 8, 256
 #: (least number of words, parts) of each band of lengths. Shorter lines are matched by sets without one word.
-BANDS = ((8, 2), (16, 3), (32, 5), (64, 8))
+BANDS = ((8, 2), (16, 3), (32, 6), (64, 11), (128, 22))
 BUCKET_BITS = 20
 #: Beyond so many classes, keys have three words in place of two.
 MANY_CLASSES = 1 << 31
@@ -117,17 +117,21 @@ def _order(lines: DataFrame) -> Column:
     return F.struct("doc_id", "pos")
 
 
-def _keys(classes: DataFrame, wise: int) -> DataFrame:
-    """(key, ord, busy, n, i): the keys of every class of eight words or more; i is the place of the key's last word."""
+def _keys(classes: DataFrame, wise: int, flag: int = 0) -> DataFrame:
+    """(key, ord, busy, n, i): the keys of every class of eight words or more; i is the place of the key's last word.
+
+    With a flag, only keys all of whose words have it.
+    """
     n, part = F.col("n"), lambda c: F.shiftright(c, 2) % F.col("m")
     ends = [least for least, _ in BANDS[1:]] + [1 << 30]
     bands = F.array(*[F.when((n >= least) & (n - _at_most(n) < end), b) for b, ((least, _), end) in enumerate(zip(BANDS, ends))])
     lines = classes.filter(n >= BANDS[0][0]).select("ord", "n", "prefix", F.explode(bands).alias("band")).filter("band is not null")
     parts = F.get(F.array(*[F.lit(m) for _, m in BANDS]), F.col("band"))
     lines = lines.withColumn("m", parts).select("ord", "n", "band", "m", F.slice("prefix", F.lit(1), _at_most(n) + 1 + F.col("m") * (wise - 1)).alias("p"))
-    single = lines.select("*", F.posexplode("p").alias("i", "w")).withColumn("key", F.xxhash64("band", "w"))
-    often = lambda c: F.col(c).bitwiseAND(F.lit(_OFTEN)) > 0
-    rare = single.filter(~often("w")).select("key", "ord", F.lit(False).alias("busy"), "n", "i")
+    has = lambda c, f: F.col(c).bitwiseAND(F.lit(f)) == f
+    single = lines.select("*", F.posexplode("p").alias("i", "w")).filter(has("w", flag)).withColumn("key", F.xxhash64("band", "w"))
+    often = lambda c: has(c, _OFTEN | flag)
+    rare = single.filter(~has("w", _OFTEN)).select("key", "ord", F.lit(False).alias("busy"), "n", "i")
     some = single.filter(often("w")).withColumn("busy", F.col("w"))
     for _ in range(wise - 1):
         some = some.select("*", F.posexplode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("j", "v")).filter(often("v") & (part(F.col("v")) == part(F.col("w")))).select(
@@ -168,6 +172,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     is then compared with the earliest of its candidates, and with the others only if that fails.
     """
     ends = cut(pairs.distinct(), "line-pairs")
+    free_shuffles(docs.sparkSession)
     wanted = cut(ends.select(F.col("ord_x").alias("ord")).union(ends.select("ord_y")).distinct(), "line-ids")
     lines = _lines(docs).withColumn("ord", order).join(_small(wanted), "ord", "left_semi")
     sets = cut(lines.select("ord", F.array_distinct(_hashes(F.col("line"))).alias("w")).dropDuplicates(["ord"]), "line-words")
@@ -178,6 +183,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
     differ = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(1, 4)), F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))))
     near = ends.join(named(maps, "x"), "ord_x").join(named(maps, "y"), "ord_y").filter(differ * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y")))
     near = cut(near.select("ord_x", "ord_y"), "line-near-pairs")
+    drop(ends, wanted, maps)
 
     def similar(some):
         both = some.join(named(sets, "x"), "ord_x").join(named(sets, "y"), "ord_y")
@@ -201,16 +207,19 @@ def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
         wise = 2 if most <= MANY_CLASSES else 3
     lines = cut(measured_lines(docs, wise), "lines")
     order = _order(lines)
-    numbered = lines.withColumn("ord", order)
-    classes = cut(numbered.groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "line-classes")
+    numbered = cut(lines.select("doc_id", "pos", "k1", "k2", order.alias("ord")), "line-numbers")
+    classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = cut(classes, "line-classes")
+    drop(lines)
 
     keyed = _keys(classes, wise)
-    hot_keys = cut(keyed.filter("busy").groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
+    busy = _keys(classes, wise, _OFTEN | _BUSY)
+    hot_keys = cut(busy.groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
     if hot_keys.isEmpty():
         gone = _verified(_fitting(keyed, keyed, "key").union(_short_pairs(classes)), docs, order)
     else:
         usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
-        hot = cut(keyed.filter("busy").join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
+        hot = cut(busy.join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
         pairs = _fitting(usual, usual, "key").union(_fitting(hot, hot.filter("ord = first"), "key")).union(_short_pairs(classes))
         gone = cut(_verified(pairs, docs, order), "lines-gone")
         # lines of hot keys that are still without a match meet the earlier lines of a similar length
@@ -220,7 +229,7 @@ def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
     near = gone.distinct().withColumn("near", F.lit(True))
 
     verdicts = classes.select("k1", "k2", "ord").join(near, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return numbered.select("doc_id", "pos", "k1", "k2", "ord").join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
+    return numbered.join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
