@@ -6,10 +6,12 @@ one share for all unknown words. The model is a proper distribution over texts:
 transitions x emissions, times the words' shares in their classes.
 
 Counts come from all training documents (those whose crc32 of doc_id as text is not 0 modulo 10). Documents are turned into
-symbols once and kept in the shared folder; each round of Baum-Welch adds up expected counts over partitions. Long texts are
-trained in segments of ``SEGMENT`` tokens, of which later ones start from the previous round's average state. A few rounds on a
-bounded sample (``WARM_DOCS``) break the symmetry between states; the counts of the last rounds, which define the model, cover
-all training documents. Scores are exact: the scaled forward recursion runs over each whole text.
+symbols once and kept in the shared folder. Baum-Welch needs a start at which states differ: symbols are clustered by what stands
+before and after them (sums of random signs over all training documents, ``DIMS`` for each side), and each state begins with a
+preference for one cluster. Every round then adds up expected counts of all training documents over partitions. Long texts are
+trained in segments of ``SEGMENT`` tokens, of which later ones start from the previous round's average state. Scores are exact: the
+scaled forward recursion runs over each whole text. ``STATES``, ``SYMBOLS`` and ``CLASSES`` fix the size of the latent model, at every
+size of the corpus; words beyond the ``SYMBOLS`` most frequent ones have counts of their own, but share their states by class.
 
 Words are joined with their counts by shuffle, but for the ``KNOWN_WORDS`` most frequent ones, which are broadcast.
 Cases: a null or empty text has only the end; a null doc_id is held out; rows are scored one by one; other columns are ignored;
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep, scratch, table
 
-STATES, ROUNDS, WARM_ROUNDS, WARM_DOCS = 12, 4, 12, 400
+STATES, ROUNDS, DIMS, PREFERENCE = 12, 5, 16, 20.0
 SYMBOLS, CLASSES, KNOWN_WORDS = 4095, 512, 250_000
 SEGMENT, PRIOR = 256, 50.0
 #: Symbol 0 is the end; then the frequent words, then the classes.
@@ -164,11 +166,9 @@ class Model:
         self.start, self.move, self.emit, self.mean = start, move, emit, mean
 
     @staticmethod
-    def initial(unigram: np.ndarray) -> Model:
-        """The unigram model in every state, with noise."""
-        noise = np.random.default_rng(7).lognormal(0.0, 1.0, (STATES, len(unigram)))
-        noise[:, 0] = 1.0
-        emit = unigram * noise
+    def initial(unigram: np.ndarray, cluster: np.ndarray) -> Model:
+        """The unigram model in every state, with a preference for the symbols of one cluster."""
+        emit = unigram * np.where(cluster == np.arange(STATES)[:, None], PREFERENCE, 1.0)
         flat = np.full(STATES, 1.0 / STATES)
         return Model(flat, 0.3 * np.eye(STATES) + 0.7 * flat, emit / emit.sum(axis=1, keepdims=True), flat)
 
@@ -250,39 +250,73 @@ def _texts(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in column]
 
 
+def neighbour_sums(texts: list[np.ndarray]) -> np.ndarray:
+    """For each symbol, sums of the random signs of its next and of its previous symbols; a row for each sign, the last one counts."""
+    signs = np.random.default_rng(3).integers(0, 2, (2, ALPHABET, DIMS)) * 2.0 - 1.0
+    out = np.zeros((2 * DIMS + 1, ALPHABET))
+    if texts:
+        flat = np.concatenate(texts)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum([len(x) for x in texts]) - 1] = False
+        at = np.flatnonzero(inner)
+        left, right = flat[at], flat[at + 1]
+        for d in range(DIMS):
+            out[d] = np.bincount(left, signs[0, right, d], ALPHABET)
+            out[DIMS + d] = np.bincount(right, signs[1, left, d], ALPHABET)
+        out[-1] = np.bincount(flat, minlength=ALPHABET)
+    return out
+
+
+def clusters(sums: np.ndarray) -> np.ndarray:
+    """A cluster for each symbol, by weighted k-means of its mean signs; rare symbols are drawn towards the middle."""
+    count = sums[-1]
+    trust = np.sqrt(np.minimum(count, 50) / 50)[:, None]
+    points = sums[:-1].T / np.maximum(count, 1)[:, None]
+    points = (points - (points * count[:, None]).sum(axis=0) / max(1.0, count.sum())) * trust
+    rng, centres = np.random.default_rng(5), [points[int(np.argmax(count))]]
+    for _ in range(STATES - 1):
+        far = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0) * count
+        centres.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else 0])
+    centres = np.array(centres)
+    for _ in range(25):
+        own = np.argmin(np.stack([((points - c) ** 2).sum(axis=1) for c in centres]), axis=0)
+        for k in range(STATES):
+            weight = count * (own == k)
+            if weight.sum() > 0:
+                centres[k] = (points * weight[:, None]).sum(axis=0) / weight.sum()
+    return own
+
+
 def baum_welch(symbols: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Train on a table with a column ``symbols``: warm-up on a bounded sample, then ``rounds`` over all rows."""
-    model = Model.initial(unigram)
-    sample = [np.frombuffer(bytes(r["symbols"]), "<u2").astype(np.int64) for r in symbols.filter(F.length("symbols") <= 20_000).orderBy(F.xxhash64("symbols")).limit(WARM_DOCS).collect()]
-    for _ in range(WARM_ROUNDS if sample else 0):
-        model = Model.from_counts(expected_counts(model, sample), unigram)
+    """Train on a table with a column ``symbols``; the start and every round cover all rows."""
+    model = Model.initial(unigram, clusters(_summed(symbols, neighbour_sums, 2 * DIMS + 1, ALPHABET)))
     for _ in range(rounds):
-        model = Model.from_counts(_summed(symbols, model), unigram)
+        sent = symbols.sparkSession.sparkContext.broadcast(model)
+        model = Model.from_counts(_summed(symbols, lambda texts, sent=sent: expected_counts(sent.value, texts), STATES, 1 + STATES + ALPHABET), unigram)
     return model
 
 
-def _summed(symbols: DataFrame, model: Model) -> np.ndarray:
-    """Expected counts of all rows; partitions send one array for each state, which Spark adds up by place."""
-    sent = symbols.sparkSession.sparkContext.broadcast(model)
+def _summed(symbols: DataFrame, count, rows: int, size: int) -> np.ndarray:
+    """Sums over all texts of ``count(texts)``, an array of rows x size; partitions send one array for each row, which Spark adds up by place."""
 
     def run(batches):
         import pyarrow as pa
 
-        total, held, n = np.zeros((STATES, 1 + STATES + ALPHABET)), [], 0
+        total, held, n = np.zeros((rows, size)), [], 0
         for b in batches:
             for own in _texts(b.column(0)):
                 held.append(own)
                 n += len(own)
                 if n > 400_000:
-                    total += expected_counts(sent.value, held)
+                    total += count(held)
                     held, n = [], 0
-        total += expected_counts(sent.value, held)
-        yield pa.RecordBatch.from_arrays([pa.array(range(STATES), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["state", "counts"])
+        total += count(held)
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "counts"])
 
-    parts = symbols.select("symbols").mapInArrow(run, "state int, counts array<double>")
-    out = np.zeros((STATES, 1 + STATES + ALPHABET))
-    for row in parts.select("state", F.posexplode("counts").alias("i", "x")).filter("x <> 0").groupBy("state", "i").agg(F.sum("x").alias("x")).toArrow().to_pylist():
-        out[row["state"], row["i"]] = row["x"]
+    parts = symbols.select("symbols").mapInArrow(run, "row int, counts array<double>")
+    out = np.zeros((rows, size))
+    for row in parts.select("row", F.posexplode("counts").alias("i", "x")).filter("x <> 0").groupBy("row", "i").agg(F.sum("x").alias("x")).toArrow().to_pylist():
+        out[row["row"], row["i"]] = row["x"]
     return out
 
 

@@ -229,6 +229,20 @@ def test_hmm_learns(spark):
     assert held[0] > held[1] and df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_hmm_base_score(spark):
+    """Counts and base scores of every document against a plain count."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    words = {r["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"] or "")), None] for r in docs}
+    out = {i for i in words if zlib.crc32(str(i).encode()) % 10 == 0}
+    count = collections.Counter(w for i, ws in words.items() if i not in out for w in ws)
+    n, v = sum(count.values()), len(count)
+    got = {r["doc_id"]: r for r in hmm.op6_lm_scoring(spark, SF).collect()}
+    assert got.keys() == words.keys()
+    for i, ws in words.items():
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (i in out, len(ws), sum(w in count for w in ws), n)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
+
+
 def test_hmm_edges(spark, odd):
     got = {r["doc_id"]: r for r in hmm.score(odd.withColumn("held_out", F.lit("clash"))).collect()}
     assert got[4]["n_tokens"] == got[5]["n_tokens"] == got[6]["n_tokens"] == 1 and got[None]["held_out"] and all(math.isfinite(r["score"]) for r in got.values())
