@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 
 def method_refs(methods: DataFrame) -> DataFrame:
     """Methods that have a type, once for each (type, name, line): the last by ord."""
@@ -71,28 +73,26 @@ def entrypoints(endpoints: DataFrame, refs: DataFrame, edges: DataFrame) -> Data
     return found.unionByName(callers.join(found.select(F.lit(1).alias("some")).limit(1), F.lit(True), "left_anti"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frontier; checkpoint() writes where the cluster's spark.checkpoint.dir says."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_chains: int = 80) -> DataFrame:
     """(n, entry, chain): simple paths from each entry in pre-order of edges, the first ``max_chains``.
 
-    A path ends at a node without edges, at ``max_depth`` edges, or with an edge to a node that it holds already. Each entry's
-    frontier keeps its first ``max_chains`` prefixes for each hop, as every prefix gives a chain at least.
+    A path ends at a node without edges, at ``max_depth`` edges, or with an edge to a node that it holds already. As every entry with
+    an edge and every prefix gives a chain at least, the first ``max_chains`` entries, and the first ``max_chains`` prefixes of each
+    of them for each hop, hold all that is wanted.
     """
-    out = edges.select("src", "dst", "ord")
-    alive = entries.select("entry").distinct().select("entry", F.array("entry").alias("nodes"), F.array().cast("array<bigint>").alias("path"), F.col("entry").alias("src"))
+    out = edges.select("src", "dst", F.col("ord").cast("bigint").alias("ord"))
+    callers = out.select("src").distinct()
+    first = entries.select(F.col("entry").alias("src")).distinct().join(callers, "src", "left_semi").orderBy("src").limit(max_chains)
+    alive = first.select(F.col("src").alias("entry"), F.array("src").alias("nodes"), F.array().cast("array<bigint>").alias("path"), "src")
     done = None
     for hop in range(1, max_depth + 1):
-        step = alive.join(out, "src").select("entry", F.array_contains("nodes", F.col("dst")).alias("closes"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array(F.col("ord").cast("bigint"))).alias("path"), F.col("dst").alias("src"))
-        first = F.row_number().over(Window.partitionBy("entry").orderBy("path"))
-        step = _kept(step.withColumn("r", first).filter(F.col("r") <= max_chains).drop("r"))
+        step = alive.join(out, "src").select("entry", F.array_contains("nodes", F.col("dst")).alias("closes"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array("ord")).alias("path"), F.col("dst").alias("src"))
+        place = F.row_number().over(Window.partitionBy("entry").orderBy("path"))
+        step = kept(step.withColumn("r", place).filter(F.col("r") <= max_chains).drop("r"), "chains")
         ends = step.filter("closes") if hop < max_depth else step
         going = step.filter("not closes")
         if hop < max_depth:
-            ends = ends.unionByName(going.join(out.select("src").distinct(), "src", "left_anti").select(*step.columns))
+            ends = ends.unionByName(going.join(callers, "src", "left_anti").select(*step.columns))
         done = ends if done is None else done.unionByName(ends)
         alive = going.select("entry", "nodes", "path", "src")
     n = F.row_number().over(Window.orderBy("entry", "path"))
@@ -101,16 +101,21 @@ def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_ch
 
 
 def reachable_paths(edges: DataFrame, entries: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(entry, node, path): breadth-first paths; of several paths of a hop the one discovered first counts."""
-    out = edges.select("src", "dst", "ord")
-    front = entries.select("entry").distinct().select("entry", F.col("entry").alias("node"), F.array("entry").alias("path"), F.array().cast("array<bigint>").alias("order"))
-    seen = _kept(front)
-    front = seen
+    """(entry, node, path): breadth-first paths; of several paths of a hop the one discovered first counts.
+
+    Nodes of a hop are ranked for each entry by their discovery, so a step carries a rank and an edge's place instead of paths, and
+    picks each new node's parent by a pre-aggregated minimum; parallel edges are reduced to their first.
+    """
+    out = kept(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "reach-edges")
+    front = kept(entries.select("entry").distinct().select("entry", F.col("entry").alias("node"), F.array("entry").alias("path"), F.lit(1).alias("rank")), "reach")
+    seen = front
     for _ in range(max_depth):
-        step = front.join(out.withColumnRenamed("src", "node"), "node").select("entry", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array(F.col("ord").cast("bigint"))).alias("order"))
-        new = step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
-        best = new.groupBy("entry", "node").agg(F.min_by(F.struct("path", "order"), "order").alias("b")).select("entry", "node", "b.path", "b.order")
-        front = _kept(best)
+        step = front.join(out, F.col("node") == F.col("src")).groupBy("entry", "dst").agg(F.min(F.struct("rank", "ord", "src")).alias("by"))
+        new = step.withColumnRenamed("dst", "node").join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
+        parents = front.select("entry", F.col("node").alias("src"), F.col("path").alias("before"))
+        rank = F.row_number().over(Window.partitionBy("entry").orderBy("by.rank", "by.ord"))
+        found = new.select("entry", "node", F.col("by.src").alias("src"), rank.alias("rank")).join(parents, ["entry", "src"])
+        front = kept(found.select("entry", "node", F.concat("before", F.array("node")).alias("path"), "rank"), "reach")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -57,16 +57,29 @@ def endpoint_flows(endpoints: DataFrame, reachable: DataFrame, usages: DataFrame
     )
 
 
-def flow_graph(flows: DataFrame, cap: int = 80) -> DataFrame:
-    """(src, type, dst): edges of the first ``cap`` flows: endpoint and calls along the path, runs SQL, touches table; each once."""
+def flow_graph(flows: DataFrame, chains: DataFrame | None = None, cap: int = 80, path_cap: int = 160, table_cap: int = 80) -> DataFrame:
+    """(src, type, dst): edges of the first ``cap`` flows: endpoint and calls along the path, runs SQL, touches table; each once.
+
+    A flow shows at most ``path_cap`` methods and ``table_cap`` tables; a row of type ``omitted`` tells how many flows are left out, if any
+    are. Without a flow, the graph has the calls of ``chains`` (n, entry, chain) in its place.
+    """
     place = F.row_number().over(Window.orderBy("endpoint_path", "code_path", "owner", "statement"))
     top = flows.orderBy("endpoint_path", "code_path", "owner", "statement").limit(cap).withColumn("n", place)
-    nodes = top.select("n", F.posexplode(F.concat(F.array("endpoint_path"), F.split("code_path", " -> "))).alias("i", "node"))
-    nxt = F.lead("node").over(Window.partitionBy("n").orderBy("i"))
-    calls = nodes.select(F.col("node").alias("src"), F.lit("calls").alias("type"), nxt.alias("dst")).filter("dst is not null")
-    runs = top.select(F.col("owner").alias("src"), F.lit("runs").alias("type"), F.col("statement").alias("dst"))
-    touches = top.select(F.col("statement").alias("src"), F.lit("touches").alias("type"), F.explode(F.split("tables", ",")).alias("dst"))
-    return calls.unionByName(runs).unionByName(touches).filter("dst <> ''").distinct()
+
+    def steps(df, nodes):
+        rows = df.select("n", F.posexplode(nodes).alias("i", "node"))
+        nxt = F.lead("node").over(Window.partitionBy("n").orderBy("i"))
+        return rows.select(F.col("node").alias("src"), F.lit("calls").alias("type"), nxt.alias("dst")).filter("dst is not null")
+
+    calls = steps(top, F.concat(F.array("endpoint_path"), F.slice(F.split("code_path", " -> "), 1, path_cap)))
+    runs = top.select(F.element_at(F.slice(F.split("code_path", " -> "), 1, path_cap), -1).alias("src"), F.lit("runs").alias("type"), F.col("statement").alias("dst"))
+    touches = top.select(F.col("statement").alias("src"), F.lit("touches").alias("type"), F.explode(F.slice(F.split("tables", ","), 1, table_cap)).alias("dst"))
+    left = flows.agg((F.count("*") - cap).alias("n")).filter("n > 0").select(F.lit("").alias("src"), F.lit("omitted").alias("type"), F.col("n").cast("string").alias("dst"))
+    found = calls.unionByName(runs).unionByName(touches).unionByName(left)
+    if chains is not None:
+        plain = steps(chains, F.split("chain", " -> "))
+        found = found.unionByName(plain.join(flows.select(F.lit(1).alias("some")).limit(1), F.lit(True), "left_anti"))
+    return found.filter("dst <> ''").distinct()
 
 
 def capped(df: DataFrame, order: list[str], n: int = 100) -> DataFrame:

@@ -173,11 +173,34 @@ MATCH = """matched AS (
   SELECT asset_id, e.ord, f.key FROM evidence e JOIN facts f ON lower(e.symbol_name) IN (lower(f.symbol_name), lower(f.enclosing_type), lower(f.enclosing_method)) AND e.symbol_name <> '' AND (e.file_path = '' OR e.file_path = f.file_path)
     AND (e.start_line = 0 OR (f.start_line > 0 AND f.start_line <= e.end_line AND (CASE WHEN f.end_line > 0 THEN f.end_line ELSE f.start_line END) >= e.start_line))
   UNION SELECT asset_id, e.ord, f.key FROM evidence e JOIN facts f ON f.type = 'file' AND e.symbol_name = '' AND e.file_path <> '' AND (f.file_path = e.file_path OR suffix(f.file_path, '/' || e.file_path)))"""
+SECTIONS = r"""
+  feeds AS (SELECT id, i, l[i] AS line FROM (SELECT id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM transcripts), unnest(range(1, len(l) + 1)) AS u(i)),
+  headed AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,6}[\x20\x09]+[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS g FROM feeds),
+  grouped AS (SELECT id, g, arg_min(line, i) AS head, min(i)::INT AS start_line, max(i)::INT AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text FROM headed GROUP BY id, g),
+  sections AS (SELECT id, g, CASE WHEN regexp_matches(head, '^#{1,6}[\x20\x09]+[^\x20\x09-\x0D]') THEN trim(regexp_extract(head, '^#{1,6}[\x20\x09]+(.*)', 1)) ELSE 'document' END AS title, start_line, end_line, text FROM grouped WHERE text <> '')"""
+#: Parts of at most 200 characters: each step of the recursion takes one paragraph and gives the parts that it completes.
+PACKED = r"""
+  bits AS (SELECT id, g, i, regexp_replace(b[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS p FROM (SELECT id, g, regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n') AS b FROM whole WHERE length(text) > 200), unnest(range(1, len(b) + 1)) AS u(i)),
+  paragraphs AS MATERIALIZED (SELECT id, g, p, length(p) > 200 AS long, row_number() OVER (PARTITION BY id, g ORDER BY i) AS i, count(*) OVER (PARTITION BY id, g) AS last FROM bits WHERE p <> ''),
+  steps AS (
+    SELECT id, g, 0::BIGINT AS i, CAST([] AS VARCHAR[]) AS done, '' AS held, 0::BIGINT AS size FROM (SELECT DISTINCT id, g FROM paragraphs)
+    UNION ALL
+    SELECT id, g, i, list_concat(CASE WHEN full_ THEN [held] ELSE [] END, CASE WHEN long THEN list_transform(range(0, (length(p) + 199) // 200), lambda k: p[k * 200 + 1:k * 200 + 200]) ELSE [] END),
+      CASE WHEN long THEN CASE WHEN full_ THEN '' ELSE held END WHEN full_ OR size = 0 THEN p ELSE held || chr(10) || chr(10) || p END, CASE WHEN full_ THEN 0 ELSE size END + CASE WHEN long THEN 0 ELSE length(p) + 2 END
+    FROM (SELECT s.id, s.g, q.i, q.p, q.long, held, size, size > 0 AND size + length(p) + 2 > 200 AS full_ FROM steps s JOIN paragraphs q ON q.id = s.id AND q.g = s.g AND q.i = s.i + 1)),
+  parts AS (
+    SELECT id, g, i, k, done[k] AS part FROM steps, unnest(range(1, len(done) + 1)) AS u(k)
+    UNION ALL SELECT s.id, s.g, s.i + 1, 1, held FROM steps s JOIN (SELECT DISTINCT id, g, last FROM paragraphs) e ON e.id = s.id AND e.g = s.g AND e.last = s.i WHERE size > 0
+    UNION ALL SELECT id, g, 1, 1, text FROM whole WHERE length(text) <= 200),
+  packed AS (SELECT id, g, row_number() OVER (PARTITION BY id, g ORDER BY i, k) - 1 AS n, part FROM parts)"""
 SQL = {
-    "sections": rf"""WITH {TRANSCRIPTS}, p AS (SELECT id, regexp_replace(text, '\n$', '') AS text FROM transcripts), l AS (SELECT id, i, string_split(text, chr(10))[i] AS line FROM p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-      s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}[\x20\x09]+[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS g FROM l),
-      t AS (SELECT id, g, arg_min(line, i) AS head, min(i)::INT AS start_line, max(i)::INT AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text FROM s GROUP BY id, g)
-      SELECT id, CASE WHEN regexp_matches(head, '^#{{1,6}}[\x20\x09]+[^\x20\x09-\x0D]') THEN trim(regexp_extract(head, '^#{{1,6}}[\x20\x09]+(.*)', 1)) ELSE 'document' END AS title, start_line, end_line, text FROM t WHERE text <> ''""",
+    "sections": rf"""WITH {TRANSCRIPTS}, {SECTIONS} SELECT id, title, start_line, end_line, text FROM sections""",
+    "packed_parts": f"""WITH RECURSIVE {TRANSCRIPTS}, whole AS (SELECT id, 0 AS g, text FROM transcripts), {PACKED} SELECT id, n::INT AS n, part FROM packed""",
+    "kb_chunks": f"""WITH RECURSIVE {TRANSCRIPTS}, {SECTIONS}, whole AS (SELECT id, g, text FROM sections), {PACKED},
+      placed AS (SELECT id, g, n, part, title, start_line + CASE WHEN strpos(s.text, part) > 0 THEN len(string_split(s.text[1:strpos(s.text, part) - 1], chr(10))) - 1 ELSE 0 END AS start FROM packed JOIN sections s USING (id, g))
+      SELECT id || '::kb::' || title || '::' || (n + 1) AS id, id AS doc, CASE WHEN min_g = 0 THEN g ELSE g - 1 END::INT AS section, (n + 1)::INT AS n, start::INT AS start_line, (start + len(string_split(part, chr(10))) - 1)::INT AS end_line,
+        'Knowledge document ' || id || chr(10) || 'Section: ' || title || chr(10) || part AS text
+      FROM placed JOIN (SELECT id, min(g) AS min_g FROM headed GROUP BY id) USING (id)""",
     "document_chunks": f"WITH corpus AS ({CORPUS}) SELECT 'kb:' || file_path AS id, 'Knowledge document ' || file_path || chr(10) || text AS text FROM corpus",
     "chunk_facts": f"WITH {FACTS} SELECT file_path || '::endpoint::' || symbol_name || '::' || start_line AS id, 'endpoint: ' || symbol_name || chr(10) || 'File: ' || file_path || chr(10) || 'Type: ' || enclosing_type AS text FROM facts WHERE type = 'endpoint'",
     "chunk_methods": f"WITH {FACTS}, c AS (SELECT file_path, enclosing_type, enclosing_method, string_agg(symbol_name, ', ' ORDER BY start_line, key) AS calls FROM facts WHERE type = 'call' GROUP BY 1, 2, 3) SELECT key, 'Method: ' || symbol_name || chr(10) || 'Type: ' || m.enclosing_type || chr(10) || 'File: ' || m.file_path || CASE WHEN calls IS NULL THEN '' ELSE chr(10) || 'Calls: ' || calls END AS text FROM facts m LEFT JOIN c ON c.file_path = m.file_path AND c.enclosing_type = m.enclosing_type AND c.enclosing_method = m.symbol_name WHERE m.type = 'method'",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import callgraph as D
 from ..operators import lineage as E
+from ..sources.work import kept
 from .adapters import CORPUS, corpus, table
 
 CALLS = """
@@ -56,10 +57,10 @@ def _resolved(spark, sf_dir, own=None):
 
 
 def _edges(spark, sf_dir):
-    """A sparse part of the graph, by qualified names: calls by type name of every twentieth order, as whole graphs explode."""
+    """All resolved calls by qualified names, written once for the queries that walk along them."""
     names = methods(spark, sf_dir).select("id", F.concat_ws(".", "type", "name").alias("q"))
-    sparse = _resolved(spark, sf_dir, calls(spark, sf_dir).filter("l_linenumber in (3, 5) and l_orderkey % 20 = 0")).filter("callee is not null")
-    return sparse.join(names.toDF("caller", "src"), "caller").join(names.toDF("callee", "dst"), "callee").select("src", "dst", "ord")
+    resolved = _resolved(spark, sf_dir).filter("callee is not null")
+    return kept(resolved.join(names.toDF("caller", "src"), "caller").join(names.toDF("callee", "dst"), "callee").select("src", "dst", "ord"), "edges")
 
 
 def _endpoints(spark, sf_dir):
@@ -90,16 +91,22 @@ def resolution_stats(spark, sf_dir):
     return D.resolution_stats(_resolved(spark, sf_dir))
 
 
+def _entries(spark, sf_dir, edges):
+    return D.entrypoints(_endpoints(spark, sf_dir), D.method_refs(methods(spark, sf_dir)), edges)
+
+
 def entrypoints(spark, sf_dir):
-    return D.entrypoints(_endpoints(spark, sf_dir), D.method_refs(methods(spark, sf_dir)), _edges(spark, sf_dir))
+    return _entries(spark, sf_dir, _edges(spark, sf_dir))
 
 
 def call_chains(spark, sf_dir):
-    return D.call_chains(_edges(spark, sf_dir), entrypoints(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return D.call_chains(edges, _entries(spark, sf_dir, edges))
 
 
 def reachable_paths(spark, sf_dir):
-    return D.reachable_paths(_edges(spark, sf_dir), entrypoints(spark, sf_dir)).select("entry", "node", F.array_join("path", " -> ").alias("path"))
+    edges = _edges(spark, sf_dir)
+    return D.reachable_paths(edges, _entries(spark, sf_dir, edges)).select("entry", "node", F.array_join("path", " -> ").alias("path"))
 
 
 def extract_tables(spark, sf_dir):
@@ -112,20 +119,22 @@ def usages(spark, sf_dir):
 
 def _flows(spark, sf_dir):
     owned = E.sql_usages(_usages(spark, sf_dir)).select(F.concat_ws(".", "owner_type", "method").alias("owner"), "statement", "tables").distinct()
-    ends = entrypoints(spark, sf_dir).select("entry", F.concat(F.lit("/"), "entry").alias("endpoint_path")).distinct()
-    return E.endpoint_flows(ends, D.reachable_paths(_edges(spark, sf_dir), ends), owned)
+    edges = _edges(spark, sf_dir)
+    ends = _entries(spark, sf_dir, edges).select("entry", F.concat(F.lit("/"), "entry").alias("endpoint_path")).distinct()
+    return E.endpoint_flows(ends, D.reachable_paths(edges, ends), owned), edges, ends
 
 
 def endpoint_flows(spark, sf_dir):
-    return _flows(spark, sf_dir)
+    return _flows(spark, sf_dir)[0]
 
 
 def flow_graph(spark, sf_dir):
-    return E.flow_graph(_flows(spark, sf_dir))
+    flows, edges, ends = _flows(spark, sf_dir)
+    return E.flow_graph(kept(flows, "flows"), D.call_chains(edges, ends))
 
 
 def capped_flows(spark, sf_dir):
-    return E.capped(_flows(spark, sf_dir), ["endpoint_path", "code_path", "owner", "statement"])
+    return E.capped(kept(_flows(spark, sf_dir)[0], "flows"), ["endpoint_path", "code_path", "owner", "statement"])
 
 
 QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, endpoint_flows, flow_graph, capped_flows)}
@@ -142,16 +151,31 @@ RESOLVED = f"""{CALLS},
     FROM q LEFT JOIN fields ON fields.type = q.type AND field = q LEFT JOIN params ON params.type = q.type AND params.method = q.method AND param = q),
   resolved AS (SELECT call_id, caller, ord, l_orderkey, l_linenumber, coalesce(last_id, CASE WHEN q = '' THEN uniq.id END) AS callee, CASE WHEN last_id IS NOT NULL THEN label WHEN q = '' AND uniq.id IS NOT NULL THEN 'unique_method' ELSE 'unresolved' END AS resolution
     FROM targeted LEFT JOIN lookup ON lookup.type = target AND lookup.name = targeted.name LEFT JOIN uniq ON uniq.name = targeted.name),
-  edges AS (SELECT a.type || '.' || a.name AS src, b.type || '.' || b.name AS dst, r.ord FROM resolved r JOIN methods a ON a.id = caller JOIN methods b ON b.id = callee WHERE l_linenumber IN (3, 5) AND l_orderkey % 20 = 0),
+  edges AS (SELECT a.type || '.' || a.name AS src, b.type || '.' || b.name AS dst, r.ord FROM resolved r JOIN methods a ON a.id = caller JOIN methods b ON b.id = callee),
   entries AS (SELECT DISTINCT m.type || '.' || m.name AS entry, first_id AS line FROM methods m JOIN lookup USING (type, name) WHERE p_size % 6 = 0)"""
-CHAINS = f"""{RESOLVED},
-  walk AS (SELECT DISTINCT entry, [entry] AS nodes, CAST([] AS BIGINT[]) AS path, entry AS src, false AS closes FROM entries
-    UNION ALL SELECT entry, list_append(nodes, dst), list_append(path, ord), dst, list_contains(nodes, dst) FROM walk JOIN edges USING (src) WHERE NOT closes AND len(path) < 4),
-  chains AS (SELECT entry, nodes, path FROM walk WHERE len(path) > 0 AND (closes OR len(path) = 4 OR src NOT IN (SELECT src FROM edges)))"""
-REACH = f"""{RESOLVED},
-  walk AS (SELECT DISTINCT entry, [entry] AS nodes, CAST([] AS BIGINT[]) AS path, entry AS src FROM entries
-    UNION ALL SELECT entry, list_append(nodes, dst), list_append(path, ord), dst FROM walk JOIN edges USING (src) WHERE NOT list_contains(nodes, dst) AND len(path) < 6),
-  reach AS (SELECT entry, src AS node, nodes FROM (SELECT *, row_number() OVER (PARTITION BY entry, src ORDER BY len(path), path) AS r FROM walk) WHERE r = 1)"""
+def _hops(depth: int) -> str:
+    """Chains hop by hop: an entry's first 80 prefixes hold its first 80 chains."""
+    hops = ["hop0 AS (SELECT entry, [entry] AS nodes, CAST([] AS BIGINT[]) AS path, entry AS src, false AS closes FROM (SELECT DISTINCT entry FROM entries) WHERE entry IN (SELECT src FROM edges))"]
+    for k in range(1, depth + 1):
+        hops.append(f"""hop{k} AS MATERIALIZED (SELECT entry, nodes, path, src, closes FROM (SELECT entry, list_append(nodes, dst) AS nodes, list_append(path, ord) AS path, dst AS src, list_contains(nodes, dst) AS closes,
+      row_number() OVER (PARTITION BY entry ORDER BY list_append(path, ord)) AS r FROM hop{k - 1} JOIN edges USING (src) WHERE NOT closes) WHERE r <= 80)""")
+    return ",\n  ".join(hops)
+
+
+def _levels(depth: int) -> str:
+    """Breadth-first search hop by hop: every new node's parent is the one discovered first."""
+    levels = ["first_edges AS MATERIALIZED (SELECT src, dst, min(ord) AS ord FROM edges GROUP BY 1, 2)", "level0 AS MATERIALIZED (SELECT DISTINCT entry, entry AS node, [entry] AS nodes, 1::BIGINT AS rank FROM entries)", "seen0 AS (SELECT entry, node, nodes FROM level0)"]
+    for k in range(1, depth + 1):
+        levels.append(f"""level{k} AS MATERIALIZED (SELECT n.entry, n.node, list_append(p.nodes, n.node) AS nodes, row_number() OVER (PARTITION BY n.entry ORDER BY n.by) AS rank
+    FROM (SELECT entry, dst AS node, min((rank, ord)) AS by, arg_min(src, (rank, ord)) AS src FROM level{k - 1} JOIN first_edges ON node = src GROUP BY 1, 2) n JOIN level{k - 1} p ON p.entry = n.entry AND p.node = n.src
+    WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} s WHERE s.entry = n.entry AND s.node = n.node))""")
+        levels.append(f"seen{k} AS MATERIALIZED (SELECT * FROM seen{k - 1} UNION ALL SELECT entry, node, nodes FROM level{k})")
+    return ",\n  ".join(levels) + f",\n  reach AS (SELECT * FROM seen{depth})"
+
+
+CHAINS = f"""{RESOLVED}, {_hops(4)},
+  chains AS (SELECT entry, nodes, path FROM hop4 UNION ALL SELECT entry, nodes, path FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2 UNION ALL SELECT * FROM hop3) WHERE closes OR src NOT IN (SELECT src FROM edges))"""
+REACH = f"""{RESOLVED}, {_levels(6)}"""
 TABLES = r"""(list_filter(list_transform(regexp_extract_all({0}, '(?i)(?:^|[^A-Za-z0-9_])(?:from|join|into|update)[\x20\x09-\x0D]+([`"\[]?[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*)?[`"\]]?)', 1), lambda x: regexp_replace(x, '[`"\[\]]', '', 'g')), lambda x: lower(x) NOT IN ('select', 'set', 'where')))"""
 USAGES = """usages AS (SELECT type AS owner_type, name AS method, 'select' AS operation, replace('select * from t_' || lower(p_type) || ' join s.' || type || ' x', '#', '_') AS statement, 't_' || lower(p_type) || ',s.' || replace(type, '#', '_') AS tables, type || '.src' AS file_path, line::INT AS line FROM methods WHERE p_size % 6 = 4)"""
 FLOWS = f"""{REACH}, {USAGES}, owned AS (SELECT DISTINCT owner_type || '.' || method AS owner, statement, tables FROM usages),
@@ -168,7 +192,8 @@ SQL = {
     "usages": f"WITH {CALLS}, {USAGES} SELECT owner_type, method, operation, statement, tables, file_path, line, 'annotation' AS source FROM usages",
     "endpoint_flows": f"WITH RECURSIVE {FLOWS} SELECT * FROM flows",
     "flow_graph": f"""WITH RECURSIVE {FLOWS}, top AS (SELECT *, row_number() OVER (ORDER BY endpoint_path, code_path, owner, statement) AS n FROM flows), t AS (SELECT *, list_prepend(endpoint_path, string_split(code_path, ' -> ')) AS p FROM top WHERE n <= 80)
-      SELECT DISTINCT p[i] AS src, 'calls' AS type, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM t) UNION SELECT owner, 'runs', statement FROM t UNION SELECT statement, 'touches', unnest(string_split(tables, ',')) FROM t""",
+      SELECT DISTINCT p[i] AS src, 'calls' AS type, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM t) UNION SELECT owner, 'runs', statement FROM t UNION SELECT statement, 'touches', unnest(string_split(tables, ',')) FROM t
+      UNION SELECT '', 'omitted', (count(*) - 80)::VARCHAR FROM flows HAVING count(*) > 80""",
     "capped_flows": f"""WITH RECURSIVE {FLOWS}, top AS (SELECT *, (row_number() OVER (ORDER BY endpoint_path, code_path, owner, statement))::INT AS place FROM flows)
       SELECT *, 0::BIGINT AS omitted FROM top WHERE place <= 100 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) - 100 FROM flows HAVING count(*) > 100""",
 }
