@@ -46,8 +46,39 @@ def test_licenses(spark, odd):
     got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS).withColumn("license", F.lit("clash"))).collect()}
     assert got == {(1, "Apache-2.0"): 1.0, (4, "MIT"): 1.0}
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty(spark)).count() == 0
-    with pytest.raises(ValueError, match="five words"):
-        licenses.scan_licenses(odd, spark.createDataFrame([(1, "l", "too short")], "template_id int, license string, text string"))
+    with pytest.raises(ValueError, match="need words"):
+        licenses.scan_licenses(odd, spark.createDataFrame([(1, "l", "...")], "template_id int, license string, text string"))
+    rows = [(1, "All rights\nRESERVED. x all rights reserved", "", "", 0), (2, "all rights, reservedly", "", "", 0), (3, "y z all rights reserved", "", "", 0), (None, "all rights reserved", "", "", 0)]
+    got = {(r["doc_id"], r["first_word"], r["last_word"], r["n_windows"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).filter("license = 'proprietary'").collect()}
+    assert got == {(1, 0, 6, 2), (3, 2, 4, 1), (None, 0, 2, 1)}
+
+
+def test_licenses_brute_force(spark):
+    """Every document and template against whole-text containment, on the smallest tables and on texts with whole licences and inserted words."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    rng = random.Random(15)
+    made = []
+    for i, (_, text) in enumerate(licenses.TEMPLATES * 3):
+        words = text.split()
+        for _ in range(len(words) // 60):  # a word is lost and a comment put in
+            words[rng.randrange(len(words))] = "oddword"
+            at = rng.randrange(len(words))
+            words[at:at] = ["some", "inserted", "remark"]
+        made.append((10_000 + i, " ".join(["filler"] * rng.randint(0, 90) + words + ["tail"] * rng.randint(0, 90)), "", "", 0))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(made, DOCS))
+    want = {}
+    templates = [(split(t), min(5, len(split(t)))) for _, t in licenses.TEMPLATES]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w, k in templates]
+    for r in docs.collect():
+        words = split(r["text"])
+        runs = {k: {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} for k in {k for _, k in templates}}
+        for t, ((_, k), own) in enumerate(zip(templates, sets)):
+            share = len(own & runs[k]) / len(own)
+            if share >= 0.8:
+                want[r["doc_id"], t] = round(share, 6)
+    got = {(r["doc_id"], r["template_id"]): r["containment"] for r in licenses.scan_licenses(docs).collect()}
+    assert got.keys() <= want.keys() and all(want[k] >= got[k] for k in got)
+    assert len(got) >= 0.99 * len(want) and {i for i, *_ in made} <= {d for d, _ in got} | {d for d, *_ in made if not any(k[0] == d for k in want)}
 
 
 def test_license_windows_find_long_templates(spark):
