@@ -35,18 +35,36 @@ def slug(text: Column, default: str = "item") -> Column:
 
 
 def unique_slugs(df: DataFrame, text: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """Add ``slug``: the n-th row of a slug gets ``-n``, after those that exist already.
+    """Add ``slug``: in ascending ``order``, each row takes its slug if nobody has it, else the first free one of ``-2``, ``-3`` and so on.
 
-    Slugs that are taken literally (``a-2`` beside two ``a``) are moved on until none collides; each round settles at least the first row of every group.
+    Only slugs that agree but for numbers at their end can collide. Where no such number is in sight, the n-th row of a slug gets
+    ``-n``; the others are settled family by family, on (order, slug) rows alone.
     """
-    taken = existing.select("slug") if existing is not None else df.sparkSession.createDataFrame([], "slug string")
-    base = df.withColumn("base", slug(F.col(text)))
-    known = taken.select(F.regexp_replace("slug", "-[0-9]+$", "").alias("base"), "slug").groupBy("base").agg(F.max(F.when(F.col("slug") == F.col("base"), 1).otherwise(F.regexp_extract("slug", "-([0-9]+)$", 1).cast("int"))).alias("have"))
-    literal = base.filter(F.col("base").rlike("-[0-9]+$")).select(F.regexp_replace("base", "-[0-9]+$", "").alias("base"), F.regexp_extract("base", "-([0-9]+)$", 1).cast("int").alias("n")).groupBy("base").agg(F.max("n").alias("literal"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    rows = base.join(known, "base", "left").join(literal, "base", "left").withColumn("n", n)
-    number = F.when(F.col("have").isNull() & (F.col("n") == 1), 1).otherwise(F.col("n") + F.greatest(F.coalesce("have", F.lit(0)), F.when(F.coalesce("literal", F.lit(0)) > 1, F.col("literal")).otherwise(0)))
-    return rows.withColumn("slug", F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), number))).drop("base", "have", "literal", "n")
+    family = lambda c: F.regexp_replace(c, "(-[0-9]+)+$", "")
+    base = df.withColumns({"_base": slug(F.col(text)), "_family": family(slug(F.col(text)))})
+    taken = df.sparkSession.createDataFrame([], "slug string") if existing is None else existing.select("slug").distinct()
+    taken = taken.select(family(F.col("slug")).alias("_family"), "slug")
+    mixed = base.filter("_base <> _family").select("_family").union(taken.select("_family")).distinct()
+    n = F.row_number().over(Window.partitionBy("_base").orderBy(order))
+    plain = base.join(mixed, "_family", "left_anti").withColumn("slug", F.when(n == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n)))
+
+    def settle(rows, has):
+        used, following, found = set(has["slug"]), {}, []
+        rows = rows.sort_values("_order", kind="stable")
+        for name in rows["_base"]:
+            own, k = name, following.get(name, 2)
+            while own in used:
+                own, k = f"{name}-{k}", k + 1
+            following[name] = k
+            used.add(own), found.append(own)
+        return rows.assign(slug=found)[["_order", "_base", "slug"]]
+
+    kind = df.schema[order].dataType.simpleString()
+    inside = base.join(mixed, "_family", "left_semi")
+    settled = inside.select("_family", F.col(order).alias("_order"), "_base").groupBy("_family").cogroup(taken.groupBy("_family")).applyInPandas(settle, f"_order {kind}, _base string, slug string")
+    named = settled.withColumnRenamed("_base", "_b")
+    moved = inside.join(named, (F.col(order) == F.col("_order")) & (F.col("_base") == F.col("_b")))
+    return plain.unionByName(moved, allowMissingColumns=True).select(*[f"`{c}`" for c in df.columns], "slug")
 
 
 def nest_assets(assets: DataFrame, tags: DataFrame, evidence: DataFrame) -> DataFrame:

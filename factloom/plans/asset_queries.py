@@ -164,7 +164,50 @@ def snapshot_latest(spark, sf_dir):
     return A.load_snapshot(stored, last.select("project", "mode"))
 
 
+def delete_where(spark, sf_dir):
+    return A.delete_where(_log(spark, sf_dir).select("event_id", "event_type", "state"), (F.col("event_type") == "click") | (F.col("state") == "stale"))
+
+
+def json_lines(spark, sf_dir):
+    return A.to_json_lines(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+def norm_evidence(spark, sf_dir):
+    return K.norm_evidence(_evidence(spark, sf_dir).withColumn("note", F.lit("")), 2).select("asset_id", "ord", "file_path", "symbol_name", "start_line", "end_line")
+
+
+def validate_assets(spark, sf_dir):
+    own = _assets(spark, sf_dir)
+    i = F.col("ord")
+    broken = own.select("id", F.when(i % 4 == 0, " ").otherwise(F.col("title")).alias("title"), F.when(i % 3 == 0, "poem").otherwise(F.col("type")).alias("type"), F.when(i % 2 == 0, "lost").otherwise(F.col("status")).alias("status"))
+    return K.validate_assets(broken).select("id", "reason")
+
+
+def transition(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
+    changes = e.select(F.concat(F.lit("Rule "), "user_id").alias("id"), F.when(F.col("event_type") == "purchase", "confirmed").otherwise("stale").alias("action"), F.concat(F.lit("u"), F.col("event_id") % 7).alias("by"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("event_id").alias("seq"))
+    none = F.lit(None).cast("string")
+    return K.transition(_assets(spark, sf_dir).select("id", "status", none.alias("reviewer"), none.alias("confirmed_at")), changes)
+
+
+def merge_nodes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("customer").alias("label"), F.create_map(F.lit("name"), "c_name", F.lit("segment"), "c_mktsegment").alias("props"))
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"), F.lit("customer").alias("label"), F.create_map(F.lit("segment"), F.lit("buyer"), F.lit("last"), F.lit("order")).alias("props"))
+    merged = A.merge_nodes(c, o, F.lit(0))
+    return merged.select("id", "label", *[F.col("props")[k].alias(k) for k in ("name", "segment", "last")])
+
+
+def merge_edges(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.lit("PLACED").alias("type"), F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("dst"), F.create_map(F.lit("last"), F.col("o_orderkey").cast("string")).alias("props"), "o_orderkey")
+    nodes = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id")).union(o.select(F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1))))
+    old, new = rows.filter("o_orderkey % 2 = 0").drop("o_orderkey"), rows.drop("props").withColumn("props", F.create_map(F.lit("seen"), F.lit("yes"))).filter("o_orderkey % 3 = 0").drop("o_orderkey")
+    merged = A.merge_edges(A.merge_edges(old.limit(0), old.select("src", "type", "dst", F.create_map(F.lit("kind"), F.lit("old")).alias("props")), nodes), new, nodes)
+    return merged.select("src", "type", "dst", F.col("props")["kind"].alias("kind"), F.col("props")["seen"].alias("seen"))
+
+
 QUERIES = {f.__name__: f for f in (
+    delete_where, json_lines, norm_evidence, validate_assets, transition, merge_nodes, merge_edges,
     sections, packed_parts, kb_chunks, document_chunks, chunk_facts, chunk_methods, asset_chunks, norm_tags, slugs, nest_assets, page_assets, match_evidence, evidence_links, documents_list, visible_projects,
     live_rows, upsert_latest, soft_delete, prune_missing, sync_grants, point_uuid5, snapshot_latest,
 )}
@@ -221,5 +264,13 @@ SQL = {
     "sync_grants": """WITH g AS (SELECT DISTINCT user_id, event_id % 25 AS project_id FROM events WHERE event_type <> 'purchase'), w AS (SELECT DISTINCT user_id, project_id FROM (SELECT user_id, event_id % 25 AS project_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id % 2 = 0) WHERE r <= 5)
       SELECT coalesce(g.user_id, w.user_id) AS user_id, coalesce(g.project_id, w.project_id) AS project_id, CASE WHEN w.user_id IS NOT NULL THEN 'active' WHEN g.user_id IN (SELECT user_id FROM w) THEN 'deleted' ELSE 'active' END AS status FROM g FULL JOIN w ON g.user_id = w.user_id AND g.project_id = w.project_id""",
     "point_uuid5": f"WITH corpus AS ({CORPUS}), h AS (SELECT id, sha1(unhex('{NAMESPACE_URL}') || encode('p:' || id)) AS h, sha256('p:' || id) AS fact_hash FROM corpus) SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || h[17:17])::BIGINT % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid, fact_hash FROM h",
+    "delete_where": f"WITH {LOG} SELECT event_id, event_type, state FROM log WHERE event_type <> 'click' AND state <> 'stale'",
+    "json_lines": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
+    "norm_evidence": f"WITH {ASSETS} SELECT asset_id, ord, file_path, symbol_name, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ord) AS r FROM evidence WHERE file_path <> '' OR symbol_name <> '') WHERE r <= 2",
+    "validate_assets": "SELECT 'Rule ' || item_id AS id, CASE WHEN item_id % 4 = 0 THEN 'title required' WHEN item_id % 3 = 0 THEN 'unknown type' WHEN item_id % 2 = 0 THEN 'unknown status' END AS reason FROM benchmark",
+    "transition": f"""WITH {ASSETS}, c AS (SELECT 'Rule ' || user_id AS id, arg_max(event_type = 'purchase', (date_trunc('second', ts), event_id)) AS ok, arg_max('u' || (event_id % 7), (date_trunc('second', ts), event_id)) AS who, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS moment FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+      SELECT a.id, CASE WHEN ok THEN 'confirmed' WHEN NOT ok THEN 'stale' ELSE status END AS status, CASE WHEN ok THEN who END AS reviewer, CASE WHEN ok THEN moment END AS confirmed_at FROM assets a LEFT JOIN c USING (id)""",
+    "merge_nodes": "SELECT 'c' || c_custkey AS id, 'customer' AS label, c_name AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'buyer' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'order' END AS last FROM customer UNION SELECT 'c' || o_custkey, 'customer', NULL, 'buyer', 'order' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "merge_edges": "SELECT 'c' || o_custkey AS src, 'PLACED' AS type, 'p' || o_orderpriority[1] AS dst, max(CASE WHEN o_orderkey % 2 = 0 THEN 'old' END) AS kind, max(CASE WHEN o_orderkey % 3 = 0 THEN 'yes' END) AS seen FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) GROUP BY 1, 2, 3",
     "snapshot_latest": "WITH l AS (SELECT user_id AS project, event_type AS mode, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY 1, 2) SELECT project, mode, (project % 2 = 0 OR project % 3 = 0) AS found, CASE WHEN project % 3 = 0 THEN e || chr(10) WHEN project % 2 = 0 THEN e || chr(10) || chr(10) END AS text FROM l",
 }

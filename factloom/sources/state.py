@@ -55,6 +55,26 @@ def sync_grants(grants: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("user_id", "project_id", F.when(F.col("w"), "active").when(F.col("l"), "deleted").otherwise(F.col("status")).alias("status"))
 
 
+def _merged(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Rows by key with a map ``props``: old properties stay, new ones come in or replace them; of several new rows the last by order counts for each property."""
+    every = old.select(*keys, "props", F.lit(0).alias("_age"), F.lit(0).alias("_at")).unionByName(new.select(*keys, "props", F.lit(1).alias("_age"), (F.lit(0) if order is None else order).alias("_at")))
+    one = every.select(*keys, "_age", "_at", F.explode_outer("props").alias("_name", "_value"))
+    last = one.groupBy(*keys, "_name").agg(F.max_by("_value", F.struct("_age", "_at", F.coalesce("_value", F.lit("")))).alias("_value"))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_name", "_value"))))).alias("props"))
+
+
+def merge_nodes(nodes: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
+    """(id, label, props): nodes after a merge by label and id; rows without an id are left out."""
+    return _merged(nodes, new.filter("id is not null and id <> ''"), ["id", "label"], order)
+
+
+def merge_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, order: Column | None = None) -> DataFrame:
+    """(src, type, dst, props): edges after a merge by ends and type; new edges need both of their ends among the nodes (id)."""
+    ids = nodes.select("id").distinct()
+    known = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return _merged(edges, known.select(*new.columns), ["src", "type", "dst"], order)
+
+
 def uuid5(namespace_hex: str, name: Column) -> Column:
     """Version 5 UUID of a name, from SHA-1."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(name, "UTF-8")))

@@ -64,10 +64,14 @@ def test_uuid5(spark):
     assert got == str(uuid.uuid5(uuid.NAMESPACE_URL, "p:é"))
 
 
-def test_slugs_never_collide(spark):
-    df = spark.createDataFrame([(1, "A"), (2, "a"), (3, "a-2"), (4, "??")], "ord int, title string")
-    got = [r["slug"] for r in assets.unique_slugs(df, "title", "ord").collect()]
-    assert len(set(got)) == 4 and "a" in got and "item" in got
+@pytest.mark.parametrize("titles, existing, slugs", [
+    (["a", "a", "a-2"], [], ["a", "a-2", "a-2-2"]), (["a-2", "a"], ["a-2", "a"], ["a-2-2", "a-3"]), (["A b!", "a B", "", "", "a-b-3", "a b"], ["a-b"], ["a-b-2", "a-b-3", "item", "item-2", "a-b-3-2", "a-b-4"]),
+    (["x", "x", "x"], [], ["x", "x-2", "x-3"]), ([], ["x"], []),
+])
+def test_slugs(spark, titles, existing, slugs):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "ord long, title string")
+    got = assets.unique_slugs(df, "title", "ord", spark.createDataFrame([(e,) for e in existing], "slug string")).orderBy("ord").collect()
+    assert [r["slug"] for r in got] == slugs
 
 
 def test_headers(spark):
