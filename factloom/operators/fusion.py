@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .search import best_per_block, in_passes
 
-#: Words that say nothing about a text.
+#: Words that say nothing about a text; the patterns of ``terms`` are fixed too.
 STOP_WORDS = ["api", "code", "document", "file", "java", "knowledge", "method", "package", "section", "type"]
 M = 5
 KNOWLEDGE = ("kb", "knowledge_asset")
@@ -46,25 +46,31 @@ def overlaps(anchors: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
 
     def one_pass(rows):
         base = rows[0]["q"] if rows else 0
-        index: dict[str, list[int]] = {}
-        for r in rows:
-            for t in r["terms"]:
-                index.setdefault(t, []).append(r["q"] - base)
-        places = {t: np.array(q) for t, q in index.items()}
+        number: dict[str, int] = {}
+        held = sorted((number.setdefault(t, len(number)), r["q"] - base) for r in rows for t in r["terms"])
+        having = np.array([q for _, q in held], np.int64)  # anchors term by term
+        starts = np.searchsorted([t for t, _ in held], np.arange(len(number) + 1))
         sides, left_out = np.array([r["side"] or "" for r in rows], object), {}
         for r in rows:
             for i in r["excluded"] or []:
                 left_out.setdefault(i, []).append(r["q"] - base)
 
         def score(batch):
-            out = np.full((len(rows), batch.num_rows), np.nan)
-            for j, (i, own, side) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                met = [places[t] for t in own if t in places]
-                if met:
-                    n = np.bincount(np.concatenate(met), minlength=len(rows)).astype(float)
-                    n[(n == 0) | (sides == (side or "-"))] = np.nan
-                    n[left_out.get(i, [])] = np.nan
-                    out[:, j] = n
+            n = batch.num_rows
+            lists = batch.column(2)
+            size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            own = np.array([number.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+            row, own = np.repeat(np.arange(n), size)[own >= 0], own[own >= 0]
+            many = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            out = np.bincount(having[at] * n + np.repeat(row, many), minlength=len(rows) * n).reshape(len(rows), n).astype(float)
+            out[out == 0] = np.nan
+            of = np.array([x or "-" for x in batch.column(3).to_pylist()], object)
+            for side in set(sides) - {""}:
+                out[np.ix_(sides == side, of == side)] = np.nan
+            for j, i in enumerate(batch.column(0).to_pylist()):
+                if i in left_out:
+                    out[left_out[i], j] = np.nan
             return out
 
         return best_per_block(own_rows, score, len(rows), m).withColumn("q", (F.col("q") + F.lit(base)).cast("int"))

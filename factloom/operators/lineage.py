@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 def extract_tables(statement: Column) -> Column:
     """Names after from, join, into or update (one dot at most, quotes stripped), distinct, in order of first occurrence."""
+    # fixed value: the pattern
     pattern = r"(?i)(?<![A-Za-z0-9_])(?:from|join|into|update)[\x20\x09-\x0D]+([`\"\[]?[A-Za-z_][A-Za-z0-9_$]*(?:\.[A-Za-z_][A-Za-z0-9_$]*)?[`\"\]]?)"
     names = F.transform(F.regexp_extract_all(statement, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, r"[`\"\[\]]", ""))
     return F.array_distinct(F.filter(names, lambda x: ~F.lower(x).isin("select", "set", "where")))

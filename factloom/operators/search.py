@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 DIM = 384
 
 
@@ -68,37 +70,53 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(F.size(left) == F.size(right), dot).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
+#: Scores that a task computes at a time: queries x rows of a block.
+BLOCK_SCORES = 4_000_000
+
+
 def best_per_block(rows: DataFrame, score, queries: int, k: int) -> DataFrame:
     """(q, id, ord, score): for each query the best ``k`` rows, scored block by block where they lie.
 
     ``rows`` has id and ord first; ``score(batch)`` gives a matrix (queries x rows), NaN for pairs that are left out. Every
-    partition keeps its own best; only those meet. Ties go by ord.
+    partition keeps its own best, and a block's pairs matter only where they beat these; only the best meet. Ties go by ord.
     """
     kind = rows.schema[rows.columns[0]].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        best = [(np.empty(0), np.empty(0, np.int64), np.empty(0, object))] * queries
+        best, orders = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+        names = np.full((queries, k), None, object)
+        size, widest = 64, max(1, BLOCK_SCORES // max(1, queries))
         for b in batches:
-            if not b.num_rows or not queries:
-                continue
-            found, order, ids = score(b), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.array(b.column(0).to_pylist(), object)
-            for q in range(queries):
-                s, o, i = np.concatenate((best[q][0], found[q])), np.concatenate((best[q][1], order)), np.concatenate((best[q][2], ids))
-                top = np.lexsort((o, -s))[:k]
-                top = top[~np.isnan(s[top])]
-                best[q] = s[top], o[top], i[top]
-        out = [(q, i, int(o), float(s)) for q in range(queries) for s, o, i in zip(*best[q])]
-        c = list(zip(*out)) if out else [[]] * 4
-        kinds = [pa.int32(), pa.int64() if kind == "bigint" else pa.string(), pa.int64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], names=["q", "id", "ord", "score"])
+            at = 0
+            while at < b.num_rows and queries:
+                part = b.slice(at, min(size, widest))
+                at, size = at + part.num_rows, widest
+                found, order, ids = score(part), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.array(part.column(0).to_pylist(), object)
+                found = np.where(np.isnan(found), -np.inf, found)
+                q, row = np.nonzero((found > best[:, -1:]) | ((found == best[:, -1:]) & (found > -np.inf) & (order < orders[:, -1:])))
+                own = np.unique(q)
+                who = np.concatenate((q, np.repeat(own, k)))
+                s, o, i = np.concatenate((found[q, row], best[own].ravel())), np.concatenate((order[row], orders[own].ravel())), np.concatenate((ids[row], names[own].ravel()))
+                place = np.lexsort((o, -s, who))
+                top = place[np.searchsorted(who[place], own)[:, None] + np.arange(k)]
+                best[own], orders[own], names[own] = s[top], o[top], i[top]
+        q, place = np.nonzero(best > -np.inf)
+        id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(names[q, place].tolist(), id_type), pa.array(orders[q, place]), pa.array(best[q, place])], names=["q", "id", "ord", "score"])
 
     partial = rows.mapInArrow(run, f"q int, id {kind}, ord long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _flat(lists, kind=float) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, values) of an Arrow list column; null lists are empty."""
+    size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    return np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
 #: Queries that are scored at once; more are dealt into several passes.
 MAX_QUERIES = 10_000
 
@@ -114,7 +132,7 @@ def in_passes(queries: DataFrame, one_pass) -> DataFrame:
         following = list(islice(rows, MAX_QUERIES))
         found = one_pass(block)
         if following or out:
-            found = found.checkpoint() if queries.sparkSession.sparkContext.getCheckpointDir() else found.localCheckpoint()
+            found = kept(found, "pass")
         out.append(found)
         if not following:
             return reduce(DataFrame.unionByName, out)
@@ -136,9 +154,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = DIM) -
         norm_q = np.sqrt((dense**2).sum(axis=1))
 
         def score(batch):
-            n, size = batch.num_rows, np.array([len(x) for x in batch.column(2)], np.int64)
-            own = np.zeros((n, dim))
-            own[np.repeat(np.arange(n), size), np.concatenate(batch.column(2).to_pylist() or [[]]).astype(np.int64)] = np.concatenate(batch.column(3).to_pylist() or [[]])
+            own = np.zeros((batch.num_rows, dim))
+            at, bucket = _flat(batch.column(2), np.int64)
+            own[at, bucket] = _flat(batch.column(3))[1]
             both = norm_q[:, None] * np.sqrt((own**2).sum(axis=1))[None, :]
             dot = dense @ own.T
             return np.floor(np.divide(dot, both, out=np.zeros_like(dot), where=both > 0) * 1e6 + 0.5) / 1e6
@@ -155,21 +173,34 @@ def _named(best: DataFrame, queries: DataFrame, found: list) -> DataFrame:
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), of any number, ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits."""
-    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding")
+    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), of any number, ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits.
+
+    Zero vectors score 0, null ones are left out, unequal lengths are an error, and empty tables give no rows.
+    """
+    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding").filter("embedding is not null")
+
+    def unit(flat, n):
+        if n and len(flat) % n:
+            raise ValueError("vectors differ in length")
+        own = flat.reshape(n, len(flat) // max(1, n))
+        size = np.linalg.norm(own, axis=1, keepdims=True)
+        return own / np.where(size == 0, 1, size)
 
     def one_pass(found):
-        dense = np.array([r["embedding"] for r in found], float)
-        if found:
-            dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+        lengths = {len(r["embedding"]) for r in found}
+        if len(lengths) > 1:
+            raise ValueError("vectors differ in length")
+        dense = unit(np.array([x for r in found for x in r["embedding"]], float), len(found))
 
         def score(batch):
-            own = np.array(batch.column(2).to_pylist(), float)
-            return np.round(dense @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T, 6)
+            at, flat = _flat(batch.column(2))
+            if (np.bincount(at, minlength=batch.num_rows) != dense.shape[1]).any():
+                raise ValueError("vectors differ in length")
+            return np.round(dense @ unit(flat, batch.num_rows).T, 6) + 0.0
 
         return _named(best_per_block(rows, score, len(found), k), queries, found).select("query_id", "rank", "id", "score")
 
-    return in_passes(queries.select("query_id", "embedding").orderBy("query_id"), one_pass)
+    return in_passes(queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id"), one_pass)
 
 
 def index_status(vectors: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion as U
 from ..operators import report as R
+from ..sources.work import kept
 from .adapters import CORPUS, corpus, query_texts, table
 from .search_queries import EMBED, hits, hits_sql
 
 STOP = ", ".join(f"'{w}'" for w in U.STOP_WORDS)
+#: Words of a page that say nothing about it.
 PAGE_STOP = ["api", "class", "com", "controller", "get", "java", "method", "post", "public", "return", "service", "string", "user", "void"]
 
 
@@ -51,8 +53,8 @@ class Flow:
         self.records = corpus(spark, sf_dir).withColumn("title", F.lit(""))
         self.queries = query_texts(spark, sf_dir)
         named = self.records.select("id", "text", "source_type", "status")
-        self.hits = hits(spark, sf_dir).drop("ord").join(named, "id").join(self.queries.withColumnRenamed("text", "query"), "query_id")
-        self.candidates = U.related_candidates(self.hits, self.records)
+        self.hits = kept(hits(spark, sf_dir).drop("ord").join(named, "id").join(self.queries.withColumnRenamed("text", "query"), "query_id"), "hits")
+        self.candidates = kept(U.related_candidates(self.hits, self.records), "candidates")
         self.relations = U.relations(self.candidates)
         self.evidence = U.evidence(self.candidates, self.records)
         self.items = R.context_items(self.hits, self.evidence)

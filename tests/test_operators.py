@@ -133,6 +133,17 @@ def test_scan_api_calls(spark):
     ]
 
 
+def test_dense_search_edges(spark):
+    """Zero and null vectors, ties, empty tables and unequal lengths."""
+    ddl, out = "id long, ord long, embedding array<double>", "query_id long, embedding array<double>"
+    vectors = spark.createDataFrame([(1, 2, [1.0, 0.0]), (2, 1, [2.0, 0.0]), (3, 3, [0.0, 0.0]), (4, 4, None)], ddl)
+    queries = spark.createDataFrame([(7, [3.0, 0.0]), (8, [0.0, 0.0]), (9, None)], out)
+    assert {tuple(r) for r in search.dense_search(queries, vectors, 2).collect()} == {(7, 1, 2, 1.0), (7, 2, 1, 1.0), (8, 1, 2, 0.0), (8, 2, 1, 0.0)}
+    assert search.dense_search(queries.limit(0), vectors).count() == 0 and search.dense_search(queries, vectors.limit(0)).count() == 0
+    with pytest.raises(Exception, match="differ in length"):
+        search.dense_search(queries, spark.createDataFrame([(1, 1, [1.0])], ddl)).collect()
+
+
 def test_queries_in_passes(spark, monkeypatch):
     """More queries than one pass takes are all answered, with the rows that a single pass gives."""
     rng = random.Random(4)
