@@ -133,6 +133,21 @@ def test_scan_api_calls(spark):
     ]
 
 
+def test_helpers_and_type_arguments(spark):
+    text = "function save(u: User) { return fetch(u, { method: 'put', x: '}' }) }\nasync function load<T>(u) { return fetch(u) }\nconst plain = () => { return 1 }\nrequest<User>('/api/u')\nsave('/api/s')\nload<A<B>>(`/api/l`)\nhttp.post('/api/p')"
+    files = spark.createDataFrame([("a.ts", text), ("b.ts", "save('/api/b')"), ("c.ts", None)], "path string, content string")
+    calls = routes.with_methods(routes.scan_api_calls(files), routes.scan_helpers(files))
+    got = {(r["path"], r["callee"], r["url"], r["method"]) for r in calls.collect()}
+    assert got == {("a.ts", "request", "/api/u", "UNKNOWN"), ("a.ts", "save", "/api/s", "PUT"), ("a.ts", "load", "/api/l", "GET"), ("a.ts", "http.post", "/api/p", "POST"), ("b.ts", "save", "/api/b", "UNKNOWN")}
+
+
+def test_route_variables_on_both_sides(spark):
+    calls = spark.createDataFrame([(1, "/api/{x}/b"), (2, "/a/7"), (3, "/api"), (4, "/a/b/c")], "call_id int, path string")
+    ends = spark.createDataFrame([(1, "/a/b"), (2, "/a/{id}"), (3, "/"), (4, "/{p}/{q}"), (5, "/a/<b>/d")], "endpoint_id int, path string")
+    got = {(r["call_id"], r["endpoint_id"], r["score"]) for r in routes.route_candidates(calls, ends).collect()}
+    assert got == {(1, 1, 3), (1, 2, 2), (1, 4, 2), (2, 2, 3), (2, 4, 2), (3, 3, 0)} | {(1, 5, 3)} - {(1, 5, 3)}
+
+
 def test_dense_search_edges(spark):
     """Zero and null vectors, ties, empty tables and unequal lengths."""
     ddl, out = "id long, ord long, embedding array<double>", "query_id long, embedding array<double>"
