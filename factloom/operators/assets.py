@@ -76,7 +76,7 @@ def nest_assets(assets: DataFrame, tags: DataFrame, evidence: DataFrame) -> Data
 
 
 def page_assets(assets: DataFrame, tags: DataFrame, evidence: DataFrame, text: str = "", kind: str | None = None, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of assets, newest (largest ord) first, that contain a text themselves, in a tag or in evidence; limit clamped to 1..100."""
+    """A page of assets, newest (largest ord) first, that contain a text themselves, in a tag or in evidence, with the ``total`` of all pages; limit clamped to 1..100."""
     found = assets
     for name, value in (("type", kind), ("status", status)):
         found = found.filter(F.col(name) == value) if value else found
@@ -84,7 +84,7 @@ def page_assets(assets: DataFrame, tags: DataFrame, evidence: DataFrame, text: s
         has = lambda *c: F.contains(F.lower(F.concat_ws("\n", *c)), F.lit(text.lower()))
         ids = found.filter(has("title", "content")).select("id").union(tags.filter(has("tag")).select("asset_id")).union(evidence.filter(has("file_path", "symbol_name")).select("asset_id")).distinct()
         found = found.join(ids, "id", "left_semi")
-    return found.orderBy(F.desc("ord")).offset(max(0, offset)).limit(min(100, max(1, limit)))
+    return found.orderBy(F.desc("ord")).offset(max(0, offset)).limit(min(100, max(1, limit))).withColumn("total", found.agg(F.count("*")).scalar())
 
 
 def match_evidence(evidence: DataFrame, facts: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ LINES = """
 FACTS = f"""
   lines AS ({LINES}),
   home AS (SELECT c_custkey, c_name, r_name AS project_id, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS file_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-  facts AS (
+  facts AS MATERIALIZED (
     SELECT r_name AS project_id, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS key, 'file' AS type, 'r' || r_regionkey || '/n' || n_nationkey || '.src' AS file_path, '' AS symbol_name, '' AS enclosing_type, '' AS enclosing_method, 0 AS start_line, 0 AS end_line FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION ALL SELECT project_id, file_path || '::type::' || c_name || '::' || c_custkey, 'type', file_path, c_name, '', '', 1, 999 FROM home
     UNION ALL SELECT project_id, file_path || '::method::' || c_name || '::o' || o_orderkey, 'method', file_path, 'o' || o_orderkey, c_name, '', 1, 7 FROM orders JOIN home ON o_custkey = c_custkey

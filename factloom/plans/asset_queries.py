@@ -101,7 +101,7 @@ def nest_assets(spark, sf_dir):
 
 
 def page_assets(spark, sf_dir):
-    return K.page_assets(_assets(spark, sf_dir), _tags(spark, sf_dir), _evidence(spark, sf_dir), "o3", limit=30, offset=1).select("id", "type", "status")
+    return K.page_assets(_assets(spark, sf_dir), _tags(spark, sf_dir), _evidence(spark, sf_dir), "o3", limit=30, offset=1).select("id", "type", "status", "total")
 
 
 def match_evidence(spark, sf_dir):
@@ -252,7 +252,7 @@ SQL = {
     "norm_tags": f"WITH {ASSETS}, {TAGS} SELECT asset_id, ord::INT AS ord, tag FROM tags",
     "slugs": "WITH t AS (SELECT item_id AS ord, 'Rule ' || (item_id % 10) AS title, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS n FROM benchmark) SELECT ord, title, lower(replace(title, ' ', '-')) || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS slug FROM t",
     "nest_assets": f"WITH {ASSETS}, {TAGS} SELECT id, (SELECT string_agg(tag, ',' ORDER BY ord) FROM tags WHERE asset_id = id) AS tags, (SELECT string_agg(file_path || '|' || symbol_name, ',' ORDER BY evidence.ord) FROM evidence WHERE asset_id = id) AS evidence FROM assets",
-    "page_assets": f"WITH {ASSETS}, {TAGS} SELECT id, type, status FROM assets a WHERE contains(lower(title || chr(10) || content), 'o3') OR EXISTS (SELECT 1 FROM tags WHERE asset_id = a.id AND contains(lower(tag), 'o3')) OR EXISTS (SELECT 1 FROM evidence WHERE asset_id = a.id AND contains(lower(file_path || chr(10) || symbol_name), 'o3')) ORDER BY a.ord DESC LIMIT 30 OFFSET 1",
+    "page_assets": f"WITH {ASSETS}, {TAGS} SELECT id, type, status, count(*) OVER () AS total FROM assets a WHERE contains(lower(title || chr(10) || content), 'o3') OR EXISTS (SELECT 1 FROM tags WHERE asset_id = a.id AND contains(lower(tag), 'o3')) OR EXISTS (SELECT 1 FROM evidence WHERE asset_id = a.id AND contains(lower(file_path || chr(10) || symbol_name), 'o3')) ORDER BY a.ord DESC LIMIT 30 OFFSET 1",
     "match_evidence": f"WITH {FACTS}, {ASSETS}, {MATCH} SELECT * FROM matched",
     "evidence_links": f"WITH {FACTS}, {ASSETS}, {MATCH} SELECT asset_id, key, min(ord) AS ord FROM matched GROUP BY 1, 2",
     "documents_list": f"WITH corpus AS ({CORPUS}) SELECT file_path AS path, string_split(file_path, '/')[-1] AS name, strlen(text)::INT AS bytes FROM corpus WHERE starts_with(file_path, 'src1/')",

@@ -18,7 +18,7 @@ def fact_counts(spark, sf_dir):
 
 
 def fact_page(spark, sf_dir):
-    return B.page_facts(facts(spark, sf_dir), "call", limit=200, offset=1000).select("key", "type", "file_path", "symbol_name", "start_line")
+    return B.page_facts(facts(spark, sf_dir), "call", limit=200, offset=1000).select("key", "type", "file_path", "symbol_name", "start_line", "total")
 
 
 def file_metrics(spark, sf_dir):
@@ -59,7 +59,7 @@ def graph_overview(spark, sf_dir):
 
 
 def graph_search(spark, sf_dir):
-    return L.graph_search(facts(spark, sf_dir), "O1", "method", limit=50, offset=5).select("key", "file_path", "symbol_name")
+    return L.graph_search(facts(spark, sf_dir), "O1", "method", limit=50, offset=5).select("key", "file_path", "symbol_name", "total")
 
 
 def graph_relations(spark, sf_dir):
@@ -79,7 +79,7 @@ def chain_detail(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (fact_flatten, fact_counts, fact_page, file_metrics, line_counts, project_totals, rel_path, attach_enclosing, graph_nodes, graph_edges, graph_overview, graph_search, graph_relations, chain_summary, chain_detail)}
 NODES = """nodes AS (SELECT DISTINCT project_id AS id, 'project' AS label, project_id, '' AS type FROM facts UNION ALL SELECT DISTINCT file_path, 'file', project_id, '' FROM facts UNION ALL SELECT DISTINCT key, 'record', project_id, type FROM facts)"""
-EDGES = """edges AS (
+EDGES = """edges AS MATERIALIZED (
   SELECT project_id AS src, 'HAS_RECORD' AS type, key AS dst, project_id FROM facts UNION SELECT file_path, 'CONTAINS', key, project_id FROM facts
   UNION SELECT p.key, 'ENCLOSES', c.key, c.project_id FROM facts c JOIN facts p ON p.type = 'type' AND p.project_id = c.project_id AND p.file_path = c.file_path AND p.symbol_name = c.enclosing_type WHERE c.enclosing_type <> '' AND p.key <> c.key
   UNION SELECT p.key, 'OWNS_BEHAVIOR', c.key, c.project_id FROM facts c JOIN facts p ON p.type = 'method' AND p.project_id = c.project_id AND p.file_path = c.file_path AND p.symbol_name = c.enclosing_method WHERE c.enclosing_method <> '' AND c.type IN ('call', 'return', 'control_structure', 'local_variable'))"""
@@ -90,7 +90,7 @@ SQL = {
     "fact_flatten": f"""WITH lines AS ({LINES}) SELECT 'o' || o_orderkey AS key, 'file' AS type, 'o' || o_orderkey AS file_path, '' AS symbol_name, 0 AS start_line, '{{}}' AS payload, -1 AS ord FROM orders
       UNION ALL SELECT 'o' || o_orderkey || '::call::p' || l_partkey || '::' || idx, 'call', 'o' || o_orderkey, 'p' || l_partkey, l_linenumber, '{{"name":"p' || l_partkey || '","start_line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}}', idx::INT FROM lines JOIN orders ON l_orderkey = o_orderkey""",
     "fact_counts": f"WITH {FACTS} SELECT type, count(*) AS n FROM facts GROUP BY type",
-    "fact_page": f"WITH {FACTS} SELECT key, type, file_path, symbol_name, start_line FROM facts WHERE type = 'call' ORDER BY type, file_path, start_line, key LIMIT 200 OFFSET 1000",
+    "fact_page": f"WITH {FACTS} SELECT key, type, file_path, symbol_name, start_line, count(*) OVER () AS total FROM facts WHERE type = 'call' ORDER BY type, file_path, start_line, key LIMIT 200 OFFSET 1000",
     "file_metrics": f"WITH {METRICS} SELECT m.file_path, n_calls::INT AS n_calls, max_depth, coalesce(histogram, '') AS histogram FROM m LEFT JOIN hist USING (file_path)",
     "line_counts": f"WITH corpus AS ({CORPUS}) SELECT id, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN suffix(text, chr(10)) THEN 0 ELSE 1 END)::INT AS n_lines FROM corpus",
     "project_totals": f"WITH {METRICS} SELECT count(*) AS n_files, sum(n_calls)::BIGINT AS n_calls, string_agg(DISTINCT package, ',' ORDER BY package) AS packages FROM m",
@@ -101,7 +101,7 @@ SQL = {
     "graph_nodes": f"WITH {GRAPH} SELECT * FROM nodes",
     "graph_edges": f"WITH {GRAPH} SELECT * FROM edges",
     "graph_overview": f"WITH {GRAPH} SELECT 'total' AS section, label || 's' AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'record', type, count(*) FROM nodes WHERE label = 'record' GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY 2",
-    "graph_search": f"WITH {FACTS} SELECT key, file_path, symbol_name FROM facts WHERE type = 'method' AND contains(lower(concat_ws(chr(10), key, file_path, symbol_name, enclosing_type, enclosing_method)), 'o1') ORDER BY type, file_path, start_line, key LIMIT 50 OFFSET 5",
+    "graph_search": f"WITH {FACTS} SELECT key, file_path, symbol_name, count(*) OVER () AS total FROM facts WHERE type = 'method' AND contains(lower(concat_ws(chr(10), key, file_path, symbol_name, enclosing_type, enclosing_method)), 'o1') ORDER BY type, file_path, start_line, key LIMIT 50 OFFSET 5",
     "graph_relations": f"WITH {GRAPH}, page AS (SELECT * FROM edges WHERE type = 'OWNS_BEHAVIOR' ORDER BY type, src, dst LIMIT 500) SELECT src, page.type, dst, a.symbol_name AS src_name, b.symbol_name AS dst_name FROM page JOIN facts a ON a.key = src JOIN facts b ON b.key = dst",
     "chain_summary": f"""WITH {GRAPH}, own AS (SELECT src, dst FROM edges WHERE type = 'OWNS_BEHAVIOR'),
       e AS (SELECT 'endpoint' AS type, e.key, e.symbol_name AS title, count(DISTINCT m.key) + count(DISTINCT own.dst) AS n FROM facts e LEFT JOIN facts m ON m.type = 'method' AND m.file_path = e.file_path AND m.symbol_name = e.symbol_name LEFT JOIN own ON own.src = m.key WHERE e.type = 'endpoint' GROUP BY e.key, e.symbol_name, e.file_path, e.start_line ORDER BY e.file_path, e.start_line, e.key LIMIT 300),
