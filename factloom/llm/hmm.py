@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep, scratch, table
 
-STATES, ROUNDS, DIMS, PREFERENCE = 12, 5, 16, 20.0
+STATES, ROUNDS, DIMS, PREFERENCE = 12, 4, 16, 20.0
 SYMBOLS, CLASSES, KNOWN_WORDS = 4095, 512, 250_000
 SEGMENT, PRIOR = 256, 50.0
 #: Symbol 0 is the end; then the frequent words, then the classes.
