@@ -24,6 +24,16 @@ def sql_usages(annotations: DataFrame, xml: DataFrame | None = None) -> DataFram
     return both.withColumn("tables", extract_tables(F.col("statement"))).orderBy("owner_type", "method", "operation", "file_path", "line")
 
 
+def usages_from_annotations(refs: DataFrame, types: DataFrame) -> DataFrame:
+    """(owner_type, method, operation, statement, file_path, line) of annotated statements; refs without a type or a method are left out.
+
+    The file is the last one (by ord) that declares the owner, else the reference's own. types: (name, file_path, ord).
+    """
+    last = types.groupBy(F.col("name").alias("owner_type")).agg(F.max_by("file_path", "ord").alias("declared"))
+    named = refs.filter("owner_type <> '' and method <> ''").join(last, "owner_type", "left")
+    return named.select("owner_type", "method", "operation", "statement", F.coalesce("declared", "file_path", F.lit("")).alias("file_path"), "line")
+
+
 def usages_from_xml(files: DataFrame) -> DataFrame:
     """(owner_type, method, operation, statement, file_path, line) of mapper files (path, content); files that do not parse are passed over."""
 

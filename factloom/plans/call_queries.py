@@ -117,6 +117,12 @@ def usages(spark, sf_dir):
     return E.sql_usages(_usages(spark, sf_dir)).withColumn("tables", F.array_join("tables", ","))
 
 
+def annotation_usages(spark, sf_dir):
+    refs = _usages(spark, sf_dir).withColumn("owner_type", F.when(F.col("line") % 11 == 0, "").when(F.col("line") % 5 == 0, F.lit("Elsewhere")).otherwise(F.col("owner_type")))
+    types = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.concat("p_type", F.lit("/"), F.col("p_partkey") % 13).alias("file_path"), F.col("p_partkey").alias("ord"))
+    return E.usages_from_annotations(refs, types)
+
+
 def _flows(spark, sf_dir):
     owned = E.sql_usages(_usages(spark, sf_dir)).select(F.concat_ws(".", "owner_type", "method").alias("owner"), "statement", "tables").distinct()
     edges = _edges(spark, sf_dir)
@@ -137,7 +143,7 @@ def capped_flows(spark, sf_dir):
     return E.capped(kept(_flows(spark, sf_dir)[0], "flows"), ["endpoint_path", "code_path", "owner", "statement"])
 
 
-QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, endpoint_flows, flow_graph, capped_flows)}
+QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, annotation_usages, endpoint_flows, flow_graph, capped_flows)}
 RESOLVED = f"""{CALLS},
   near AS (SELECT call_id, arg_min(m.id, abs(m.line - c.line) * 1000000000 + m.ord) AS caller FROM calls c JOIN methods m ON m.type = c.type AND m.name = c.method GROUP BY call_id),
   attributed AS (SELECT c.*, caller FROM calls c JOIN near USING (call_id)),
@@ -190,6 +196,8 @@ SQL = {
     "reachable_paths": f"WITH RECURSIVE {REACH} SELECT entry, node, array_to_string(nodes, ' -> ') AS path FROM reach",
     "extract_tables": f"WITH corpus AS ({CORPUS}), t AS (SELECT id, {TABLES.format('text')} AS l FROM corpus) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS tables FROM t",
     "usages": f"WITH {CALLS}, {USAGES} SELECT owner_type, method, operation, statement, tables, file_path, line, 'annotation' AS source FROM usages",
+    "annotation_usages": f"""WITH {CALLS}, {USAGES}, r AS (SELECT *, CASE WHEN line % 11 = 0 THEN '' WHEN line % 5 = 0 THEN 'Elsewhere' ELSE owner_type END AS o FROM usages), t AS (SELECT p_brand AS name, arg_max(p_type || '/' || (p_partkey % 13), p_partkey) AS file FROM part GROUP BY 1)
+      SELECT o AS owner_type, method, operation, statement, coalesce(t.file, file_path) AS file_path, line FROM r LEFT JOIN t ON t.name = o WHERE o <> ''""",
     "endpoint_flows": f"WITH RECURSIVE {FLOWS} SELECT * FROM flows",
     "flow_graph": f"""WITH RECURSIVE {FLOWS}, top AS (SELECT *, row_number() OVER (ORDER BY endpoint_path, code_path, owner, statement) AS n FROM flows), t AS (SELECT *, list_prepend(endpoint_path, string_split(code_path, ' -> ')) AS p FROM top WHERE n <= 80)
       SELECT DISTINCT p[i] AS src, 'calls' AS type, p[i + 1] AS dst FROM (SELECT p, unnest(range(1, len(p))) AS i FROM t) UNION SELECT owner, 'runs', statement FROM t UNION SELECT statement, 'touches', unnest(string_split(tables, ',')) FROM t

@@ -77,7 +77,17 @@ def chain_detail(spark, sf_dir):
     return L.chain_detail(f.filter("type = 'endpoint'").select("key"), f, L.graph_edges(f))
 
 
-QUERIES = {f.__name__: f for f in (fact_flatten, fact_counts, fact_page, file_metrics, line_counts, project_totals, rel_path, attach_enclosing, graph_nodes, graph_edges, graph_overview, graph_search, graph_relations, chain_summary, chain_detail)}
+def method_chain(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return L.method_chain(f.filter("type = 'method'").select("key"), f, L.graph_edges(f))
+
+
+def file_chain(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return L.file_chain(f.select(F.col("file_path").alias("path")).distinct(), f, L.graph_edges(f))
+
+
+QUERIES = {f.__name__: f for f in (fact_flatten, fact_counts, fact_page, file_metrics, line_counts, project_totals, rel_path, attach_enclosing, graph_nodes, graph_edges, graph_overview, graph_search, graph_relations, chain_summary, chain_detail, method_chain, file_chain)}
 NODES = """nodes AS (SELECT DISTINCT project_id AS id, 'project' AS label, project_id, '' AS type FROM facts UNION ALL SELECT DISTINCT file_path, 'file', project_id, '' FROM facts UNION ALL SELECT DISTINCT key, 'record', project_id, type FROM facts)"""
 EDGES = """edges AS MATERIALIZED (
   SELECT project_id AS src, 'HAS_RECORD' AS type, key AS dst, project_id FROM facts UNION SELECT file_path, 'CONTAINS', key, project_id FROM facts
@@ -108,6 +118,9 @@ SQL = {
       m AS (SELECT 'method' AS type, m.key, m.symbol_name AS title, count(DISTINCT own.dst) AS n FROM facts m LEFT JOIN own ON own.src = m.key WHERE m.type = 'method' GROUP BY m.key, m.symbol_name, m.file_path, m.start_line ORDER BY n DESC, m.file_path, m.start_line, m.key LIMIT 300),
       f AS (SELECT 'file' AS type, src AS key, src AS title, count(DISTINCT dst) AS n FROM edges WHERE type = 'CONTAINS' GROUP BY src ORDER BY n DESC, src LIMIT 300)
       SELECT type, key, title, n + 1 AS n_nodes, n AS n_relations FROM (SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT * FROM f) ORDER BY n DESC, title, type, key LIMIT 100""",
+    "method_chain": f"""WITH {GRAPH}, m AS (SELECT key, file_path FROM facts WHERE type = 'method'), o AS (SELECT m.key AS chain, dst, row_number() OVER (PARTITION BY m.key ORDER BY f.start_line, dst) AS n FROM m JOIN edges ON edges.type = 'OWNS_BEHAVIOR' AND src = m.key JOIN facts f ON f.key = dst)
+      SELECT key AS chain, file_path AS src, 'CONTAINS' AS type, key AS dst FROM m WHERE file_path <> '' UNION SELECT chain, chain, 'OWNS_BEHAVIOR', dst FROM o WHERE n <= 120 AND chain <> dst""",
+    "file_chain": f"""WITH {GRAPH}, h AS (SELECT src AS chain, dst, row_number() OVER (PARTITION BY src ORDER BY f.start_line, f.type, dst) AS n FROM edges JOIN facts f ON f.key = dst WHERE edges.type = 'CONTAINS') SELECT DISTINCT chain, chain AS src, 'CONTAINS' AS type, dst FROM h WHERE n <= 160 AND chain <> dst AND chain <> ''""",
     "chain_detail": f"""WITH {GRAPH}, e AS (SELECT * FROM facts WHERE type = 'endpoint'), m AS (SELECT e.key AS chain, f.key AS method FROM e JOIN facts f ON f.type = 'method' AND f.file_path = e.file_path AND f.symbol_name = e.symbol_name),
       o AS (SELECT chain, method, dst, row_number() OVER (PARTITION BY chain ORDER BY f.start_line, dst, method) AS n FROM m JOIN edges ON edges.type = 'OWNS_BEHAVIOR' AND src = method JOIN facts f ON f.key = dst)
       SELECT key AS chain, file_path AS src, 'CONTAINS' AS type, key AS dst FROM e UNION SELECT chain, chain, 'HANDLES', method FROM m UNION SELECT chain, method, 'OWNS_BEHAVIOR', dst FROM o WHERE n <= 120""",
