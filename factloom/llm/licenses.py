@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, keep, scratch, table
 
 SHINGLE, PERCENT, BANDS = 5, 80, 48
 MAX_SHINGLES = 20_000
@@ -147,7 +147,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, percent:
     if sum(max(1, len(r["sh"] or [])) for r in rows) > MAX_SHINGLES or any(not r["w"] for r in rows):
         raise ValueError(f"templates need words, and at most {MAX_SHINGLES} shingles in all")
     short, long = [r for r in rows if not r["sh"]], [r for r in rows if r["sh"]]
-    found = _long_matches(docs, own.filter(F.size("sh") > 0), long, percent) if long else None
+    found = None
+    if long:
+        with scratch():
+            found = keep(_long_matches(docs, own.filter(F.size("sh") > 0), long, percent), "license-matches")
     if short:
         more = _short_matches(docs, short, templates.schema["template_id"].dataType.simpleString())
         found = more if found is None else found.unionByName(more)
@@ -166,7 +169,7 @@ def _long_matches(docs: DataFrame, own: DataFrame, rows: list, percent: int) ->
     windows = likely.select("doc_id", F.inline(_windows(sizes, known))).withColumn("n", F.size("part") - (SHINGLE - 1)).filter("n > 0").withColumn("keys", _band_keys(_shingle_hashes(F.col("part"))))
     banded = own.select("template_id", "license", "m", _shingle_texts("w", "0", "size(sh)").alias("wanted"), F.explode(_band_keys("sh")).alias("key"))
     met = windows.select("doc_id", "m", "at", "n", "part", F.explode("keys").alias("key")).join(F.broadcast(banded), ["m", "key"]).withColumn("same", F.xxhash64("part")).dropDuplicates(["doc_id", "at", "template_id", "same"])
-    common = met.select("doc_id", "template_id", "license", "at", "n", F.size("wanted").alias("all"), F.array_intersect("wanted", _shingle_texts("part", "0", "n")).alias("common")).filter(F.size("common") > 0)
+    common = cut(met.select("doc_id", "template_id", "license", "at", "n", F.size("wanted").alias("all"), F.array_intersect("wanted", _shingle_texts("part", "0", "n")).alias("common")).filter(F.size("common") > 0), "license-windows")
     each = common.select("*", F.explode("common").alias("one")).groupBy("doc_id", "template_id", "license", "one").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("n") + SHINGLE - 2).alias("last"), F.max("all").alias("all"))
     share = F.count("*") / F.max("all")
     whole = each.groupBy("doc_id", "template_id", "license").agg(F.min("first").alias("first_word"), F.max("last").alias("last_word"), share.alias("share")).filter(F.col("share") * 100 >= percent)
