@@ -152,7 +152,9 @@ def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
 def apply_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the base rule and the certified rules leave, with their own columns."""
     levels = calibrate(docs, labels, stratum, alpha, delta)
-    return verdicts(measured(docs), levels, stratum).filter("_kept").select(*[f"`{c}`" for c in docs.columns if c != "quality"])
+    own = docs.withColumnRenamed("quality", "_own_quality")  # the struct of measures takes that name for a while
+    found = verdicts(measured(own), levels, "_own_quality" if stratum == "quality" else stratum).filter("_kept")
+    return found.select(*[F.col(f"`{o}`").alias(c) for o, c in zip(own.columns, docs.columns)])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
