@@ -27,9 +27,9 @@ def test_stages(spark):
 def test_stages_on_odd_rows(spark):
     """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns; then no rows at all."""
     word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11))
-    prose = lambda a, n: " ".join(f"{word(a + i)}{i % 7}" for i in range(n))
+    prose = lambda a, n: " ".join(f"{word(a + i)}{chr(97 + a % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n))
     ddl = "doc_id long, text string, lang string, source string, n_chars long, quality string, ord int, contamination string, cluster long, band string"
-    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(1, 60)), (None, prose(5, 50)), (3, None), (4, ""), (5, " \n\t"), (6, prose(9, 30_000)), (7, "one"), (8, prose(77, 40) + "\n" + prose(99, 40)), ((1 << 60) + 1, prose(333, 45))]
+    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(1, 60)), (None, prose(5, 50)), (3, None), (4, ""), (5, " \n\t"), (6, prose(9, 30_000)), (7, "one"), (8, prose(77, 40) + "\n" + prose(99, 40)), ((1 << 60) + 1, prose(340, 45))]
     full = [(i, t, None if i == 7 else "en", None if i == 1 else "s", None, "x", 1, "y", None, "z") for i, t in rows]
     for docs in (spark.createDataFrame(full, ddl), spark.createDataFrame([], ddl)):
         names = docs.columns
