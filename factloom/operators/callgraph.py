@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.work import kept
+from ..sources.work import kept, scope
 
 
 def method_refs(methods: DataFrame) -> DataFrame:
@@ -100,23 +100,117 @@ def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_ch
     return top.select(n.alias("n"), "entry", F.array_join("nodes", " -> ").alias("chain"))
 
 
-def reachable_paths(edges: DataFrame, entries: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(entry, node, path): breadth-first paths; of several paths of a hop the one discovered first counts.
+#: Targets whose bits share one bitmap.
+BLOCK = 4096
 
-    Nodes of a hop are ranked for each entry by their discovery, so a step carries a rank and an edge's place instead of paths, and
-    picks each new node's parent by a pre-aggregated minimum; parallel edges are reduced to their first.
-    """
-    out = kept(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "reach-edges")
-    front = kept(entries.select("entry").distinct().select("entry", F.col("entry").alias("node"), F.array("entry").alias("path"), F.lit(1).alias("rank")), "reach")
-    seen = front
-    for _ in range(max_depth):
-        step = front.join(out, F.col("node") == F.col("src")).groupBy("entry", "dst").agg(F.min(F.struct("rank", "ord", "src")).alias("by"))
-        new = step.withColumnRenamed("dst", "node").join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
-        parents = front.select("entry", F.col("node").alias("src"), F.col("path").alias("before"))
-        rank = F.row_number().over(Window.partitionBy("entry").orderBy("by.rank", "by.ord"))
-        found = new.select("entry", "node", F.col("by.src").alias("src"), rank.alias("rank")).join(parents, ["entry", "src"])
-        front = kept(found.select("entry", "node", F.concat("before", F.array("node")).alias("path"), "rank"), "reach")
+
+def _near(edges: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
+    """(node, hop): nodes within reach of any entry, by the least number of hops."""
+    front = kept(entries.select(F.col("entry").alias("node")).distinct().withColumn("hop", F.lit(0)), "near")
+    found = front
+    for hop in range(1, max_depth + 1):
+        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = kept(step.join(found, "node", "left_anti").withColumn("hop", F.lit(hop)), "near")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen.select("entry", "node", "path")
+        found = found.unionByName(front)
+    return found
+
+
+def _first_ways(batches):
+    """Rows of (src, block), sorted: bitmaps of settled targets (dst null), then those that each edge leads to, in the edges' order.
+
+    Gives for each edge the targets that no edge before it leads to, and in a row without dst all new targets of the source.
+    """
+    import pyarrow as pa
+
+    key, settled, new = None, 0, 0
+    names = ["src", "block", "dst", "bits"]
+    pack = lambda x: x.to_bytes((x.bit_length() + 7) // 8, "little")
+    for batch in batches:
+        out = []
+        for src, block, dst, bits in zip(*(batch.column(c).to_pylist() for c in names)):
+            if (src, block) != key:
+                if new:
+                    out.append((*key, None, pack(new)))
+                key, settled, new = (src, block), 0, 0
+            found = int.from_bytes(bits, "little") & ~settled
+            settled |= found
+            if dst is not None and found:
+                new |= found
+                out.append((src, block, dst, pack(found)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.binary()))], names=names)
+    if new:
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*key, None, pack(new)), (pa.string(), pa.int64(), pa.string(), pa.binary()))], names=names)
+
+
+def _both(batches):
+    """Rows with ``bits`` reduced to those that ``other`` has too; rows without any go."""
+    import pyarrow as pa
+
+    for batch in batches:
+        held = [int.from_bytes(x, "little") & int.from_bytes(y, "little") for x, y in zip(batch["bits"].to_pylist(), batch["other"].to_pylist())]
+        bits = pa.array([x.to_bytes((x.bit_length() + 7) // 8, "little") or None for x in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("entry", "way", "src", "block")), bits], names=["entry", "way", "src", "block", "bits"]).filter(bits.is_valid())
+
+
+def _targets(batches):
+    """(entry, way, target): a row for each bit."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            places = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")) for x in part["bits"].to_pylist()]
+            row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in places]))
+            target = np.concatenate([x + b * BLOCK for x, b in zip(places, part["block"].to_pylist())]) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part["entry"].take(row), part["way"].take(row), pa.array(target, pa.int64())], names=["entry", "way", "target"])
+
+
+def reachable_paths(edges: DataFrame, entries: DataFrame, max_depth: int = 6, targets: DataFrame | None = None) -> DataFrame:
+    """(entry, node, path): breadth-first paths; of several paths of a hop the one discovered first counts. ``targets`` (node): only paths that end there.
+
+    The path found first is the one whose edges come first: its first edge is the earliest of those that lead to the target in one
+    hop less. So nodes carry bitmaps of the targets that they reach in exactly k hops, a hop joins bitmaps to edges (not pairs to
+    edges), and each source goes through its edges in their order, streaming, and gives each of them the targets that no earlier edge has.
+    These tables tell the next node of every source and target. Paths of entries are laid out along them as prefixes with bitmaps of the
+    targets behind; only the last step makes a row for each pair. Sources are those within reach of an entry, with the hops that
+    are left. Cases: an entry without edges reaches itself; parallel edges count by their first; an edge to the source itself is no way.
+    """
+    with scope():
+        first = kept(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "reach-edges")
+        near = kept(_near(first, entries, max_depth), "reach-near")
+        own = near.select("node") if targets is None else near.join(targets.select("node").distinct(), "node", "left_semi").select("node")
+        numbered = kept(own.withColumn("target", F.monotonically_increasing_id()), "reach-targets")
+        place = F.pmod(F.col("target"), F.lit(BLOCK)).cast("int")
+        bit = F.concat(F.repeat(F.lit("00"), F.floor(place / 8).cast("int")), F.lpad(F.hex(F.pow(F.lit(2), place % 8).cast("int")), 2, "0"))
+        own_bits = kept(numbered.select("node", F.floor(F.col("target") / BLOCK).alias("block"), F.unhex(bit).alias("bits")), "reach-bits")
+        sources = first.join(near.withColumnRenamed("node", "src"), "src")
+        settled = own_bits.withColumnRenamed("node", "src")
+        front, ways = own_bits.withColumnRenamed("node", "dst"), []
+        for hop in range(1, max_depth + 1):
+            led = sources.filter(F.col("hop") + hop <= max_depth).join(front, "dst").select("src", "block", "ord", "dst", "bits")
+            known = settled.select("src", "block", F.lit(None).cast(first.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("dst"), "bits")
+            ordered = led.unionByName(known).repartition("src", "block").sortWithinPartitions("src", "block", F.asc_nulls_first("ord"), F.asc_nulls_first("dst"))
+            step = kept(ordered.mapInArrow(_first_ways, "src string, block long, dst string, bits binary"), "reach-ways")
+            found = step.filter("dst is null").drop("dst")
+            if found.isEmpty():
+                break
+            ways.append(step)
+            settled = settled.unionByName(found)
+            front = found.withColumnRenamed("src", "dst")
+        begin = entries.select("entry").distinct()
+        done = own_bits.join(begin, F.col("node") == F.col("entry")).select("entry", F.array().cast("array<string>").alias("way"), "block", "bits")
+        for hops, step in enumerate(ways, 1):
+            mine = step.join(begin, F.col("src") == F.col("entry"))
+            if hops == 1:
+                done = done.unionByName(mine.filter("dst is null").select("entry", F.array("entry").alias("way"), "block", "bits"))
+                continue
+            at = mine.filter("dst is not null").select("entry", F.array("entry", "dst").alias("way"), F.col("dst").alias("src"), "block", "bits")
+            for left in range(hops - 1, 1, -1):
+                further = ways[left - 1].filter("dst is not null").select("src", "block", F.col("dst").alias("next"), F.col("bits").alias("other"))
+                joined = at.join(further, ["src", "block"]).select("entry", F.concat("way", F.array("next")).alias("way"), F.col("next").alias("src"), "block", "bits", "other")
+                at = joined.mapInArrow(_both, "entry string, way array<string>, src string, block long, bits binary")
+            done = done.unionByName(at.select("entry", "way", "block", "bits"))
+        pairs = done.mapInArrow(_targets, "entry string, way array<string>, target long")
+        return kept(pairs.join(numbered, "target").select("entry", "node", F.concat("way", F.array("node")).alias("path")), "reach", outlives=True)

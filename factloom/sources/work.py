@@ -1,12 +1,17 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and their removal."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables written in each open scope, the innermost last.
+_OPEN: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("open_scopes", default=())
+
 
 def work_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder, which only a local master can use."""
@@ -19,8 +24,27 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: its lineage is cut, and what reads it several times does not compute it again."""
+def kept(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back: its lineage is cut, and what reads it several times does not compute it again.
+
+    The table goes with the :func:`scope` around it; one that ``outlives`` it goes with the scope around that one. Outside all scopes tables stay.
+    """
     path = f"{work_dir(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scopes = _OPEN.get()[: -1 if outlives else None]
+    if scopes:
+        scopes[-1].append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope():
+    """Tables that are :func:`kept` within the block are removed at its end, once nothing reads them any more."""
+    token = _OPEN.set((*_OPEN.get(), []))
+    try:
+        yield
+    finally:
+        for spark, name in _OPEN.get()[-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _OPEN.reset(token)
