@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import asset_queries, call_queries, fact_queries, report_queries, route_queries, search_queries, surface_queries
+from . import asset_queries, call_queries, fact_queries, report_queries, route_queries, scanner_queries, search_queries, surface_queries
 
-_PARTS = (search_queries, report_queries, fact_queries, call_queries, route_queries, asset_queries, surface_queries)
+_PARTS = (search_queries, report_queries, fact_queries, call_queries, route_queries, asset_queries, surface_queries, scanner_queries)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
