@@ -110,14 +110,43 @@ def links(matches: DataFrame) -> DataFrame:
     return matches.groupBy("asset_id", "key").agg(F.min("ord").alias("ord"))
 
 
+#: What a change log may say: ``confirm`` and ``stale`` transitions, and updates that state fields.
+ACTIONS = {"confirm": "confirmed", "stale": "stale"}
+
+
 def transition(assets: DataFrame, changes: DataFrame) -> DataFrame:
-    """Assets after a log of changes (id, action, by, at, seq): the last one counts; confirming stamps reviewer and time."""
-    last = changes.groupBy("id").agg(F.max_by(F.struct("action", "by", "at"), F.struct("at", "seq")).alias("c"))
-    found = assets.join(last, "id", "left")
-    confirms = F.col("c.action") == "confirmed"
-    return found.withColumns({
-        "status": F.coalesce("c.action", "status"), "reviewer": F.when(confirms, F.col("c.by")).otherwise(F.col("reviewer")), "confirmed_at": F.when(confirms, F.col("c.at")).otherwise(F.col("confirmed_at")),
-    }).drop("c")
+    """Assets (id, status, reviewer, confirmed_at, ...) after a log of changes (id, action, by, at, seq, status, reviewer, confirmed_at), applied in the order (at, seq).
+
+    ``confirm`` sets the status and always stamps reviewer and time; ``stale`` sets the status alone. An ``update`` takes over the fields that
+    it states, empty ones stay; if the asset is confirmed after it and has no time of confirmation, it gets the update's, and the updater as
+    reviewer unless it has one. Other actions and updates to an unknown status change nothing.
+
+    A log is not replayed: a stamp that is set stays set, so the last change that sets a field decides it, and what an update fills in counts only
+    if no change before has set it. So each asset needs a handful of first and last changes, which are aggregated before the shuffle; an asset
+    may have any number of changes. Null and empty fields are the same, changes without an asset go, assets without changes stay.
+    """
+    when, given = F.struct("at", "seq"), lambda c: F.nullif(F.col(c), F.lit(""))
+    update = F.col("action") == "update"
+    valid = F.col("action").isin(*ACTIONS) | (update & (given("status").isNull() | F.col("status").isin(STATUSES)))
+    said = changes.filter(valid).select(
+        "id", when.alias("p"), F.struct("at", "by").alias("stamp"), update.alias("updates"),
+        F.when(F.col("action") == "confirm", "confirmed").when(F.col("action") == "stale", "stale").otherwise(given("status")).alias("s"),
+        F.when(F.col("action") == "confirm", F.col("by")).when(update, given("reviewer")).alias("r"), F.when(F.col("action") == "confirm", F.col("at")).when(update, given("confirmed_at")).alias("c"),
+    )
+    only = lambda condition, c: F.when(condition, F.col(c))
+    fills, follows = (F.col("updates") & F.col("c").isNull() & x for x in (F.col("s") == "confirmed", F.col("s").isNull()))
+    log = said.groupBy("id").agg(
+        *[F.max_by(x, only(F.col(x).isNotNull(), "p")).alias(f"last_{x}") for x in "src"], F.min(only(F.col("s").isNotNull(), "p")).alias("first_s"), F.min(only(F.col("c").isNotNull(), "p")).alias("first_c"),
+        *[f(x, only(condition, "p")).alias(f"{name}_{x}") for name, condition in (("fill", fills), ("follow", follows)) for f, x in ((F.min_by, "stamp"), (F.min_by, "p"))],
+    )
+    found = assets.join(log, "id", "left")
+    # an update without a status fills the stamps of an asset that was confirmed, and without them, from the start
+    follow = (F.col("status") == "confirmed") & F.col("follow_p").isNotNull() & (F.col("first_s").isNull() | (F.col("follow_p") < F.col("first_s")))
+    stamp, at = F.when(follow, F.col("follow_stamp")).otherwise(F.col("fill_stamp")), F.when(follow, F.col("follow_p")).otherwise(F.col("fill_p"))
+    stamp = F.when(given("confirmed_at").isNull() & (F.col("first_c").isNull() | (at < F.col("first_c"))), stamp)
+    return found.select(*[{
+        "status": F.coalesce("last_s", "status"), "reviewer": F.coalesce("last_r", given("reviewer"), stamp["by"]), "confirmed_at": F.coalesce("last_c", given("confirmed_at"), stamp["at"]),
+    }.get(c, F.col(f"`{c}`")).alias(c) for c in assets.columns])
 
 
 def list_documents(docs: DataFrame, prefix: str = "") -> DataFrame:

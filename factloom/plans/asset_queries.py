@@ -184,10 +184,16 @@ def validate_assets(spark, sf_dir):
 
 
 def transition(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')")
-    changes = e.select(F.concat(F.lit("Rule "), "user_id").alias("id"), F.when(F.col("event_type") == "purchase", "confirmed").otherwise("stale").alias("action"), F.concat(F.lit("u"), F.col("event_id") % 7).alias("by"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("event_id").alias("seq"))
-    none = F.lit(None).cast("string")
-    return K.transition(_assets(spark, sf_dir).select("id", "status", none.alias("reviewer"), none.alias("confirmed_at")), changes)
+    """Every event is a change of a rule: purchases confirm, errors make stale, the others update, with and without fields."""
+    e, n, text = table(spark, sf_dir, "events"), F.col("event_id"), F.lit(None).cast("string")
+    kind = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "stale").otherwise("update")
+    status = F.when(n % 3 == 0, "confirmed").when(n % 3 == 1, F.when(n % 2 == 0, "draft").otherwise("unheard of"))
+    changes = e.select(
+        F.concat(F.lit("Rule "), "user_id").alias("id"), kind.alias("action"), F.concat(F.lit("u"), n % 7).alias("by"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), n.alias("seq"),
+        status.alias("status"), F.when(n % 5 == 0, F.concat(F.lit("r"), n % 9)).alias("reviewer"), F.when(n % 11 == 0, "2020-01-01").otherwise("").alias("confirmed_at"),
+    )
+    first = F.when(F.col("ord") % 2 == 0, "confirmed").otherwise(F.col("status"))
+    return K.transition(_assets(spark, sf_dir).select("id", first.alias("status"), F.when(F.col("ord") % 4 == 0, "first").alias("reviewer"), text.alias("confirmed_at")), changes)
 
 
 def merge_nodes(spark, sf_dir):
@@ -268,8 +274,16 @@ SQL = {
     "json_lines": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
     "norm_evidence": f"WITH {ASSETS} SELECT asset_id, ord, file_path, symbol_name, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ord) AS r FROM evidence WHERE file_path <> '' OR symbol_name <> '') WHERE r <= 2",
     "validate_assets": "SELECT 'Rule ' || item_id AS id, CASE WHEN item_id % 4 = 0 THEN 'title required' WHEN item_id % 3 = 0 THEN 'unknown type' WHEN item_id % 2 = 0 THEN 'unknown status' END AS reason FROM benchmark",
-    "transition": f"""WITH {ASSETS}, c AS (SELECT 'Rule ' || user_id AS id, arg_max(event_type = 'purchase', (date_trunc('second', ts), event_id)) AS ok, arg_max('u' || (event_id % 7), (date_trunc('second', ts), event_id)) AS who, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS moment FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1)
-      SELECT a.id, CASE WHEN ok THEN 'confirmed' WHEN NOT ok THEN 'stale' ELSE status END AS status, CASE WHEN ok THEN who END AS reviewer, CASE WHEN ok THEN moment END AS confirmed_at FROM assets a LEFT JOIN c USING (id)""",
+    "transition": f"""WITH RECURSIVE {ASSETS}, e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment, CASE WHEN event_id % 3 = 0 THEN 'confirmed' WHEN event_id % 3 = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'draft' ELSE 'unheard of' END END AS s FROM events),
+      c AS (SELECT 'Rule ' || user_id AS id, event_type, moment, 'u' || (event_id % 7) AS who, s, CASE WHEN event_id % 5 = 0 THEN 'r' || (event_id % 9) END AS r, CASE WHEN event_id % 11 = 0 THEN '2020-01-01' END AS c,
+        row_number() OVER (PARTITION BY user_id ORDER BY moment, event_id) AS n FROM e WHERE event_type IN ('purchase', 'error') OR s IS DISTINCT FROM 'unheard of'),
+      t AS (
+        SELECT id, 0::BIGINT AS n, CASE WHEN ord % 2 = 0 THEN 'confirmed' ELSE status END AS status, CASE WHEN ord % 4 = 0 THEN 'first' END AS reviewer, NULL::VARCHAR AS confirmed_at FROM assets
+        UNION ALL
+        SELECT id, n, status, CASE WHEN event_type = 'purchase' THEN who WHEN event_type = 'error' THEN reviewer WHEN status = 'confirmed' AND stated IS NULL THEN coalesce(r, reviewer, who) ELSE coalesce(r, reviewer) END,
+          CASE WHEN event_type = 'purchase' THEN moment WHEN event_type = 'error' THEN confirmed_at WHEN status = 'confirmed' THEN coalesce(stated, moment) ELSE stated END
+        FROM (SELECT t.id, c.n, c.event_type, c.who, c.r, c.moment, t.reviewer, t.confirmed_at, coalesce(c.c, t.confirmed_at) AS stated, CASE c.event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'stale' ELSE coalesce(c.s, t.status) END AS status FROM t JOIN c ON c.id = t.id AND c.n = t.n + 1))
+      SELECT id, arg_max(status, n) AS status, arg_max(reviewer, n) AS reviewer, arg_max(confirmed_at, n) AS confirmed_at FROM (SELECT * FROM t) GROUP BY id""",
     "merge_nodes": "SELECT 'c' || c_custkey AS id, 'customer' AS label, c_name AS name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'buyer' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'order' END AS last FROM customer UNION SELECT 'c' || o_custkey, 'customer', NULL, 'buyer', 'order' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
     "merge_edges": "SELECT 'c' || o_custkey AS src, 'PLACED' AS type, 'p' || o_orderpriority[1] AS dst, max(CASE WHEN o_orderkey % 2 = 0 THEN 'old' END) AS kind, max(CASE WHEN o_orderkey % 3 = 0 THEN 'yes' END) AS seen FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) GROUP BY 1, 2, 3",
     "snapshot_latest": "WITH l AS (SELECT user_id AS project, event_type AS mode, arg_max(event_id, (ts, event_id)) AS e FROM events GROUP BY 1, 2) SELECT project, mode, (project % 2 = 0 OR project % 3 = 0) AS found, CASE WHEN project % 3 = 0 THEN e || chr(10) WHEN project % 2 = 0 THEN e || chr(10) || chr(10) END AS text FROM l",
