@@ -6,11 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import best_per_block, in_passes
+from ..sources.work import kept, scope
 
 #: Words that say nothing about a text; the patterns of ``terms`` are fixed too.
 STOP_WORDS = ["api", "code", "document", "file", "java", "knowledge", "method", "package", "section", "type"]
 M = 5
+#: Records on the lists of rare terms that give an anchor's first bound.
+FIRST_POSTINGS = 200
+#: Anchors and records of a block at most (records are dealt to more blocks while these hold more than FEW_RECORDS), and matches pairs that a task lays out at a time.
+BLOCK_ANCHORS, BLOCK_RECORDS, FEW_RECORDS, PAIRS, PAIR_BLOCK = 1024, 4096, 512, 10_000_000, 20_000
 KNOWLEDGE = ("kb", "knowledge_asset")
 
 
@@ -36,46 +40,97 @@ def record_terms(text: Column, *metadata: Column) -> Column:
     return terms(F.concat(text, F.lit("\n"), F.concat_ws(" ", *metadata)))
 
 
+def _sharing(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """(qn, rn, score): pairs that share at least ``need`` terms besides the ``late`` ones, with the number of all that they share.
+
+    asked: (qn, code, side, need, late), a row for each term; lists: (rn, code, of). Anchors and records are dealt to blocks; each pair of
+    blocks is a co-group, which matches its lists code by code, adds up in a matrix, and looks late terms up for the pairs that are left.
+    """
+    spark = lists.sparkSession
+    n_anchors, n_records = (df.select(c).distinct().count() for df, c in ((asked, "qn"), (lists, "rn")))
+    q_blocks, r_blocks = max(1, -(-n_anchors // BLOCK_ANCHORS)), max(1, -(-n_records // BLOCK_RECORDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_records // FEW_RECORDS)))
+    every, dealt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))), lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumn("_q", dealt("qn", q_blocks)).withColumn("_r", every(r_blocks))
+    right = lists.withColumn("_r", dealt("rn", r_blocks)).withColumn("_q", every(q_blocks))
+
+    def run(own, held):
+        import pyarrow as pa
+
+        (anchors, first, q), (records, first_r, r) = (np.unique(t[c].to_numpy(), return_index=True, return_inverse=True) for t, c in ((own, "qn"), (held, "rn")))
+        late, every_code, code = own["late"].to_numpy(zero_copy_only=False), own["code"].to_numpy(), held["code"].to_numpy()
+        order = np.flatnonzero(~late)[np.argsort(every_code[~late], kind="stable")]
+        codes, having = every_code[order], q[order]
+        begin, many = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
+        many -= begin
+        shared = np.zeros(len(anchors) * len(records), np.int64)
+        steps = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + PAIRS, PAIRS)[1:], side="right") if len(many) else []
+        at = 0
+        for end in [*steps, len(many)]:
+            size = many[at:end]
+            if size.sum():
+                place = np.repeat(begin[at:end] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                shared += np.bincount(having[place] * len(records) + np.repeat(r[at:end], size), minlength=len(shared))
+            at = max(at, end)
+        shared = shared.reshape(len(anchors), len(records))
+        side, of = (np.array([x or none for x in t[c].to_pylist()], object)[i] for t, c, i, none in ((own, "side", first, "any"), (held, "of", first_r, "none")))
+        need = own["need"].to_numpy()[first]
+        found = np.nonzero((shared >= need[:, None]) & (shared > 0) & ((side[:, None] == "any") | (side[:, None] != of[None, :])))
+        # late terms of the pairs that are left: one look-up for each, in the sorted (record, code) of the block
+        order = np.flatnonzero(late)[np.argsort(q[late], kind="stable")]
+        begin, many = np.searchsorted(q[order], found[0]), np.searchsorted(q[order], found[0], side="right")
+        many -= begin
+        names, local = np.unique(code, return_inverse=True)
+        held_keys = np.sort(r * (len(names) + 1) + local)
+        score = shared[found]
+        for at in range(0, len(many), PAIR_BLOCK):
+            size = many[at : at + PAIR_BLOCK]
+            pair = np.repeat(np.arange(len(size)), size)
+            asked_code = every_code[order[np.repeat(begin[at : at + PAIR_BLOCK] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+            name = np.minimum(np.searchsorted(names, asked_code), max(0, len(names) - 1))
+            key = found[1][at + pair] * (len(names) + 1) + name
+            spot = np.minimum(np.searchsorted(held_keys, key), max(0, len(held_keys) - 1))
+            hit = (names[name] == asked_code) & (held_keys[spot] == key)
+            score[at : at + PAIR_BLOCK] += np.bincount(pair[hit], minlength=len(size))
+        return pa.table({"qn": pa.array(anchors[found[0]], pa.int64()), "rn": pa.array(records[found[1]], pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(run, "qn long, rn long, score double")
+
+
 def overlaps(anchors: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
-    """(q, id, ord, score, rank): for each anchor row the ``m`` records that share most terms with it.
+    """(q, id, ord, score, rank): for each anchor the ``m`` records that share most terms with it; records that share none are absent.
+
+    ``anchors``: (q, terms, side, excluded ids), of any number, each q once; ``records``: (id, ord, terms, side), each id once. Sides
+    must differ where the anchor has one; ties go by ord; repeated and null terms count once and not at all.
 
-    ``anchors``: (q from 0, terms, side, excluded ids), of any number, MAX_QUERIES in a pass; ``records``: (id, ord, terms, side).
-    Sides must differ where the anchor has one; ties go by ord.
+    Terms that some anchor has get codes, and lists of the records that hold them; an anchor walks its lists from the rarest term on. A first walk over the rarest ones, FIRST_POSTINGS
+    records in all, finds records whose whole overlap is then counted; the m-th best of them, ``least``, bounds what a result must have.
+    So the second walk leaves out the ``left`` most frequent terms, half of ``least``: a record that can be a result shares ``least - left`` of the
+    others. Only records that do are counted on their whole sets. Nothing is collected, and work grows with the lists that are walked.
     """
-    own_rows = records.select("id", F.col("ord").cast("long").alias("ord"), "terms", "side")
-
-    def one_pass(rows):
-        base = rows[0]["q"] if rows else 0
-        number: dict[str, int] = {}
-        held = sorted((number.setdefault(t, len(number)), r["q"] - base) for r in rows for t in r["terms"])
-        having = np.array([q for _, q in held], np.int64)  # anchors term by term
-        starts = np.searchsorted([t for t, _ in held], np.arange(len(number) + 1))
-        sides, left_out = np.array([r["side"] or "" for r in rows], object), {}
-        for r in rows:
-            for i in r["excluded"] or []:
-                left_out.setdefault(i, []).append(r["q"] - base)
-
-        def score(batch):
-            n = batch.num_rows
-            lists = batch.column(2)
-            size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            own = np.array([number.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
-            row, own = np.repeat(np.arange(n), size)[own >= 0], own[own >= 0]
-            many = starts[own + 1] - starts[own]
-            at = np.repeat(starts[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            out = np.bincount(having[at] * n + np.repeat(row, many), minlength=len(rows) * n).reshape(len(rows), n).astype(float)
-            out[out == 0] = np.nan
-            of = np.array([x or "-" for x in batch.column(3).to_pylist()], object)
-            for side in set(sides) - {""}:
-                out[np.ix_(sides == side, of == side)] = np.nan
-            for j, i in enumerate(batch.column(0).to_pylist()):
-                if i in left_out:
-                    out[left_out[i], j] = np.nan
-            return out
-
-        return best_per_block(own_rows, score, len(rows), m).withColumn("q", (F.col("q") + F.lit(base)).cast("int"))
-
-    return in_passes(anchors.orderBy("q"), one_pass)
+    with scope():
+        own = kept(anchors.select("q", F.array_distinct(F.array_compact("terms")).alias("terms"), "side", F.coalesce("excluded", F.array().cast(anchors.schema["excluded"].dataType)).alias("excluded"), F.monotonically_increasing_id().alias("qn")), "anchors")
+        rows = kept(records.select("id", F.col("ord").cast("long").alias("ord"), F.array_distinct(F.array_compact("terms")).alias("terms"), F.col("side").alias("of"), F.monotonically_increasing_id().alias("rn")), "records")
+        asked = own.select("qn", "side", F.explode("terms").alias("term"))
+        codes = kept(asked.select("term").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+        lists = kept(rows.select("rn", "of", F.explode("terms").alias("term")).join(codes, "term").drop("term"), "lists")
+        place = Window.partitionBy("qn").orderBy("n", "code")
+        known = asked.join(codes, "term").join(lists.groupBy("code").agg(F.count("*").alias("n")), "code")
+        placed = kept(known.select("qn", "side", "code", "n", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy("qn")).alias("terms"), F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, -1)).alias("walked")), "placed")
+
+        def best(pairs: DataFrame) -> DataFrame:
+            """The best m of scored pairs for each anchor."""
+            named = pairs.join(own.select("qn", "q", "excluded"), "qn").join(rows.select("rn", "id", "ord"), "rn").filter(~F.array_contains("excluded", F.col("id")))
+            rank = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score"), "ord"))
+            return named.select("qn", "q", "id", "ord", "score").withColumn("rank", rank).filter(F.col("rank") <= m)
+
+        rare = placed.filter(F.coalesce("walked", F.lit(0)) < FIRST_POSTINGS).join(lists, "code").filter(F.col("side").isNull() | ~F.col("side").eqNullSafe(F.col("of")))
+        near = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("shared"), "rn"))
+        tried = rare.groupBy("qn", "rn").agg(F.count("*").alias("shared")).withColumn("r", near).filter(F.col("r") <= 2 * m).select("qn", "rn")
+        both = tried.join(own.select("qn", F.col("terms").alias("asked")), "qn").join(rows.select("rn", "terms"), "rn")
+        bound = best(both.select("qn", "rn", F.size(F.array_intersect("asked", "terms")).alias("score"))).filter(F.col("rank") == m).select("qn", F.col("score").alias("least"))
+        left = F.floor(F.coalesce("least", F.lit(0)) / 2)
+        bounded = kept(placed.join(bound, "qn", "left").select("qn", "code", "side", (F.coalesce("least", F.lit(1)) - left).cast("long").alias("need"), (F.col("place") > F.col("terms") - left).alias("late")), "bounds")
+        return kept(best(_sharing(bounded, lists)).drop("qn"), "overlaps", outlives=True)
 
 
 def related_candidates(hits: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
@@ -88,11 +143,10 @@ def related_candidates(hits: DataFrame, records: DataFrame, m: int = M) -> DataF
         "query_id", "rank", "id", anchor_terms(F.col("query"), F.col("text")).alias("terms"), F.col("all_ids").alias("excluded"),
         F.when(is_knowledge(), "k").when(F.col("source_type") == "code", "c").alias("side"),
     )
-    numbered = anchors.withColumn("q", (F.row_number().over(Window.orderBy("query_id", "rank")) - 1).cast("int"))
+    numbered = anchors.withColumn("q", F.struct("query_id", "rank", "id"))
     own = records.select("id", "ord", record_terms(F.col("text"), F.col("kind"), F.col("file_path"), F.col("source_type"), F.col("status")).alias("terms"), F.when(is_knowledge(), "k").when(F.col("source_type") == "code", "c").alias("side"))
     found = overlaps(numbered, own.filter("side is not null"), m)
-    names = numbered.select("q", "query_id", F.col("rank").alias("hit_rank"), F.col("id").alias("hit_id"))
-    return found.join(names, "q").select("query_id", "hit_rank", "hit_id", "id", F.col("score").cast("int").alias("overlap"), F.col("rank").alias("cand_rank"))
+    return found.select("q.query_id", F.col("q.rank").alias("hit_rank"), F.col("q.id").alias("hit_id"), "id", F.col("score").cast("int").alias("overlap"), F.col("rank").alias("cand_rank"))
 
 
 def relations(candidates: DataFrame, m: int = M) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
+import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..sources.work import kept
 
 DIM = 384
+#: Tokens whose hashes a task remembers at most.
+KNOWN_TOKENS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -29,10 +33,50 @@ def sign_of(token: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
 
 
+_TOKEN = re.compile("[A-Za-z_][A-Za-z0-9_]*|[0-9]+")
+
+
+def _weights(text: str | None, dim: int, known: dict[str, tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Buckets and non-zero weights of a text; ``known`` keeps buckets and signs of tokens that a task has met."""
+    own: dict[int, int] = {}
+    for token, n in Counter(t.lower() for t in _TOKEN.findall(text or "")).items():
+        if token not in known:
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
+            code = hashlib.sha256(token.encode()).digest()
+            known[token] = int.from_bytes(code[:4], "big") % dim, 1 - code[4] % 2 * 2
+        bucket, sign = known[token]
+        own[bucket] = own.get(bucket, 0) + sign * n
+    kept_ones = {b: w for b, w in own.items() if w}
+    return list(kept_ones), list(kept_ones.values())
+
+
+def vector_rows(chunks: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
+    """One row for each text, where it lies: its columns with arrays ``buckets`` and ``weights``; texts without tokens have empty ones, null texts too.
+
+    A token's bucket and sign are those of :func:`bucket_of` and :func:`sign_of`.
+    """
+    rest = [c for c in chunks.columns if c not in ("buckets", "weights")]
+    rows = chunks.select(*[f"`{c}`" for c in rest])
+    schema = StructType([*rows.schema.fields, StructField("buckets", ArrayType(IntegerType())), StructField("weights", ArrayType(LongType()))])
+    at = rest.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            found = [_weights(text, dim, known) for text in batch.column(at).to_pylist()]
+            added = [pa.array([f[i] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*rest, "buckets", "weights"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def hash_embed(chunks: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
-    """(id, bucket, weight): non-zero integer weights. Equal tokens of a text are counted before they are hashed."""
-    counted = chunks.select(id_col, F.explode(tokens(F.col("text"))).alias("t")).groupBy(id_col, "t").agg(F.count("*").alias("n"))
-    return counted.groupBy(id_col, bucket_of(F.col("t"), dim).alias("bucket")).agg(F.sum(F.col("n") * sign_of(F.col("t"))).alias("weight")).filter("weight <> 0")
+    """(id, bucket, weight): non-zero integer weights of each text, counted inside its row, so that nothing is shuffled."""
+    rows = vector_rows(chunks.select(id_col, "text"), id_col, dim)
+    return rows.select(id_col, F.explode(F.arrays_zip("buckets", "weights")).alias("v")).select(id_col, F.col("v.buckets").alias("bucket"), F.col("v.weights").alias("weight"))
 
 
 def vector_norms(sparse: DataFrame, id_col: str = "id") -> DataFrame:
@@ -40,14 +84,6 @@ def vector_norms(sparse: DataFrame, id_col: str = "id") -> DataFrame:
     return sparse.groupBy(id_col).agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
 
 
-def vector_rows(chunks: DataFrame, id_col: str = "id", dim: int = DIM) -> DataFrame:
-    """One row for each text: its columns with arrays ``buckets`` and ``weights``; texts without tokens have empty ones."""
-    own = hash_embed(chunks, id_col, dim).groupBy(id_col).agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
-    empty = F.array().cast("array<struct<bucket:int,weight:bigint>>")
-    joined = chunks.join(own, id_col, "left").withColumn("v", F.coalesce("v", empty))
-    return joined.withColumns({"buckets": F.col("v.bucket"), "weights": F.col("v.weight")}).drop("v")
-
-
 def model_embed(chunks: DataFrame, load, dim: int, id_col: str = "id") -> DataFrame:
     """(id, embedding) by any model: ``load()`` is called once in each task and gives a function from texts to vectors, which are normalised."""
 
@@ -70,137 +106,105 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(F.size(left) == F.size(right), dot).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
-#: Scores that a task computes at a time: queries x rows of a block.
+#: Scores that a task computes at a time, and the queries and rows of a block at most; rows are dealt to more blocks while these hold more than FEW_ROWS.
 BLOCK_SCORES = 4_000_000
+BLOCK_QUERIES, BLOCK_ROWS, FEW_ROWS = 8192, 16384, 512
 
 
-def best_per_block(rows: DataFrame, score, queries: int, k: int) -> DataFrame:
-    """(q, id, ord, score): for each query the best ``k`` rows, scored block by block where they lie.
+def best_in_blocks(queries: DataFrame, rows: DataFrame, dense, score, k: int) -> DataFrame:
+    """(query_id, id, ord, score, rank): for each query the best ``k`` rows; ties go by ord.
 
-    ``rows`` has id and ord first; ``score(batch)`` gives a matrix (queries x rows), NaN for pairs that are left out. Every
-    partition keeps its own best, and a block's pairs matter only where they beat these; only the best meet. Ties go by ord.
+    Queries (query_id, ...) and rows (id, ord, ...) are dealt to blocks of bounded size; each pair of blocks is one co-group. A task turns
+    its blocks into matrices by ``dense``, scores tile by tile by ``score(queries, rows)`` and keeps each query's best, and only these meet.
     """
-    kind = rows.schema[rows.columns[0]].dataType.simpleString()
-
-    def run(batches):
+    spark = rows.sparkSession
+    queries, rows = kept(queries, "search-queries"), kept(rows, "search-rows")
+    n_queries, n_rows = queries.count(), rows.count()
+    q_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    r_blocks = max(1, -(-n_rows // BLOCK_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // FEW_ROWS)))
+    every, dealt = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))), lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumns({"_q": dealt("query_id", q_blocks)}).withColumn("_r", every(r_blocks))
+    right = rows.withColumns({"_r": dealt("id", r_blocks)}).withColumn("_q", every(q_blocks))
+    kinds = dict(rows.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+
+    def run(asked, held):
         import pyarrow as pa
 
-        best, orders = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
-        names = np.full((queries, k), None, object)
-        size, widest = 64, max(1, BLOCK_SCORES // max(1, queries))
-        for b in batches:
-            at = 0
-            while at < b.num_rows and queries:
-                part = b.slice(at, min(size, widest))
-                at, size = at + part.num_rows, widest
-                found, order, ids = score(part), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.array(part.column(0).to_pylist(), object)
-                found = np.where(np.isnan(found), -np.inf, found)
-                q, row = np.nonzero((found > best[:, -1:]) | ((found == best[:, -1:]) & (found > -np.inf) & (order < orders[:, -1:])))
-                own = np.unique(q)
-                who = np.concatenate((q, np.repeat(own, k)))
-                s, o, i = np.concatenate((found[q, row], best[own].ravel())), np.concatenate((order[row], orders[own].ravel())), np.concatenate((ids[row], names[own].ravel()))
-                place = np.lexsort((o, -s, who))
-                top = place[np.searchsorted(who[place], own)[:, None] + np.arange(k)]
-                best[own], orders[own], names[own] = s[top], o[top], i[top]
+        n = asked.num_rows
+        best, orders, places = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), np.int64)
+        asking = dense(asked)
+        order = held["ord"].to_numpy().astype(np.int64)
+        for at in range(0, held.num_rows if n else 0, max(1, BLOCK_SCORES // max(1, n))):
+            part = held.slice(at, max(1, BLOCK_SCORES // n))
+            found, own_order = score(asking, dense(part)), order[at : at + part.num_rows]
+            q, row = np.nonzero((found > best[:, -1:]) | ((found == best[:, -1:]) & (own_order < orders[:, -1:])))
+            own = np.unique(q)
+            who = np.concatenate((q, np.repeat(own, k)))
+            s, o, i = (np.concatenate((new, old[own].ravel())) for new, old in ((found[q, row], best), (own_order[row], orders), (row + at, places)))
+            first = np.lexsort((o, -s, who))
+            top = first[np.searchsorted(who[first], own)[:, None] + np.arange(k)]
+            best[own], orders[own], places[own] = s[top], o[top], i[top]
         q, place = np.nonzero(best > -np.inf)
-        id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(names[q, place].tolist(), id_type), pa.array(orders[q, place]), pa.array(best[q, place])], names=["q", "id", "ord", "score"])
+        return pa.table({
+            "query_id": asked["query_id"].combine_chunks().take(pa.array(q)), "id": held["id"].combine_chunks().take(pa.array(places[q, place])), "ord": pa.array(orders[q, place]), "score": pa.array(best[q, place]),
+        })
 
-    partial = rows.mapInArrow(run, f"q int, id {kind}, ord long, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ord"))
-    return partial.withColumn("rank", rank).filter(F.col("rank") <= k)
+    found = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, ord long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _flat(lists, kind=float) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, values) of an Arrow list column; null lists are empty."""
+    lists = lists.combine_chunks()
     size = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     return np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
 
 
-#: Queries that are scored at once; more are dealt into several passes.
-MAX_QUERIES = 10_000
-
-
-def in_passes(queries: DataFrame, one_pass) -> DataFrame:
-    """The union of ``one_pass(rows)`` over blocks of at most MAX_QUERIES rows; ``queries`` is ordered.
-
-    The driver holds one block at a time. Where there are several, each result is cut off from its block.
-    """
-    rows, out = queries.toLocalIterator(), []
-    block = list(islice(rows, MAX_QUERIES))
-    while True:
-        following = list(islice(rows, MAX_QUERIES))
-        found = one_pass(block)
-        if following or out:
-            found = kept(found, "pass")
-        out.append(found)
-        if not following:
-            return reduce(DataFrame.unionByName, out)
-        block = following
-
-
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = DIM) -> DataFrame:
     """(query_id, rank, id, ord, score): exact top-k by cosine, rounded to 6 digits; texts without common buckets score 0.
 
-    ``queries``: (query_id, text), of any number, MAX_QUERIES in a pass; ``vectors``: :func:`vector_rows` with an ``ord`` column,
-    filtered beforehand.
+    ``queries``: (query_id, text), of any number, each id once; ``vectors``: :func:`vector_rows` with an ``ord`` column, filtered beforehand.
     """
-    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "buckets", "weights")
-
-    def one_pass(found):
-        dense = np.zeros((len(found), dim))
-        for i, r in enumerate(found):
-            dense[i, r["buckets"]] = r["weights"]
-        norm_q = np.sqrt((dense**2).sum(axis=1))
-
-        def score(batch):
-            own = np.zeros((batch.num_rows, dim))
-            at, bucket = _flat(batch.column(2), np.int64)
-            own[at, bucket] = _flat(batch.column(3))[1]
-            both = norm_q[:, None] * np.sqrt((own**2).sum(axis=1))[None, :]
-            dot = dense @ own.T
-            return np.floor(np.divide(dot, both, out=np.zeros_like(dot), where=both > 0) * 1e6 + 0.5) / 1e6
 
-        return _named(best_per_block(rows, score, len(found), k), queries, found).select("query_id", "rank", "id", "ord", "score")
+    def dense(rows):
+        own = np.zeros((rows.num_rows, dim))
+        at, bucket = _flat(rows["buckets"], np.int64)
+        own[at, bucket] = _flat(rows["weights"])[1]
+        return own
 
-    return in_passes(vector_rows(queries, "query_id", dim).select("query_id", "buckets", "weights").orderBy("query_id"), one_pass)
+    def score(asked, held):
+        both = np.sqrt((asked**2).sum(axis=1))[:, None] * np.sqrt((held**2).sum(axis=1))[None, :]
+        dot = asked @ held.T
+        return np.floor(np.divide(dot, both, out=np.zeros_like(dot), where=both > 0) * 1e6 + 0.5) / 1e6
 
-
-def _named(best: DataFrame, queries: DataFrame, found: list) -> DataFrame:
-    """Numbers of a pass replaced by the ids of its queries."""
-    names = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(found)], f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return best.join(F.broadcast(names), "q")
+    own = vectors.select("id", F.col("ord").cast("long").alias("ord"), "buckets", "weights")
+    asked = vector_rows(queries.select("query_id", "text"), "query_id", dim).select("query_id", "buckets", "weights")
+    return best_in_blocks(asked, own, dense, score, k).select("query_id", "rank", "id", "ord", "score")
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), of any number, ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits.
+    """(query_id, rank, id, score) over dense vectors: ``queries`` (query_id, embedding), of any number, each id once, ``vectors`` (id, ord, embedding). Scores are cosines, rounded to 6 digits.
 
     Zero vectors score 0, null ones are left out, unequal lengths are an error, and empty tables give no rows.
     """
-    rows = vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding").filter("embedding is not null")
 
-    def unit(flat, n):
-        if n and len(flat) % n:
+    def dense(rows):
+        at, flat = _flat(rows["embedding"])
+        if len(set(np.bincount(at, minlength=rows.num_rows).tolist())) > 1:
             raise ValueError("vectors differ in length")
-        own = flat.reshape(n, len(flat) // max(1, n))
+        own = flat.reshape(rows.num_rows, len(flat) // max(1, rows.num_rows))
         size = np.linalg.norm(own, axis=1, keepdims=True)
         return own / np.where(size == 0, 1, size)
 
-    def one_pass(found):
-        lengths = {len(r["embedding"]) for r in found}
-        if len(lengths) > 1:
+    def score(asked, held):
+        if asked.shape[1] != held.shape[1]:
             raise ValueError("vectors differ in length")
-        dense = unit(np.array([x for r in found for x in r["embedding"]], float), len(found))
-
-        def score(batch):
-            at, flat = _flat(batch.column(2))
-            if (np.bincount(at, minlength=batch.num_rows) != dense.shape[1]).any():
-                raise ValueError("vectors differ in length")
-            return np.round(dense @ unit(flat, batch.num_rows).T, 6) + 0.0
-
-        return _named(best_per_block(rows, score, len(found), k), queries, found).select("query_id", "rank", "id", "score")
+        return np.round(asked @ held.T, 6) + 0.0
 
-    return in_passes(queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id"), one_pass)
+    own = vectors.select("id", F.col("ord").cast("long").alias("ord"), "embedding").filter("embedding is not null")
+    asked = queries.select("query_id", "embedding").filter("embedding is not null")
+    return best_in_blocks(asked, own, dense, score, k).select("query_id", "rank", "id", "score")
 
 
 def index_status(vectors: DataFrame) -> DataFrame:

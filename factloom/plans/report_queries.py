@@ -85,11 +85,8 @@ def evidence(spark, sf_dir):
 def related_chunks(spark, sf_dir):
     word = lambda text: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"), F.lit(1)), lambda t: F.lower(t)), lambda t: (F.length(t) > 2) & ~t.isin(PAGE_STOP)))
     pages = table(spark, sf_dir, "benchmark").select((F.col("item_id")).alias("query_id"), word(F.coalesce("text", F.lit(""))).alias("terms"), F.lit(None).cast("array<string>").alias("excluded"), F.lit(None).cast("string").alias("side"))
-    from pyspark.sql import Window
-
-    numbered = pages.withColumn("q", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("int"))
     chunks = corpus(spark, sf_dir).filter("source_type = 'kb'").select("id", "ord", word(F.col("text")).alias("terms"), F.lit(None).cast("string").alias("side"))
-    return U.overlaps(numbered, chunks).join(numbered.select("q", "query_id"), "q").select("query_id", "rank", "id", F.col("score").cast("int").alias("overlap"))
+    return U.overlaps(pages.withColumnRenamed("query_id", "q"), chunks).select(F.col("q").alias("query_id"), "rank", "id", F.col("score").cast("int").alias("overlap"))
 
 
 def context_items(spark, sf_dir):

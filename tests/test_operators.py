@@ -159,18 +159,45 @@ def test_dense_search_edges(spark):
         search.dense_search(queries, spark.createDataFrame([(1, 1, [1.0])], ddl)).collect()
 
 
-def test_queries_in_passes(spark, monkeypatch):
-    """More queries than one pass takes are all answered, with the rows that a single pass gives."""
+def test_search_in_blocks(spark, monkeypatch):
+    """Many small blocks and tiles give the rows of one block."""
     rng = random.Random(4)
     rows = lambda n, c: [(i, i, [rng.random() for _ in range(4)], " ".join(rng.choices("abcdefgh", k=5))) for i in range(n)]
     queries = spark.createDataFrame(rows(11, 0), "query_id long, ord long, embedding array<double>, text string")
-    vectors = spark.createDataFrame(rows(20, 1), "id long, ord long, embedding array<double>, text string")
+    vectors = spark.createDataFrame(rows(40, 1), "id long, ord long, embedding array<double>, text string")
     sparse = search.vector_rows(vectors.select("id", "ord", "text"))
-    anchors = queries.select(F.col("query_id").cast("int").alias("q"), F.split("text", " ").alias("terms"), F.lit(None).cast("string").alias("side"), F.array(F.col("query_id")).alias("excluded"))
-    records = vectors.select("id", "ord", F.split("text", " ").alias("terms"), F.lit("c").alias("side"))
-    ways = [lambda: search.dense_search(queries, vectors, 3), lambda: search.search(queries.select("query_id", "text"), sparse, 3), lambda: fusion.overlaps(anchors, records, 3)]
-    for way in ways:
-        monkeypatch.setattr(search, "MAX_QUERIES", 100)
+    for way in (lambda: search.dense_search(queries, vectors, 3), lambda: search.search(queries.select("query_id", "text"), sparse, 3)):
+        monkeypatch.undo()
         whole = sorted(way().collect())
-        monkeypatch.setattr(search, "MAX_QUERIES", 4)
+        for name, value in (("BLOCK_QUERIES", 4), ("BLOCK_ROWS", 7), ("FEW_ROWS", 9), ("BLOCK_SCORES", 6)):
+            monkeypatch.setattr(search, name, value)
         assert sorted(way().collect()) == whole and len({r[0] for r in whole}) == 11
+
+
+def test_buckets_in_python_and_in_columns(spark):
+    df = spark.createDataFrame([("a", "Get the_Value 42 get é, 0x1F \u212a"), ("b", None), ("c", "")], "id string, text string")
+    token = F.explode(search.tokens(F.col("text")))
+    want = df.select("id", token.alias("t")).groupBy("id", search.bucket_of(F.col("t")).alias("bucket")).agg(F.sum(search.sign_of(F.col("t")).cast("long")).alias("weight")).filter("weight <> 0")
+    assert sorted(search.hash_embed(df).collect()) == sorted(want.collect())
+    assert search.vector_rows(df).filter("size(buckets) = 0").count() == 2
+
+
+@pytest.mark.parametrize("first", [1, 8, 1000])
+def test_overlaps(spark, monkeypatch, first):
+    """Frequent and rare terms, ties, sides, excluded ids, anchors and records without terms, against a plain count."""
+    for name, value in (("FIRST_POSTINGS", first), ("BLOCK_ANCHORS", 7), ("BLOCK_RECORDS", 50), ("FEW_RECORDS", 60), ("PAIRS", 100), ("PAIR_BLOCK", 9)):
+        monkeypatch.setattr(fusion, name, value)
+    rng = random.Random(first)
+    word = lambda: f"t{min(int(rng.paretovariate(0.6)), 400)}"
+    records = [(f"r{i}", i % 30, [word() for _ in range(rng.randint(0, 40))] + [None], rng.choice(["c", "k", None])) for i in range(150)] + [("none", 1, None, "c")]
+    anchors = [(i, [word() for _ in range(rng.randint(0, 60))], rng.choice(["c", "k", None]), rng.choice([None, ["r1", "r2"], []])) for i in range(40)] + [(99, None, None, None)]
+    got = fusion.overlaps(spark.createDataFrame(anchors, "q int, terms array<string>, side string, excluded array<string>"), spark.createDataFrame(records, "id string, ord int, terms array<string>, side string")).collect()
+    scores = {}
+    for r in got:
+        scores.setdefault(r["q"], []).append((r["rank"], r["score"], r["ord"]))
+    order = {r[0]: r[1] for r in records}
+    for q, own, side, excluded in anchors:
+        shared = {i: len(set(own or []) & set(t or []) - {None}) for i, _, t, s in records if (side is None or s != side) and i not in (excluded or [])}
+        want = sorted(((n, -order[i]) for i, n in shared.items() if n), reverse=True)[:5]
+        assert [(s, -o) for _, s, o in sorted(scores.get(q, []))] == want
+        assert all(shared[r["id"]] == r["score"] for r in got if r["q"] == q)
