@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..sources import index
+from ..sources.work import folder
 from .adapters import CORPUS, corpus, query_texts, table
 
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda t: lower(t))"
@@ -78,8 +80,50 @@ def matched_terms(spark, sf_dir):
     return found.join(q, "query_id").join(corpus(spark, sf_dir).select("id", "text"), "id").select("query_id", "id", F.array_join(S.matched_terms(F.col("query"), F.col("text")), ",").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (tokens, hash_embed, vec_norm, search_topk, search_filtered, dense_topk, index_status, facet_share, browse, matched_terms)}
+def _index(spark, sf_dir):
+    """An index by source: built from all records, then two sources are rebuilt from a seventh of theirs (one of them has none), and a third of all records is appended anew; one build is repeated."""
+    path, rows = folder(spark, "index"), corpus(spark, sf_dir).withColumn("project", F.element_at(F.split("file_path", "/"), 1))
+    made = S.vector_rows(rows.withColumn("made", F.lit("first")))
+    index.build(made, path, "project", "first")
+    some = S.vector_rows(rows.filter("project = 'src1' and ord % 7 = 0").withColumn("made", F.lit("again")))
+    index.build(some, path, "project", "again", tenants=spark.createDataFrame([("src2",)], "tenant string"))
+    more = S.vector_rows(rows.filter("ord % 3 = 0").withColumn("made", F.lit("more")))
+    for _ in range(2):
+        index.build(more, path, "project", "more", append=True)
+    return path
+
+
+def index_builds(spark, sf_dir):
+    return index.read(spark, _index(spark, sf_dir)).select("tenant", "id", "made")
+
+
+def tenant_search(spark, sf_dir):
+    """Each of two tenants is searched for all benchmark texts, among its code records."""
+    path = _index(spark, sf_dir)
+    own = [S.search(query_texts(spark, sf_dir), index.read(spark, path, [t]).filter("source_type = 'code'"), 3).withColumn("tenant", F.lit(t)) for t in ("src1", "src3")]
+    return own[0].unionByName(own[1])
+
+
+def tenant_listing(spark, sf_dir):
+    """The second page of a tenant's records."""
+    rows = index.read(spark, _index(spark, sf_dir), ["src0"]).select("tenant", "ord", "id", "kind", "source_type", "made")
+    last = index.page(rows, "ord", limit=5, source_type="code").agg(F.max("ord")).first()[0]
+    return index.page(rows, "ord", last, 5, "code")
+
+
+QUERIES = {f.__name__: f for f in (index_builds, tenant_search, tenant_listing, tokens, hash_embed, vec_norm, search_topk, search_filtered, dense_topk, index_status, facet_share, browse, matched_terms)}
+INDEX = """c AS (SELECT *, string_split(file_path, '/')[1] AS tenant FROM corpus),
+held AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'more' WHEN tenant = 'src1' THEN 'again' ELSE 'first' END AS made FROM c WHERE ord % 3 = 0 OR CASE tenant WHEN 'src1' THEN ord % 7 = 0 WHEN 'src2' THEN false ELSE true END)"""
+
+
+def _tenant_hits(tenant: str) -> str:
+    return hits_sql(f"c.source_type = 'code' AND c.id IN (SELECT id FROM held WHERE tenant = '{tenant}')", f"hits_{tenant}", 3)
+
+
 SQL = {
+    "index_builds": f"WITH corpus AS ({CORPUS}), {INDEX} SELECT tenant, id, made FROM held",
+    "tenant_search": f"WITH {EMBED}, {INDEX}, {_tenant_hits('src1')}, {_tenant_hits('src3')} " + " UNION ALL ".join(f"SELECT query_id, rank::INT AS rank, id, ord, score, '{t}' AS tenant FROM hits_{t}" for t in ("src1", "src3")),
+    "tenant_listing": f"WITH corpus AS ({CORPUS}), {INDEX} SELECT tenant, ord, id, kind, source_type, made FROM held WHERE tenant = 'src0' AND source_type = 'code' ORDER BY ord LIMIT 5 OFFSET 5",
     "tokens": f"WITH corpus AS ({CORPUS}), t AS (SELECT id, {TOKENS.format('text')} AS t FROM corpus) SELECT id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, sha256(array_to_string(t, ' ')) AS digest FROM t",
     "hash_embed": f"WITH {EMBED} SELECT id, bucket::INT AS bucket, weight FROM dv",
     "vec_norm": f"WITH {EMBED} SELECT id, norm2 FROM dn",

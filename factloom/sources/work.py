@@ -37,6 +37,14 @@ def kept(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a job writes by itself; it goes with the :func:`scope` around it."""
+    path = f"{work_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    if _OPEN.get():
+        _OPEN.get()[-1].append((spark, path))
+    return path
+
+
 @contextmanager
 def scope():
     """Tables that are :func:`kept` within the block are removed at its end, once nothing reads them any more."""
