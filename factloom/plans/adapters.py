@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.facts import FACTS as FACT_LISTS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
@@ -66,6 +68,45 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.concat(F.lit("o"), "o_orderkey").alias("file_path"), F.col("o_orderpriority").alias("package"), F.coalesce(calls, none).alias("calls"))
 
 
+#: For each fact type the remainder by 4 of the line numbers that fill its list, and the fields of all elements, from a line item.
+KINDS = {kind: i % 4 for i, kind in enumerate(FACT_LISTS)}
+ELEMENT = {
+    "name": "'p' || l_partkey", "enclosing_type": "'T' || (l_partkey % 2)", "enclosing_method": "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'p' || (l_partkey % 3) END", "method_name": "'p' || (l_partkey % 3)", "kind": "l_returnflag",
+    "path": "'/p' || (l_partkey % 9)", "expression": "'return ' || l_linenumber", "start_line": "l_linenumber", "end_line": "l_linenumber + 2",
+}
+
+
+def full_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as analyses with metrics and all thirteen lists, which their line items fill; some orders have no path or no metrics, and lists can be null or empty."""
+    fields = ", ".join(f"{value} AS {name}" for name, value in ELEMENT.items())
+    rows = lines(spark, sf_dir).select("l_orderkey", "idx", "l_linenumber", F.expr(f"struct({fields})").alias("e"))
+    own = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("idx", "l_linenumber", "e"))).alias("c"))
+    joined = table(spark, sf_dir, "orders").join(own, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    elements = lambda r: F.transform(F.filter("c", lambda x: x["l_linenumber"] % 4 == r), lambda x: x["e"])
+    lists = {FACT_LISTS[kind][0]: elements(r) for kind, r in KINDS.items()}
+    metrics = F.when(F.col("o_orderkey") % 3 != 0, F.struct(F.size(F.coalesce("c", F.array().cast(own.schema["c"].dataType))).alias("lines"), (F.col("o_orderkey") % 10).alias("depth")))
+    path = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("o"), "o_orderkey"))
+    return joined.select(path.alias("file_path"), F.col("o_orderpriority").alias("package"), (F.col("o_orderkey") % 5 == 0).alias("has_error"), metrics.alias("metrics"), *[x.alias(name) for name, x in lists.items()])
+
+
+def _key_sql(kind: str) -> str:
+    return " || ".join([f"{p} || '::'" for p in FACT_LISTS[kind][1]] or ["''"])
+
+
+FULL_FACTS = f"""
+  lines AS ({LINES}),
+  kinds AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {r})" for k, r in KINDS.items())}) AS v(fact, r)),
+  heads AS (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN 'o' || o_orderkey ELSE '' END AS file_path, CASE WHEN o_orderkey % 7 <> 0 THEN 'o' || o_orderkey ELSE '<memory>' END AS root FROM orders),
+  sizes AS (SELECT l_orderkey, count(*) AS n FROM lines GROUP BY 1),
+  elements AS (SELECT l_orderkey, fact, {', '.join(f'{value} AS {name}' for name, value in ELEMENT.items())}, row_number() OVER (PARTITION BY l_orderkey, fact ORDER BY idx) - 1 AS i FROM lines JOIN kinds ON l_linenumber % 4 = r),
+  full_facts AS MATERIALIZED (
+    SELECT root AS key, 'file' AS type, file_path, o_orderpriority AS package, '' AS symbol_name, '' AS enclosing_type, '' AS enclosing_method, 0 AS start_line, 0 AS start_column, 0 AS end_line, 0 AS end_column,
+      to_json({{'filePath': file_path, 'package': o_orderpriority, 'hasError': o_orderkey % 5 = 0}})::VARCHAR AS payload, -1 AS ord FROM heads
+    UNION ALL SELECT root || '::metrics', 'metrics', file_path, o_orderpriority, '', '', '', 0, 0, 0, 0, to_json({{'lines': coalesce(n, 0), 'depth': o_orderkey % 10}})::VARCHAR, -1 FROM heads LEFT JOIN sizes ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0
+    UNION ALL SELECT root || '::' || fact || '::' || CASE fact {' '.join(f"WHEN '{k}' THEN {_key_sql(k)}" for k in KINDS)} END || i, fact, file_path, o_orderpriority, name, enclosing_type, enclosing_method, start_line::INT, 0, end_line::INT, 0,
+      to_json({{{', '.join(f"'{name}': {name}" for name in ELEMENT)}}})::VARCHAR, i::INT FROM elements JOIN heads ON o_orderkey = l_orderkey)"""
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as files, customers as types, orders as methods, urgent orders as endpoints, line items as calls."""
     t = lambda name: table(spark, sf_dir, name)

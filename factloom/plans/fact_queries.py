@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as B
 from ..operators import graph as L
-from .adapters import CORPUS, FACTS, LINES, analyses, corpus, facts, table
+from .adapters import CORPUS, FACTS, FULL_FACTS, LINES, analyses, corpus, facts, full_analyses, table
 
 
 def fact_flatten(spark, sf_dir):
-    return B.flatten_facts(analyses(spark, sf_dir), {"call": ("calls", ["name"])}).drop("enclosing_type", "enclosing_method")
+    return B.flatten_facts(full_analyses(spark, sf_dir))
 
 
 def fact_counts(spark, sf_dir):
@@ -97,8 +97,7 @@ GRAPH = f"{FACTS}, {NODES}, {EDGES}"
 METRICS = f"""lines AS ({LINES}), m AS (SELECT 'o' || o_orderkey AS file_path, any_value(o_orderpriority) AS package, count(l_orderkey) AS n_calls, coalesce(max(l_linenumber), 0) AS max_depth FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey GROUP BY o_orderkey),
   hist AS (SELECT 'o' || l_orderkey AS file_path, string_agg(l_returnflag || ':' || n, ',' ORDER BY l_returnflag) AS histogram FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lines GROUP BY 1, 2) GROUP BY l_orderkey)"""
 SQL = {
-    "fact_flatten": f"""WITH lines AS ({LINES}) SELECT 'o' || o_orderkey AS key, 'file' AS type, 'o' || o_orderkey AS file_path, '' AS symbol_name, 0 AS start_line, '{{}}' AS payload, -1 AS ord FROM orders
-      UNION ALL SELECT 'o' || o_orderkey || '::call::p' || l_partkey || '::' || idx, 'call', 'o' || o_orderkey, 'p' || l_partkey, l_linenumber, '{{"name":"p' || l_partkey || '","start_line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}}', idx::INT FROM lines JOIN orders ON l_orderkey = o_orderkey""",
+    "fact_flatten": f"WITH {FULL_FACTS} SELECT * FROM full_facts",
     "fact_counts": f"WITH {FACTS} SELECT type, count(*) AS n FROM facts GROUP BY type",
     "fact_page": f"WITH {FACTS} SELECT key, type, file_path, symbol_name, start_line, count(*) OVER () AS total FROM facts WHERE type = 'call' ORDER BY type, file_path, start_line, key LIMIT 200 OFFSET 1000",
     "file_metrics": f"WITH {METRICS} SELECT m.file_path, n_calls::INT AS n_calls, max_depth, coalesce(histogram, '') AS histogram FROM m LEFT JOIN hist USING (file_path)",
