@@ -73,8 +73,8 @@ def entrypoints(endpoints: DataFrame, refs: DataFrame, edges: DataFrame) -> Data
     return found.unionByName(callers.join(found.select(F.lit(1).alias("some")).limit(1), F.lit(True), "left_anti"))
 
 
-def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_chains: int = 80) -> DataFrame:
-    """(n, entry, chain): simple paths from each entry in pre-order of edges, the first ``max_chains``.
+def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_chains: int = 80, with_calls: bool = False) -> DataFrame:
+    """(n, entry, chain), and ``path``, the ords of its calls, if ``with_calls``: simple paths from each entry in pre-order of edges, the first ``max_chains``.
 
     A path ends at a node without edges, at ``max_depth`` edges, or with an edge to a node that it holds already. As every entry with
     an edge and every prefix gives a chain at least, the first ``max_chains`` entries, and the first ``max_chains`` prefixes of each
@@ -97,7 +97,20 @@ def call_chains(edges: DataFrame, entries: DataFrame, max_depth: int = 4, max_ch
         alive = going.select("entry", "nodes", "path", "src")
     n = F.row_number().over(Window.orderBy("entry", "path"))
     top = done.orderBy("entry", "path").limit(max_chains)
-    return top.select(n.alias("n"), "entry", F.array_join("nodes", " -> ").alias("chain"))
+    return top.select(n.alias("n"), "entry", F.array_join("nodes", " -> ").alias("chain"), *(["path"] if with_calls else []))
+
+
+def shown_callee(callee: Column, name: Column) -> Column:
+    """A call's target, or its name with a question mark where it is unresolved."""
+    return F.coalesce(callee, F.concat(name, F.lit(" ?")))
+
+
+def call_sites(chains: DataFrame, calls: DataFrame) -> DataFrame:
+    """Chains with ``sites``: for each of their calls, in order, its place (file:line), text and line. chains have the ``path`` of their calls, ords are unique; calls: (ord, file_path, line, call)."""
+    steps = chains.select("n", F.posexplode("path").alias("i", "ord"))
+    site = F.struct("i", F.concat_ws(":", "file_path", F.col("line").cast("string")).alias("place"), "call", "line")
+    found = calls.select("ord", "file_path", "line", "call").join(steps, "ord").groupBy("n").agg(F.array_sort(F.collect_list(site)).alias("sites"))
+    return chains.join(found, "n", "left")
 
 
 #: Targets whose bits share one bitmap.

@@ -93,6 +93,18 @@ def flow_graph(flows: DataFrame, chains: DataFrame | None = None, cap: int = 80,
     return found.filter("dst <> ''").distinct()
 
 
+def flow_nodes(flows: DataFrame, cap: int = 80, path_cap: int = 160, table_cap: int = 80) -> DataFrame:
+    """(kind, name, number): the distinct nodes of the graph of the first ``cap`` flows. Endpoints and statements are numbered as they are first seen, methods and
+    tables by name; a flow shows at most ``path_cap`` methods and ``table_cap`` tables."""
+    order = ["endpoint_path", "code_path", "owner", "statement"]
+    top = flows.orderBy(*order).limit(cap).withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    named = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    nodes = top.select("n", F.inline(F.concat(named("endpoint", F.array("endpoint_path")), named("sql", F.array("statement")), named("method", F.slice(F.split("code_path", " -> "), 1, path_cap)), named("table", F.slice(F.split("tables", ","), 1, table_cap)))))
+    once = nodes.filter("name <> ''").groupBy("kind", "name").agg(F.min("n").alias("n"))
+    seen = F.when(F.col("kind").isin("endpoint", "sql"), F.col("n")).otherwise(0)
+    return once.select("kind", "name", F.row_number().over(Window.partitionBy("kind").orderBy(seen, "name")).alias("number"))
+
+
 def capped(df: DataFrame, order: list[str], n: int = 100) -> DataFrame:
     """The first ``n`` rows with their place, and a row with place null and how many were left out, if any were."""
     top = df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("omitted", F.lit(0).cast("long"))

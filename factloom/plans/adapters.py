@@ -73,6 +73,8 @@ KINDS = {kind: i % 4 for i, kind in enumerate(FACT_LISTS)}
 ELEMENT = {
     "name": "'p' || l_partkey", "enclosing_type": "'T' || (l_partkey % 2)", "enclosing_method": "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'p' || (l_partkey % 3) END", "method_name": "'p' || (l_partkey % 3)", "kind": "l_returnflag",
     "path": "'/p' || (l_partkey % 9)", "expression": "'return ' || l_linenumber", "start_line": "l_linenumber", "end_line": "l_linenumber + 2",
+    "modifiers": "split('public ' || l_returnflag, ' ')", "annotation": "'@A' || l_returnflag", "interfaces": "split('I' || (l_partkey % 5) || ',J', ',')", "superclass": "CASE WHEN l_partkey % 2 = 0 THEN 'Base' ELSE '' END", "http_methods": "split('GET,POST', ',')",
+    "operation": "'select'", "statement": "'select ' || l_partkey", "condition": "CASE WHEN l_partkey % 2 = 0 THEN 'x > ' || l_linenumber ELSE '' END", "arguments": "split('a,' || l_linenumber, ',')",
 }
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import assets as K
 from ..operators import chunking as G
+from ..operators.facts import flatten_facts
 from ..sources import state as A
-from .adapters import CORPUS, FACTS, corpus, facts, table
+from ..sources.work import kept
+from .adapters import CORPUS, FACTS, FULL_FACTS, corpus, facts, full_analyses, table
 
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 TRANSCRIPTS = """
@@ -76,12 +78,19 @@ def document_chunks(spark, sf_dir):
     return G.document_chunks(corpus(spark, sf_dir).select(F.col("file_path").alias("path"), "text"))
 
 
+def _typed_facts(spark, sf_dir):
+    """Facts are written once; a filter on them would else reach into the generator that lays them out."""
+    return kept(flatten_facts(full_analyses(spark, sf_dir)), "facts")
+
+
 def chunk_facts(spark, sf_dir):
-    return G.chunk_facts(facts(spark, sf_dir), "endpoint")
+    return G.chunk_facts(_typed_facts(spark, sf_dir))
 
 
 def chunk_methods(spark, sf_dir):
-    return G.chunk_methods(facts(spark, sf_dir))
+    """Methods are called as their elements' handlers, of which there are few, so that bodies meet several methods."""
+    found = _typed_facts(spark, sf_dir)
+    return G.chunk_methods(found.withColumn("symbol_name", F.when(F.col("type") == "method", F.get_json_object("payload", "$.method_name")).otherwise(F.col("symbol_name"))))
 
 
 def asset_chunks(spark, sf_dir):
@@ -251,8 +260,25 @@ SQL = {
         'Knowledge document ' || id || chr(10) || 'Section: ' || title || chr(10) || part AS text
       FROM placed JOIN (SELECT id, min(g) AS min_g FROM headed GROUP BY id) USING (id)""",
     "document_chunks": f"WITH corpus AS ({CORPUS}) SELECT 'kb:' || file_path AS id, 'Knowledge document ' || file_path || chr(10) || text AS text FROM corpus",
-    "chunk_facts": f"WITH {FACTS} SELECT file_path || '::endpoint::' || symbol_name || '::' || start_line AS id, 'endpoint: ' || symbol_name || chr(10) || 'File: ' || file_path || chr(10) || 'Type: ' || enclosing_type AS text FROM facts WHERE type = 'endpoint'",
-    "chunk_methods": f"WITH {FACTS}, c AS (SELECT file_path, enclosing_type, enclosing_method, string_agg(symbol_name, ', ' ORDER BY start_line, key) AS calls FROM facts WHERE type = 'call' GROUP BY 1, 2, 3) SELECT key, 'Method: ' || symbol_name || chr(10) || 'Type: ' || m.enclosing_type || chr(10) || 'File: ' || m.file_path || CASE WHEN calls IS NULL THEN '' ELSE chr(10) || 'Calls: ' || calls END AS text FROM facts m LEFT JOIN c ON c.file_path = m.file_path AND c.enclosing_type = m.enclosing_type AND c.enclosing_method = m.symbol_name WHERE m.type = 'method'",
+    "chunk_facts": f"""WITH {FULL_FACTS}, p AS (SELECT *, payload->>'$.kind' AS kind, payload->>'$.annotation' AS annotation, payload->>'$.method_name' AS handler, payload->>'$.superclass' AS superclass, (payload->'$.interfaces')::VARCHAR[] AS interfaces, (payload->'$.modifiers')::VARCHAR[] AS modifiers, payload->>'$.path' AS path, payload->>'$.statement' AS statement,
+        CASE WHEN file_path <> '' THEN file_path ELSE '<memory>' END AS root, chr(10) AS nl, CASE WHEN file_path <> '' THEN chr(10) || 'File: ' || file_path ELSE '' END AS file FROM full_facts),
+      c AS (SELECT *, CASE type WHEN 'sql_reference' THEN 'sql' ELSE type END AS k, CASE WHEN type IN ('endpoint', 'sql_reference') THEN enclosing_type || '.' || handler ELSE symbol_name END AS symbol, nl || 'Modifiers: ' || array_to_string(modifiers, ' ') AS mods FROM p)
+      SELECT root || '::' || k || '::' || symbol || '::' || start_line AS id, k AS kind, symbol, CASE type
+        WHEN 'type' THEN 'Java ' || kind || ' ' || symbol_name || nl || 'Package: ' || package || file || mods || nl || 'Enclosing type: ' || enclosing_type || CASE WHEN superclass <> '' THEN nl || 'Extends: ' || superclass ELSE '' END || nl || 'Implements: ' || array_to_string(interfaces, ', ')
+        WHEN 'field' THEN 'Java field ' || symbol_name || nl || 'Package: ' || package || file || nl || 'Enclosing type: ' || enclosing_type || mods
+        WHEN 'component' THEN 'Java Spring component ' || symbol_name || nl || 'Component kind: ' || kind || nl || 'Annotation: ' || annotation || nl || 'Package: ' || package || file
+        WHEN 'endpoint' THEN 'Java HTTP endpoint GET, POST ' || path || nl || 'Controller: ' || enclosing_type || nl || 'Method: ' || handler || nl || 'Annotation: ' || annotation || nl || 'Package: ' || package || file
+        ELSE 'Java SQL select ' || handler || nl || 'Enclosing type: ' || enclosing_type || nl || 'Statement: ' || statement || nl || 'Annotation: ' || annotation || nl || 'Package: ' || package || file END AS text
+      FROM c WHERE type IN ('type', 'field', 'component', 'endpoint', 'sql_reference')""",
+    "chunk_methods": f"""WITH {FULL_FACTS}, p AS (SELECT *, payload->>'$.kind' AS kind, payload->>'$.condition' AS condition, payload->>'$.expression' AS expression, payload->>'$.method_name' AS handler, (payload->'$.modifiers')::VARCHAR[] AS modifiers, (payload->'$.arguments')::VARCHAR[] AS arguments, chr(10) AS nl FROM full_facts),
+      s AS (SELECT file_path, enclosing_type, enclosing_method AS handler, type, ord, CASE type WHEN 'call' THEN symbol_name || '(' || array_to_string(arguments, ', ') || ')' WHEN 'local_variable' THEN '? ' || symbol_name WHEN 'return' THEN expression ELSE kind || CASE WHEN condition <> '' THEN '(' || condition || ')' ELSE '' END END AS s
+        FROM p WHERE type IN ('call', 'local_variable', 'return', 'control_structure') AND enclosing_method <> ''),
+      b AS (SELECT file_path, enclosing_type, handler, type, CASE type WHEN 'return' THEN string_agg(s, '; ' ORDER BY ord, s) ELSE string_agg(s, ', ' ORDER BY ord, s) END AS s FROM s GROUP BY file_path, enclosing_type, handler, type),
+      m AS (SELECT p.*, file_path AS f, enclosing_type AS t FROM p WHERE type = 'method')
+      SELECT CASE WHEN f <> '' THEN f ELSE '<memory>' END || '::' || kind || '::' || handler || '::' || start_line AS id, kind, handler AS symbol,
+        'Java ' || kind || ' ' || symbol_name || nl || 'Package: ' || package || CASE WHEN f <> '' THEN nl || 'File: ' || f ELSE '' END || nl || 'Enclosing type: ' || t || nl || 'Modifiers: ' || array_to_string(modifiers, ' ')
+        || coalesce((SELECT nl || 'Calls: ' || s FROM b WHERE type = 'call' AND b.file_path = f AND b.enclosing_type = t AND b.handler = m.handler), '') || coalesce((SELECT nl || 'Local variables: ' || s FROM b WHERE type = 'local_variable' AND b.file_path = f AND b.enclosing_type = t AND b.handler = m.handler), '')
+        || coalesce((SELECT nl || 'Returns: ' || s FROM b WHERE type = 'return' AND b.file_path = f AND b.enclosing_type = t AND b.handler = m.handler), '') || coalesce((SELECT nl || 'Control flow: ' || s FROM b WHERE type = 'control_structure' AND b.file_path = f AND b.enclosing_type = t AND b.handler = m.handler), '') AS text FROM m""",
     "asset_chunks": f"""WITH {ASSETS}, {TAGS}, ev AS (SELECT asset_id, string_agg(l, chr(10) ORDER BY ord) AS l FROM (SELECT asset_id, ord, concat_ws(' - ', nullif(file_path, ''), nullif(symbol_name, '')) AS l FROM evidence) WHERE l <> '' GROUP BY 1)
       SELECT id, concat_ws(chr(10), 'Asset: ' || title, 'Kind: ' || type, 'Status: ' || status, 'Tags: ' || (SELECT string_agg(tag, ', ' ORDER BY ord) FROM tags WHERE asset_id = id), content, ev.l) AS text FROM assets LEFT JOIN ev ON asset_id = id""",
     "norm_tags": f"WITH {ASSETS}, {TAGS} SELECT asset_id, ord::INT AS ord, tag FROM tags",

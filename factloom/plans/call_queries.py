@@ -104,6 +104,16 @@ def call_chains(spark, sf_dir):
     return D.call_chains(edges, _entries(spark, sf_dir, edges))
 
 
+def call_sites(spark, sf_dir):
+    """Chains of all calls, the unresolved ones too, with the sites of their calls."""
+    resolved = _resolved(spark, sf_dir)
+    names = methods(spark, sf_dir).select("id", F.concat_ws(".", "type", "name").alias("q"))
+    ends = resolved.join(names.toDF("caller", "src"), "caller").join(names.toDF("callee", "dst"), "callee", "left")
+    calls = kept(ends.select("src", D.shown_callee(F.col("dst"), F.col("name")).alias("dst"), "ord", F.concat("type", F.lit(".src")).alias("file_path"), "line", F.col("name").alias("call"), F.col("dst").isNotNull().alias("resolved")), "sites")
+    found = D.call_sites(D.call_chains(calls, _entries(spark, sf_dir, calls.filter("resolved")), with_calls=True), calls)
+    return found.select("n", "entry", "chain", F.array_join("sites.place", ",").alias("places"), F.array_join("sites.call", ",").alias("calls"))
+
+
 def reachable_paths(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return D.reachable_paths(edges, _entries(spark, sf_dir, edges)).select("entry", "node", F.array_join("path", " -> ").alias("path"))
@@ -127,13 +137,17 @@ def _flows(spark, sf_dir):
     owned = E.sql_usages(_usages(spark, sf_dir)).select(F.concat_ws(".", "owner_type", "method").alias("owner"), "statement", "tables").distinct()
     edges = _edges(spark, sf_dir)
     ends = _entries(spark, sf_dir, edges).select("entry", F.concat(F.lit("/"), "entry").alias("endpoint_path")).distinct()
-    return E.endpoint_flows(ends, D.reachable_paths(edges, ends), owned), edges, ends
+    return E.endpoint_flows(ends, D.reachable_paths(edges, ends, targets=owned.select(F.col("owner").alias("node"))), owned), edges, ends
 
 
 def endpoint_flows(spark, sf_dir):
     return _flows(spark, sf_dir)[0]
 
 
+def flow_nodes(spark, sf_dir):
+    return E.flow_nodes(kept(_flows(spark, sf_dir)[0], "flows"))
+
+
 def flow_graph(spark, sf_dir):
     flows, edges, ends = _flows(spark, sf_dir)
     return E.flow_graph(kept(flows, "flows"), D.call_chains(edges, ends))
@@ -143,7 +157,7 @@ def capped_flows(spark, sf_dir):
     return E.capped(kept(_flows(spark, sf_dir)[0], "flows"), ["endpoint_path", "code_path", "owner", "statement"])
 
 
-QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, annotation_usages, endpoint_flows, flow_graph, capped_flows)}
+QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, annotation_usages, endpoint_flows, flow_graph, flow_nodes, call_sites, capped_flows)}
 RESOLVED = f"""{CALLS},
   near AS (SELECT call_id, arg_min(m.id, abs(m.line - c.line) * 1000000000 + m.ord) AS caller FROM calls c JOIN methods m ON m.type = c.type AND m.name = c.method GROUP BY call_id),
   attributed AS (SELECT c.*, caller FROM calls c JOIN near USING (call_id)),
@@ -193,6 +207,15 @@ SQL = {
     "resolution_stats": f"WITH {RESOLVED} SELECT resolution, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM resolved GROUP BY resolution",
     "entrypoints": f"WITH {RESOLVED} SELECT entry, line FROM entries",
     "call_chains": f"WITH RECURSIVE {CHAINS} SELECT n::INT AS n, entry, array_to_string(nodes, ' -> ') AS chain FROM (SELECT *, row_number() OVER (ORDER BY entry, path) AS n FROM chains) WHERE n <= 80",
+    "call_sites": f"""WITH RECURSIVE {RESOLVED}, sites AS (SELECT a.type || '.' || a.name AS src, coalesce(b.type || '.' || b.name, c.name || ' ?') AS dst, r.ord, a.type || '.src:' || c.line AS place, c.name AS call FROM resolved r JOIN calls c USING (call_id) JOIN methods a ON a.id = r.caller LEFT JOIN methods b ON b.id = callee),
+      {_hops(4).replace("JOIN edges USING", "JOIN sites USING").replace("SELECT src FROM edges", "SELECT src FROM sites")},
+      chains AS (SELECT entry, nodes, path FROM hop4 UNION ALL SELECT entry, nodes, path FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2 UNION ALL SELECT * FROM hop3) WHERE closes OR src NOT IN (SELECT src FROM sites)),
+      top AS (SELECT *, row_number() OVER (ORDER BY entry, path) AS n FROM chains)
+      SELECT n::INT AS n, entry, array_to_string(nodes, ' -> ') AS chain, (SELECT string_agg(place, ',' ORDER BY list_position(path, ord)) FROM sites WHERE list_contains(path, ord)) AS places, (SELECT string_agg(call, ',' ORDER BY list_position(path, ord)) FROM sites WHERE list_contains(path, ord)) AS calls FROM (SELECT * FROM top WHERE n <= 80)""",
+    "flow_nodes": f"""WITH RECURSIVE {FLOWS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY endpoint_path, code_path, owner, statement) AS n FROM flows) WHERE n <= 80),
+      p AS (SELECT 'endpoint' AS kind, endpoint_path AS name, n FROM top UNION ALL SELECT 'sql', statement, n FROM top), s AS (SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY min(n), name) AS number FROM p GROUP BY 1, 2),
+      named_nodes AS (SELECT DISTINCT 'method' AS kind, unnest(string_split(code_path, ' -> ')) AS name FROM top UNION SELECT DISTINCT 'table', unnest(string_split(tables, ',')) FROM top)
+      SELECT kind, name, number::INT AS number FROM s UNION ALL SELECT kind, name, (row_number() OVER (PARTITION BY kind ORDER BY name))::INT FROM named_nodes WHERE name <> ''""",
     "reachable_paths": f"WITH RECURSIVE {REACH} SELECT entry, node, array_to_string(nodes, ' -> ') AS path FROM reach",
     "extract_tables": f"WITH corpus AS ({CORPUS}), t AS (SELECT id, {TABLES.format('text')} AS l FROM corpus) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS tables FROM t",
     "usages": f"WITH {CALLS}, {USAGES} SELECT owner_type, method, operation, statement, tables, file_path, line, 'annotation' AS source FROM usages",
