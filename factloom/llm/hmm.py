@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep, scratch, table
 
-STATES, ROUNDS, DIMS, PREFERENCE = 12, 4, 16, 20.0
+STATES, ROUNDS, DIMS, PREFERENCE = 12, 12, 16, 20.0
 SYMBOLS, CLASSES, KNOWN_WORDS = 4095, 512, 250_000
 SEGMENT, PRIOR = 256, 50.0
 #: Symbol 0 is the end; then the frequent words, then the classes.
@@ -193,37 +193,40 @@ def segments(texts: list[np.ndarray]):
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """The E step over some texts: expected starts, moves and emissions of every state, by scaled forward and backward passes."""
+    """The E step over some texts: expected starts, moves and emissions of every state, by scaled forward and backward passes.
+
+    Segments are ordered by length, so a step's rows are the first ones; all steps' rows lie in one array of 32-bit numbers, step after
+    step, which takes the posteriors in the end. Sums are in 64 bits.
+    """
     symbols, size, first = segments(texts)
     out = np.zeros((STATES, 1 + STATES + ALPHABET))
     if not len(symbols):
         return out
-    emit_of = np.ascontiguousarray(model.emit.T)
+    move, start, mean = (np.asarray(x, np.float32) for x in (model.move, model.start, model.mean))
     steps = int(size[0])
     active = [int(np.searchsorted(-size, -t, "left")) for t in range(steps)]  # rows longer than t
-    forward, scales, emits = [], [], []
+    ends = np.cumsum(active)
+    rows = [slice(int(end) - m, int(end)) for end, m in zip(ends, active)]
+    flat = np.concatenate([symbols[:m, t] for t, m in enumerate(active)])
+    emits = np.ascontiguousarray(model.emit.T, np.float32)[flat]
+    forward, scales = np.empty_like(emits), np.empty((len(flat), 1), np.float32)
     for t in range(steps):
-        m = active[t]
-        emits.append(emit_of[symbols[:m, t]])
-        before = np.where(first[:, None], model.start, model.mean) if t == 0 else forward[-1][:m] @ model.move
-        a = before * emits[t]
-        scales.append(a.sum(axis=1, keepdims=True))
-        forward.append(a / scales[t])
-    back = np.ones((active[-1], STATES))
-    flat_symbols, flat_gamma = [], []
-    for t in range(steps - 1, -1, -1):
-        if t < steps - 1:
-            ahead = emits[t + 1] * back / scales[t + 1]
-            out[:, 1 : 1 + STATES] += model.move * (forward[t][: len(ahead)].T @ ahead)
-            back = np.ones((active[t], STATES))
-            back[: len(ahead)] = ahead @ model.move.T
-        gamma = forward[t] * back
-        flat_symbols.append(symbols[: active[t], t]), flat_gamma.append(gamma)
-        if t == 0:
-            out[:, 0] += gamma[first].sum(axis=0)
-    every, weights = np.concatenate(flat_symbols), np.concatenate(flat_gamma)
+        before = np.where(first[:, None], start, mean) if t == 0 else forward[rows[t - 1]][: active[t]] @ move
+        now = np.multiply(before, emits[rows[t]], out=forward[rows[t]])
+        np.sum(now, axis=1, keepdims=True, out=scales[rows[t]])
+        now /= scales[rows[t]]
+    moves, back = np.zeros((STATES, STATES)), np.ones((active[-1], STATES), np.float32)
+    for t in range(steps - 1, 0, -1):
+        ahead = emits[rows[t]] * back / scales[rows[t]]
+        moves += forward[rows[t - 1]][: active[t]].T @ ahead
+        forward[rows[t]] *= back
+        back = np.ones((active[t - 1], STATES), np.float32)
+        np.matmul(ahead, move.T, out=back[: active[t]])
+    forward[rows[0]] *= back
+    out[:, 0] = forward[rows[0]][first].sum(axis=0, dtype=np.float64)
+    out[:, 1 : 1 + STATES] = model.move * moves
     for k in range(STATES):
-        out[k, 1 + STATES :] += np.bincount(every, weights[:, k], ALPHABET)
+        out[k, 1 + STATES :] = np.bincount(flat, forward[:, k], ALPHABET)
     return out
 
 
