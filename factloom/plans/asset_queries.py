@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assets as K
 from ..operators import chunking as G
+from ..operators import graph as H
 from ..operators.facts import flatten_facts
 from ..sources import state as A
 from ..sources.work import kept
@@ -121,6 +122,18 @@ def evidence_links(spark, sf_dir):
     return K.links(match_evidence(spark, sf_dir))
 
 
+def asset_edge_refresh(spark, sf_dir):
+    """Assets of three projects, two of which are refreshed: the old edges are those of even assets, by their first evidence, and some to records that nobody names now."""
+    assets = _assets(spark, sf_dir).select("id", F.concat(F.lit("p"), F.col("ord") % 3).alias("project_id"), "ord")
+    links = kept(evidence_links(spark, sf_dir), "links").withColumnRenamed("ord", "evidence")
+    even = assets.filter("ord % 2 = 0")
+    old = H.asset_edges(even, links.filter("evidence = 1").withColumn("note", F.lit("old")))
+    gone = H.asset_edges(even, even.select(F.col("id").alias("asset_id"), F.concat(F.lit("gone "), "id").alias("key"))).filter("type = 'EVIDENCED_BY'")
+    new = H.asset_edges(assets, links)
+    found = H.refresh_edges(old.unionByName(gone), new, spark.createDataFrame([("p0",), ("p1",), ("p9",)], "tenant string"))
+    return found.select("tenant", "src", "type", "dst", F.col("props")["evidence"].alias("evidence"), F.col("props")["note"].alias("note"), "state")
+
+
 def documents_list(spark, sf_dir):
     return K.list_documents(corpus(spark, sf_dir).select(F.col("file_path").alias("path"), "text"), "src1")
 
@@ -223,7 +236,7 @@ def merge_edges(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     delete_where, json_lines, norm_evidence, validate_assets, transition, merge_nodes, merge_edges,
-    sections, packed_parts, kb_chunks, document_chunks, chunk_facts, chunk_methods, asset_chunks, norm_tags, slugs, nest_assets, page_assets, match_evidence, evidence_links, documents_list, visible_projects,
+    sections, packed_parts, kb_chunks, document_chunks, chunk_facts, chunk_methods, asset_chunks, norm_tags, slugs, nest_assets, page_assets, match_evidence, evidence_links, asset_edge_refresh, documents_list, visible_projects,
     live_rows, upsert_latest, soft_delete, prune_missing, sync_grants, point_uuid5, snapshot_latest,
 )}
 TAGS = "tags AS (SELECT id AS asset_id, i - 1 AS ord, t[i] AS tag FROM (SELECT id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:12] AS t FROM (SELECT id, list_filter(string_split(regexp_replace(array_to_string(w[1:6], ','), '[,\\x20\\x09-\\x0D]+', ',', 'g'), ','), lambda x: x <> '') AS w FROM assets)), unnest(range(1, len(t) + 1)) AS u(i))".replace("\\\\x", "\\x")
@@ -287,6 +300,12 @@ SQL = {
     "page_assets": f"WITH {ASSETS}, {TAGS} SELECT id, type, status, count(*) OVER () AS total FROM assets a WHERE contains(lower(title || chr(10) || content), 'o3') OR EXISTS (SELECT 1 FROM tags WHERE asset_id = a.id AND contains(lower(tag), 'o3')) OR EXISTS (SELECT 1 FROM evidence WHERE asset_id = a.id AND contains(lower(file_path || chr(10) || symbol_name), 'o3')) ORDER BY a.ord DESC LIMIT 30 OFFSET 1",
     "match_evidence": f"WITH {FACTS}, {ASSETS}, {MATCH} SELECT * FROM matched",
     "evidence_links": f"WITH {FACTS}, {ASSETS}, {MATCH} SELECT asset_id, key, min(ord) AS ord FROM matched GROUP BY 1, 2",
+    "asset_edge_refresh": f"""WITH {FACTS}, {ASSETS}, {MATCH}, a AS (SELECT id, 'p' || (ord % 3) AS tenant, ord FROM assets), l AS (SELECT asset_id, key, min(ord) AS evidence FROM matched GROUP BY 1, 2),
+      n AS (SELECT tenant, tenant AS src, 'HAS_KNOWLEDGE_ASSET' AS type, id AS dst, NULL AS evidence FROM a UNION ALL SELECT tenant, id, 'EVIDENCED_BY', key, evidence::VARCHAR FROM a JOIN l ON asset_id = id),
+      o AS (SELECT tenant, tenant AS src, 'HAS_KNOWLEDGE_ASSET' AS type, id AS dst, NULL AS evidence, NULL AS note FROM a WHERE ord % 2 = 0 UNION ALL SELECT tenant, id, 'EVIDENCED_BY', key, evidence::VARCHAR, 'old' FROM a JOIN l ON asset_id = id WHERE ord % 2 = 0 AND evidence = 1
+        UNION ALL SELECT tenant, id, 'EVIDENCED_BY', 'gone ' || id, NULL, NULL FROM a WHERE ord % 2 = 0)
+      SELECT tenant, src, type, dst, evidence, NULL AS note, CASE WHEN (tenant, src, type, dst) IN (SELECT (tenant, src, type, dst) FROM o) THEN 'kept' ELSE 'added' END AS state FROM n WHERE tenant IN ('p0', 'p1')
+      UNION ALL SELECT tenant, src, type, dst, evidence, note, CASE WHEN tenant = 'p2' THEN 'kept' ELSE 'dropped' END FROM o WHERE tenant = 'p2' OR (tenant, src, type, dst) NOT IN (SELECT (tenant, src, type, dst) FROM n)""",
     "documents_list": f"WITH corpus AS ({CORPUS}) SELECT file_path AS path, string_split(file_path, '/')[-1] AS name, strlen(text)::INT AS bytes FROM corpus WHERE starts_with(file_path, 'src1/')",
     "visible_projects": "SELECT DISTINCT user_id, event_id % 25 AS project_id FROM events WHERE event_type <> 'error' AND user_id % 10 <> 0 UNION ALL SELECT user_id, n_nationkey::BIGINT FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0), nation",
     "live_rows": "SELECT event_id, 'active' AS status FROM events WHERE event_type <> 'error'",
