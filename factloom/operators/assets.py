@@ -166,3 +166,8 @@ def visible_projects(users: DataFrame, grants: DataFrame, projects: DataFrame) -
     granted = grants.filter("status = 'active'").select("user_id", "project_id").distinct().join(users.filter("not is_admin"), "user_id", "left_semi").join(projects, "project_id", "left_semi")
     admins = users.filter("is_admin").select("user_id", F.lit(1).alias("one")).join(projects.select("project_id", F.lit(1).alias("one")), "one").select("user_id", "project_id")
     return granted.select("user_id", "project_id").unionByName(admins)
+
+
+def unknown_projects(wanted: DataFrame, projects: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (project_id, ...) whose project does not exist, null ones among them."""
+    return wanted.join(projects.select("project_id").distinct(), "project_id", "left_anti")

@@ -11,6 +11,8 @@ from ..sources.work import kept, scope
 #: Words that say nothing about a text; the patterns of ``terms`` are fixed too.
 STOP_WORDS = ["api", "code", "document", "file", "java", "knowledge", "method", "package", "section", "type"]
 M = 5
+#: Fields of a hit whose terms count besides its text's.
+ANCHOR_FIELDS = ["symbol_name", "type_name", "path", "section", "statement"]
 #: Records on the lists of rare terms that give an anchor's first bound.
 FIRST_POSTINGS = 200
 #: Anchors and records of a block at most (records are dealt to more blocks while these hold more than FEW_RECORDS), and matches pairs that a task lays out at a time.
@@ -136,11 +138,11 @@ def overlaps(anchors: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
 def related_candidates(hits: DataFrame, records: DataFrame, m: int = M) -> DataFrame:
     """(query_id, hit_rank, hit_id, id, overlap, cand_rank): opposite-side records that are no hits of the query themselves.
 
-    ``hits``: (query_id, rank, id, query, text, source_type) of a stated set of queries; ``records``: corpus rows.
+    ``hits``: (query_id, rank, id, query, text, source_type) of a stated set of queries, and those of :data:`ANCHOR_FIELDS` that they have; ``records``: corpus rows.
     """
     listed = hits.withColumn("all_ids", F.collect_list("id").over(Window.partitionBy("query_id")))
     anchors = listed.select(
-        "query_id", "rank", "id", anchor_terms(F.col("query"), F.col("text")).alias("terms"), F.col("all_ids").alias("excluded"),
+        "query_id", "rank", "id", anchor_terms(F.col("query"), F.col("text"), *[F.col(c) for c in ANCHOR_FIELDS if c in hits.columns]).alias("terms"), F.col("all_ids").alias("excluded"),
         F.when(is_knowledge(), "k").when(F.col("source_type") == "code", "c").alias("side"),
     )
     numbered = anchors.withColumn("q", F.struct("query_id", "rank", "id"))

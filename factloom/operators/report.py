@@ -31,9 +31,17 @@ def context_items(hits: DataFrame, evidence: DataFrame) -> DataFrame:
     return direct.unionByName(related).filter("id <> ''").withColumn("k", once).filter("k = 1").withColumn("n", place).select("query_id", "n", "id", "score")
 
 
+#: The columns that can name a record, the first non-empty one counts.
+TITLES = ["title", "symbol_name", "doc_name", "section", "kind"]
+
+
 def citations(items: DataFrame, records: DataFrame, n: int = CITATIONS) -> DataFrame:
-    """(query_id, n, id, title, location, score, excerpt, source_type): the first ``n`` items."""
-    own = records.select("id", first_of(F.col("title"), F.col("kind"), F.lit("fragment")).alias("title"), F.col("file_path").alias("location"), excerpt(F.col("text")).alias("excerpt"), "source_type")
+    """(query_id, n, id, title, location, score, excerpt, source_type): the first ``n`` items. Titles come from the first of :data:`TITLES` that a record has
+    and fills, else ``fragment``; a location is the path, with the line if there is one. Null and empty values are the same."""
+    title = first_of(*[F.col(c).cast("string") for c in TITLES if c in records.columns], F.lit("fragment"))
+    path = F.coalesce("file_path", F.lit(""))
+    location = path if "start_line" not in records.columns else F.when((path != "") & (F.col("start_line") > 0), F.concat_ws(":", path, F.col("start_line").cast("string"))).otherwise(path)
+    own = records.select("id", title.alias("title"), location.alias("location"), excerpt(F.col("text")).alias("excerpt"), "source_type")
     return items.filter(F.col("n") <= n).join(own, "id").select("query_id", "n", "id", "title", "location", "score", "excerpt", "source_type")
 
 

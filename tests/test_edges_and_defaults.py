@@ -2,7 +2,7 @@
 
 import pytest
 
-from factloom.operators import assets, chunking, graph
+from factloom.operators import assets, chunking, fusion, graph, report
 
 
 def test_refresh(spark):
@@ -57,3 +57,24 @@ def test_layouts(spark):
     assert got == {"A.java::method::run::3": f"{head}\nParameters: int x, ? y{body}", "A.java::method::run::9": head + body}
     got = {r["id"]: r["text"] for r in chunking.chunk_facts(facts).collect()}
     assert got == {"<memory>::endpoint::A.get::3": "Java HTTP endpoint GET, PUT /u\nController: A\nMethod: get\nParameters: path:id, query:word", "A.java::sql::A.select::3": "Java SQL select \nEnclosing type: A\nFile: A.java"}
+
+
+def test_titles_and_locations(spark):
+    ddl = "id string, title string, symbol_name string, doc_name string, section string, kind string, file_path string, start_line int, text string, source_type string"
+    empty = ("", None, "", None, "")
+    rows = [(str(i), *empty[:i], *(["t"] if i < 5 else []), *["later"] * (4 - i), *where, "x", "kb") for i, where in enumerate([("p", 3), ("p", 0), ("p", None), ("", 3), (None, 3), ("p", 7)])]
+    items = spark.createDataFrame([(1, i + 1, str(i), 0.5) for i in range(6)], "query_id int, n int, id string, score double")
+    got = [(r["title"], r["location"]) for r in report.citations(items, spark.createDataFrame(rows, ddl)).orderBy("n").collect()]
+    assert got == [("t", "p:3"), ("t", "p"), ("t", "p"), ("t", ""), ("t", ""), ("fragment", "p:7")]
+
+
+def test_anchor_fields(spark):
+    """A record that shares only a hit's symbol is found."""
+    hits = spark.createDataFrame([(1, 1, "h", "zebra", "yak", "code", "loadUserData", None)], "query_id int, rank int, id string, query string, text string, source_type string, symbol_name string, section string")
+    records = spark.createDataFrame([("r", 1, "about user data", "k", "f", "kb", "s"), ("h", 2, "yak", "k", "f", "code", "s"), ("o", 3, "nothing", "k", "f", "kb", "s")], "id string, ord int, text string, kind string, file_path string, source_type string, status string")
+    assert [(r["id"], r["overlap"]) for r in fusion.related_candidates(hits, records).collect()] == [("r", 2)]
+
+
+def test_unknown_projects(spark):
+    wanted = spark.createDataFrame([(1, "p"), (2, "q"), (3, None)], "user_id int, project_id string")
+    assert sorted(r["user_id"] for r in assets.unknown_projects(wanted, spark.createDataFrame([("p",), ("p",)], "project_id string")).collect()) == [2, 3]
