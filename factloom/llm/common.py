@@ -9,8 +9,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that :func:`cut` wrote within the open :func:`scratch` blocks.
-_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+#: Tables that go with each open :func:`scratch` block, the innermost last.
+_MADE: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("made", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,24 +35,29 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; it outlives the :func:`scratch` blocks around it.
+    """Write ``df`` as Parquet into the shared folder and read it back; it outlives the :func:`scratch` block around it.
 
-    This cuts the lineage and survives a lost executor: what was written need not be computed again.
+    It goes with the next block further out; without one it stays. This cuts the lineage and survives a lost executor: what was
+    written need not be computed again.
     """
+    return _written(df, name, 2)
+
+
+def _written(df: DataFrame, name: str, depth: int) -> DataFrame:
+    """Write ``df`` and read it back; it goes with the ``depth``-th block from inside, if so many are open."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
+    if len(_MADE.get()) >= depth:
+        _MADE.get()[-depth].append(out)
     return out
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """:func:`keep`, but only until the :func:`scratch` block around it ends."""
-    out = keep(df, name)
-    if _MADE.get() is not None:
-        _MADE.get().append(out)
-    return out
+    return _written(df, name, 1)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -66,12 +71,11 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def drop(*tables: DataFrame) -> None:
     """Remove what :func:`cut` or :func:`keep` wrote, once nothing reads it any more, and the shuffles of finished jobs."""
-    made = _MADE.get()
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._factloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if made is not None:
+        for made in _MADE.get():
             made[:] = [m for m in made if m is not df]
     if tables:
         free_shuffles(tables[0].sparkSession)
@@ -79,13 +83,12 @@ def drop(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch():
-    """Tables that are :func:`cut` within the block are removed at its end; the block's result must be kept."""
-    token = _MADE.set([])
+    """Tables that are :func:`cut` within the block, or kept by a block in it, are removed at its end; its result must be kept."""
+    token = _MADE.set((*_MADE.get(), []))
     try:
         yield
     finally:
-        made = _MADE.get()
-        drop(*made)
+        drop(*_MADE.get()[-1])
         _MADE.reset(token)
 
 

@@ -2,10 +2,12 @@
 
 A document's set holds the distinct runs of ``shingle`` words (A-Z lower-cased, split at ASCII blanks), as 64-bit hashes; a text of
 fewer words has its whole sequence as one. Documents with equal sets form a class, of which only the smallest doc_id goes on.
-MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. An odd sketch holds the
-parity of a set's hashes in each of 2048 buckets. The population count of two sketches' XOR bounds the difference of the sets from
-below, so the filter loses nothing at any size; pairs of sets too large for it (over about 4600 hashes at 0.8) all pass. What
-remains is confirmed on the full sets.
+MinHash samples are cut into bands; two sets of similarity 0.8 share a band with probability over 0.99997. What shares a band is
+verified by odd sketches: MinHash samples are folded into a bitmap of 2048 parities, and the population count of two sketches' XOR
+tells how many samples differ. The samples folded are the least hash in each of 1024 ranges of one permutation (a set's mixed
+hashes). From their estimated number of differing samples, sets of over 1280 hashes are candidates up to six standard deviations
+below the similarity asked for (0.7 for 0.8), which loses less than one pair in 10^7; smaller sets are folded whole, where each
+differing hash flips one bit at most, so that the filter is sound. What remains is confirmed on the full sets.
 
 Buckets do not emit all their pairs. Two rounds compare the members of a bucket with one pivot each (its smallest, then its
 largest id). Only in buckets that still hold several components are pairs across components compared, so no link is lost that
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, keep, scratch, table
@@ -29,6 +31,10 @@ from .components import connected_components
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 4
 SKETCH_BITS = 2048
+#: Ranges of a permutation, each with one sample; sets up to WHOLE hashes are folded whole, those from SAMPLED on by samples.
+RANGES, WHOLE, SAMPLED = 1024, 1280, 1024
+#: How far below the similarity asked for an estimate may lie, in standard deviations.
+DEVIATIONS = 6
 #: Shingles that are hashed for all samples at a time.
 _CHUNK = 4096
 
@@ -75,54 +81,98 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set: every hash flips one bit."""
+    """Parity bitmap of hashes or samples: every one flips one bit."""
     at = _mixed(hashes) % np.uint64(SKETCH_BITS)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _sketches_near(n_a: str, n_b: str, s_a: str, s_b: str, percent: int):
-    """Whether sizes and odd sketches allow the similarity, in integers.
+def range_samples(hashes: np.ndarray) -> np.ndarray:
+    """MinHash samples of one permutation: the least of the sorted hashes in each of ``RANGES`` equal ranges that has any.
 
-    Sets of s hashes together are similar enough if and only if at most s (1 - t) / (1 + t) hashes are in one of them alone. Each
-    of these flips one bit, so no more bits can differ.
+    As samples of different ranges differ, a sample stands for its range as well.
     """
-    apart = sum((F.bit_count(F.col(s_a)[i].bitwiseXOR(F.col(s_b)[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(s_a)[0].bitwiseXOR(F.col(s_b)[0])))
+    ranges = hashes >> np.uint64(64 - RANGES.bit_length() + 1)
+    return hashes[np.concatenate(([True], ranges[1:] != ranges[:-1]))] if len(hashes) else hashes
+
+
+def sketches(hashes: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(sketch of the whole set, sketch of its samples): small sets have the first, large ones the second, those between both.
+
+    Any two sets of sizes that allow ``PERCENT`` or more have one of the two in common.
+    """
+    n = len(hashes)
+    return odd_sketch(hashes) if n <= WHOLE else None, odd_sketch(range_samples(hashes)) if n >= SAMPLED else None
+
+
+def most_samples_apart(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Samples that differ between sets of these sizes and of this similarity, plus ``DEVIATIONS`` standard deviations.
+
+    A union of u hashes fills RANGES (1 - e^(-u / RANGES)) ranges, in each of which the least hash lies in both sets with the
+    probability of their similarity. A range that disagrees adds one sample that differs, or two if both sets have a hash in it.
+    The variance is at most four times that of the disagreeing ranges, and folding adds less than the number itself.
+    """
+    union, mean_size = (n_a + n_b) * (100 / (100 + percent)), (n_a + n_b) * 0.5
+    ranges = (1 - F.exp(union * (-1 / RANGES))) * (RANGES * (100 - percent) / 100)
+    apart = ranges * (2 - F.exp(mean_size * (-1 / RANGES)))
+    return apart + F.sqrt(ranges * (4 * percent / 100) + apart) * DEVIATIONS
+
+
+def bits_apart(samples_apart: Column) -> Column:
+    """How many bits of two sketches are expected to differ, as samples that meet in a bit undo each other."""
+    return (1 - F.exp(samples_apart * (-2 / SKETCH_BITS))) * (SKETCH_BITS / 2)
+
+
+def _sketches_near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and odd sketches allow the similarity; ``a`` and ``b`` end the names of the columns n, whole and sampled.
+
+    Whole sets of s hashes together are similar enough if and only if at most s (1 - t) / (1 + t) hashes are in one of them alone.
+    Each of these flips one bit, so no more bits can differ.
+    """
+    n_a, n_b = F.col(f"n{a}"), F.col(f"n{b}")
+
+    def apart(c: str):
+        return sum(F.bit_count(F.get(f"{c}{a}", F.lit(i)).bitwiseXOR(F.get(f"{c}{b}", F.lit(i)))) for i in range(SKETCH_BITS // 64))
+
     sized = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sized & (apart * (100 + percent) <= (100 - percent) * (F.col(n_a) + F.col(n_b)))
+    small = apart("whole") * (100 + percent) <= (100 - percent) * (n_a + n_b)
+    large = apart("sampled") <= bits_apart(most_samples_apart(n_a, n_b, percent))
+    return sized & F.coalesce(small, F.lit(True)) & F.coalesce(large, F.lit(True))
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sketch) of every document."""
+    """(doc_id, n_shingles, set_key, bands, whole, sampled) of every document; the last two are odd sketches."""
+
+    longs = "array<long>"
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            sizes, keys, all_bands, sketches = [], [], [], []
+            sizes, rows = [], []
             for raw in b.column(1).cast(pa.binary()):
                 found = shingle_set(raw.as_py(), shingle)
                 sizes.append(len(found))
-                if len(found):
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    own = samples(found)
-                    all_bands.append(bands(own))
-                    sketches.append(odd_sketch(found))
-                else:
-                    keys.append(None), all_bands.append([]), sketches.append([])
+                rows.append((xxhash.xxh3_128_digest(found.tobytes()), bands(samples(found)), *sketches(found)) if len(found) else (None, [], None, None))
+            keys, *lists = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)],
+                names=["doc_id", "n_shingles", "set_key", "bands", "whole", "sampled"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands {longs}, whole {longs}, sampled {longs}")
+
+
+def _heads(classes: DataFrame, end: str, *more: str) -> DataFrame:
+    """What sketches are compared by, with ``end`` added to all names."""
+    return classes.select(*[F.col(c).alias(f"{c}{end}") for c in ("rep", "n", "whole", "sampled", *more)])
 
 
 def _pairs_near(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Candidates whose set sizes and odd sketches allow the similarity. heads: (rep, n, sketch)."""
-    a, b = heads.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), heads.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    return pairs.join(a, "a").join(b, "b").filter(_sketches_near("n_a", "n_b", "s_a", "s_b", percent)).select("a", "b")
+    """Candidates whose set sizes and odd sketches allow the similarity. heads: (rep, n, whole, sampled)."""
+    both = pairs.join(_heads(heads, "_a").withColumnRenamed("rep_a", "a"), "a").join(_heads(heads, "_b").withColumnRenamed("rep_b", "b"), "b")
+    return both.filter(_sketches_near("_a", "_b", percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -158,10 +208,10 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     found = cut(signatures(docs, shingle), "signatures")
     classes = (
         found.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "sketch"), "doc_id").alias("s"))
+        .agg(F.min("doc_id").alias("rep"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "whole", "sampled"), "doc_id").alias("s"))
     )
     classes = cut(classes.select("set_key", "rep", "s.*"), "classes")
-    heads = classes.select("rep", "n", "sketch")
+    heads = classes.select("rep", "n", "whole", "sampled")
     keyed = classes.select("rep", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     members = cut(keyed.join(shared, "band"), "members")
@@ -178,9 +228,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     labelled = cut(members.join(roots, members["rep"] == roots["node"], "left").select("band", "rep", F.coalesce("root", "rep").alias("label")), "labelled")
     open_ = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
     rest = cut(labelled.join(open_, "band", "left_semi").join(heads, "rep"), "rest")
-    x, y = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "sketch")]), rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "sketch")])
-    near = (F.col("label_x") < F.col("label_y")) & _sketches_near("n_x", "n_y", "sketch_x", "sketch_y", percent)
-    across = x.join(y, (x["band"] == y["band"]) & near).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+    x, y = _heads(rest, "_x", "label", "band"), _heads(rest, "_y", "label", "band")
+    near = (F.col("label_x") < F.col("label_y")) & _sketches_near("_x", "_y", percent)
+    across = x.join(y, (x["band_x"] == y["band_y"]) & near).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
     more = _confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, shingle, percent)
     roots = connected_components(links.union(more))
 

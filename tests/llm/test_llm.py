@@ -392,6 +392,25 @@ def test_near_duplicates_at_threshold(spark):
     assert got == want
 
 
+def test_odd_sketches_of_samples(spark):
+    """Pairs of similarity 0.8 exactly pass the sketches at every size, large pairs of 0.6 never do; no large set goes unsketched."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (300, 1025, 1100, 1281, 1500, 3000, 9000, 30000):
+        for share, trials in ((0.8, 60), (0.6, 20)):
+            for _ in range(trials):
+                common = rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64) * np.uint64(2)
+                own = rng.integers(0, 1 << 63, n - len(common), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                cut = rng.integers(0, len(own) // 2 + 1) if share == 0.8 and n != 300 else len(own) // 2
+                pair = [np.unique(np.concatenate([common, part])) for part in (own[:cut], own[cut:])]
+                found = [[None if s is None else s.tolist() for s in neardup.sketches(one)] for one in pair]
+                assert any(x is not None and y is not None for x, y in zip(*found))
+                rows.append((n, share, *(v for one, two in zip(pair, found) for v in (len(one), *two))))
+    ddl = "size int, share double, " + ", ".join(f"n_{c} long, whole_{c} array<long>, sampled_{c} array<long>" for c in "ab")
+    near = spark.createDataFrame(rows, ddl).withColumn("near", neardup._sketches_near("_a", "_b", 80)).groupBy("size", "share").agg(F.avg(F.col("near").cast("int")).alias("p"))
+    got = {(r["size"], r["share"]): r["p"] for r in near.collect()}
+    assert all(p == 1 for (_, share), p in got.items() if share == 0.8) and all(p == 0 for (n, share), p in got.items() if share == 0.6)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 9), (1, 1), (None, 2), (5, 4)], "a long, b long")
     assert {(r["node"], r["root"]) for r in components.connected_components(edges).collect()} == {(5, 2), (4, 2), (3, 2), (9, 7), (8, 7)}

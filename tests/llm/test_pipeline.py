@@ -1,10 +1,12 @@
 """The pipeline's stages on the smallest tables."""
 
+import os
+
 from conftest import SF
 
 import corpus_pipeline
 from factloom.llm import decontaminate, neardup
-from factloom.llm.common import cut, table
+from factloom.llm.common import cut, keep, scratch, table, work_dir
 
 
 def test_stages(spark):
@@ -41,5 +43,20 @@ def test_stages_on_odd_rows(spark):
 
 
 def test_run_is_repeatable(spark):
+    """Two runs agree, and each leaves one table in the shared folder: its result."""
+    kept = lambda: set(os.listdir(f"{work_dir(spark).removeprefix('file:')}/factloom"))
+    cut(spark.range(1), "so that the folder is there")
+    before = kept()
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=repr) for _ in range(2))
     assert one == two
+    assert [name.rsplit("-", 1)[0] for name in kept() - before] == ["pipeline-best_fit_packing"] * 2
+
+
+def test_scratch_blocks(spark):
+    """What is cut goes with its block, what is kept goes with the next one further out."""
+    there = lambda df: os.path.exists(df._factloom_path.removeprefix("file:"))
+    with scratch():
+        with scratch():
+            inner, result = cut(spark.range(3), "inner"), keep(spark.range(4), "result")
+        assert not there(inner) and there(result) and result.count() == 4
+    assert not there(result) and there(keep(spark.range(5), "alone"))
