@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontaminate, linededup, neardup, packing, quality
-from factloom.llm.common import drop, keep, table
+from factloom.llm.common import drop, keep, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage wrote is removed once the next one has read it."""
+    """All stages over ``documents``; what a stage keeps inside goes once its result is written, that one once the next has read it."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before is not None:
             drop(before)
         before = docs
