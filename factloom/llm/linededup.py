@@ -18,8 +18,11 @@ Sets of fewer than eight words can only match equal ones or those with one word
 sets of up to eight words every set without one word.
 
 Candidates that share a key must also fit in length (n_x >= t n_y) and in position (the words that are left must suffice). What
-is left is verified on the whole sets (64-bit hashes of their words). A key that more than ``HOT`` classes share does not emit all their pairs: its
-classes are compared with the first of them, and only those without an earlier match then meet the earlier ones of fitting length.
+is left is verified on the whole sets (64-bit hashes of their words). A key that more than ``HOT`` classes share does not emit all
+their pairs: its classes are compared with the first of them, and those without an earlier match are sought anew among the lines of
+hot keys, by keys of one word more from a longer prefix. Such keys split a hot one into many, and nothing is lost as long as a
+matching pair must share l words, which holds up to ``WISEST`` words at every length. Only under keys of so many words that are
+still hot do lines without an earlier match meet all earlier ones of fitting length.
 
 Cases: null or empty texts have no lines to judge; lines without a word and lines of documents with a null doc_id are left
 alone; rows of one doc_id count as one document; ties go by doc_id and position; very long lines are judged whole; doc_ids may be
@@ -36,6 +39,8 @@ from .common import cut, drop, free_shuffles, keep, scratch, table
 PERCENT = 80
 #: Words of more occurrences are keys only together; keys of more classes are hot.
 RARE, HOT = 8, 256
+#: Words of a key at most: 1 + m (WISEST - 1) words are no more than two matching lines share, in all bands.
+WISEST = 4
 #: (least number of words, parts) of each band of lengths. Shorter lines are matched by sets without one word.
 BANDS = ((8, 2), (16, 3), (32, 6), (64, 11), (128, 22))
 BUCKET_BITS = 20
@@ -93,9 +98,9 @@ def _by_band(n: Column, values) -> Column:
     return found
 
 
-def measured_lines(docs: DataFrame, wise: int) -> DataFrame:
+def measured_lines(docs: DataFrame, wise: int, levels: bytes) -> DataFrame:
     """(doc_id, pos, k1, k2, n, prefix) of every line that has a word; k1 and k2 are hashes of its set, n is the set's size."""
-    levels = F.lit(rarity_levels(docs))
+    levels = F.lit(levels)
     level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
     coded = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     flags = lambda t: F.when(t >= F.lit(_level(HOT + 1) << 56), _OFTEN + _BUSY).when(t > F.lit((_level(RARE) + 1 << 56) - 1), _OFTEN).otherwise(0)
@@ -201,33 +206,49 @@ def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
     if wise is None:  # the number of lines is known only with the lines, so the texts' line feeds bound it
         most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
         wise = 2 if most <= MANY_CLASSES else 3
-    lines = cut(measured_lines(docs, wise), "lines")
+    levels = rarity_levels(docs)
+    lines = cut(measured_lines(docs, wise, levels), "lines")
     order = _order(lines)
     numbered = cut(lines.select("doc_id", "pos", "k1", "k2", order.alias("ord")), "line-numbers")
     classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     classes = cut(classes, "line-classes")
     drop(lines)
-
-    keyed = _keys(classes, wise)
-    busy = keyed.filter("busy")
-    hot_keys = cut(busy.groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
-    if hot_keys.isEmpty():
-        gone = _verified(_fitting(keyed, keyed, "key").union(_short_pairs(classes)), docs, order)
-    else:
-        usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
-        hot = cut(busy.join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
-        pairs = _fitting(usual, usual, "key").union(_fitting(hot, hot.filter("ord = first"), "key")).union(_short_pairs(classes))
-        gone = cut(_verified(pairs, docs, order), "lines-gone")
-        # lines of hot keys that are still without a match meet the earlier lines of a similar length
-        step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-        rest = hot.join(gone, "ord", "left_anti").select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-        gone = gone.union(_verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order))
+    gone = _matched(docs, classes, numbered, order, wise, levels)
     near = gone.distinct().withColumn("near", F.lit(True))
 
     verdicts = classes.select("k1", "k2", "ord").join(near, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     return numbered.join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
 
 
+def _matched(docs: DataFrame, classes: DataFrame, numbered: DataFrame, order: Column, wise: int, levels: bytes) -> DataFrame:
+    """(ord): classes that an earlier one matches. Classes of hot keys are sought again with longer keys until no key is hot."""
+    pairs, gone = _short_pairs(classes), None
+    while True:
+        keyed = _keys(classes, wise)
+        later = lambda rows: rows if gone is None else rows.join(_small(gone), "ord", "left_anti")  # noqa: B023, E731
+        busy = keyed.filter("busy")
+        hot_keys = cut(busy.groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
+        if hot_keys.isEmpty():
+            last = _fitting(later(keyed), keyed, "key")
+            return _verified(last.union(pairs), docs, order) if gone is None else gone.union(_verified(last, docs, order))
+        usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
+        hot = cut(busy.join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
+        met = _fitting(later(usual), usual, "key").union(_fitting(later(hot), hot.filter("ord = first"), "key"))
+        if gone is None:
+            gone = cut(_verified(met.union(pairs), docs, order), "lines-gone")
+        else:
+            gone = cut(gone.union(_verified(met, docs, order)), "lines-gone")
+        if wise >= WISEST:
+            step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+            rest = later(hot).select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+            return gone.union(_verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order))
+        wise += 1
+        hot_lines = cut(numbered.join(hot.select("ord").distinct(), "ord", "left_semi").select("doc_id", "ord"), "hot-line-numbers")
+        theirs = docs.join(hot_lines.select("doc_id").distinct(), "doc_id", "left_semi")
+        longer = measured_lines(theirs, wise, levels).withColumn("ord", order).join(_small(hot_lines.select("ord")), "ord", "left_semi")
+        classes = cut(longer.groupBy("ord").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "hot-line-classes")
+
+
 def remove_lines(docs: DataFrame) -> DataFrame:
     """Documents without their removed lines (``n_chars`` follows, if there is one); documents that lose all their words go."""
     gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("pos").alias("_gone"))

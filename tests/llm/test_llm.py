@@ -342,6 +342,20 @@ def test_line_dedup_keys(spark, monkeypatch, rare, hot, wise):
     assert {3 * r["doc_id"] + r["pos"] for r in linededup.removed_lines(docs, wise).collect()} == want
 
 
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    """Lines of few frequent words: keys grow until none is hot; lines that match and lines that nearly do, against the plain rule."""
+    monkeypatch.setattr(linededup, "HOT", 16), monkeypatch.setattr(linededup, "RARE", 0)
+    rng, pool = random.Random(16), [f"w{i}" for i in range(30)]
+    lines = [" ".join(rng.sample(pool, rng.choice((9, 10, 10, 11)))) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(lines)], DOCS)
+    sets = [set(t.split()) for t in lines]
+    want = {i for i, s in enumerate(sets) if any(len(s & o) * 5 >= 4 * len(s | o) for o in sets[:i])}
+    tried = []
+    keys = linededup._keys
+    monkeypatch.setattr(linededup, "_keys", lambda classes, wise: tried.append(wise) or keys(classes, wise))
+    assert {r["doc_id"] for r in linededup.removed_lines(docs).collect()} == want and 0 < len(want) < 900 and tried[:2] == [2, 3]
+
+
 def test_line_dedup_text_ids(spark):
     docs = spark.createDataFrame([("b", "one two three"), ("a", "three two one\n"), ("a", None)], "doc_id string, text string")
     assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {("b", 0)}
