@@ -31,6 +31,7 @@ of any ordered type; other columns stay; empty tables give empty results.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ BANDS = ((8, 2), (16, 3), (32, 6), (64, 11), (128, 22))
 BUCKET_BITS = 20
 #: Beyond so many classes, keys have three words in place of two.
 MANY_CLASSES = 1 << 31
-#: Keys or line numbers that are broadcast at most (about 16 bytes each); beyond that, the tables are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Keys or line numbers that are broadcast at most (about 80 bytes of the driver's memory each); beyond that, the tables are shuffled.
+BROADCAST_ROWS = 1 << 18
 _LOW = (1 << 56) - 1
 #: A prefix word is a number of 31 bits: 29 of its hash, whether it is often seen, whether it may be in a hot key.
 _OFTEN, _BUSY = 1, 2
@@ -75,14 +76,19 @@ def _level(count: int) -> int:
     return min(120, 2 * count.bit_length() - (count < 3 << max(0, count.bit_length() - 2)))
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """:func:`_level` of each count."""
+    starts = sorted({n for e in range(60) for n in (1 << e, 3 << e)})  # where the next level begins
+    return np.array([0, *map(_level, starts)], np.uint8)[np.searchsorted(starts, counts, "right")]
+
+
 def rarity_levels(docs: DataFrame) -> bytes:
     """For each hash bucket, the level of how many words of all documents fall into it."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
     counts = docs.select(F.explode(F.split(_plain(F.col("text"), "\n\t\x0b\x0c\r"), " ")).alias("w")).filter("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    levels = bytearray(1 << BUCKET_BITS)
-    for b, n in zip(*(c.to_pylist() for c in counts.filter("n > 1").toArrow().columns)):  # 2^20 rows at most
-        levels[b] = _level(n)
-    return bytes(levels)
+    levels, found = np.zeros(1 << BUCKET_BITS, np.uint8), counts.filter("n > 1").toArrow()  # 2^20 rows at most
+    levels[found.column("b").to_numpy()] = _levels(found.column("n").to_numpy())
+    return levels.tobytes()
 
 
 def _at_most(n: Column) -> Column:
@@ -98,28 +104,46 @@ def _by_band(n: Column, values) -> Column:
     return found
 
 
-def measured_lines(docs: DataFrame, wise: int, levels: bytes) -> DataFrame:
-    """(doc_id, pos, k1, k2, n, prefix) of every line that has a word; k1 and k2 are hashes of its set, n is the set's size."""
+def measured_lines(lines: DataFrame, wise: int, levels: bytes) -> DataFrame:
+    """(doc_id, pos, k1, k2, n, b0, b1, prefix) of every plain line that has a word; k1 and k2 are hashes of its set, n is the set's size.
+
+    b0 and b1 are the parities of how many words fall to each of 128 bits.
+    """
     levels = F.lit(levels)
     level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
     coded = F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW))))
     flags = lambda t: F.when(t >= F.lit(_level(HOT + 1) << 56), _OFTEN + _BUSY).when(t > F.lit((_level(RARE) + 1 << 56) - 1), _OFTEN).otherwise(0)
     packed = lambda t: (F.shiftright(t, 24).bitwiseAND(F.lit((1 << 29) - 1)) * 4 + flags(t)).cast("int")
     # explode() of one set: a plain column would be copied into every expression that uses it
-    sets = _lines(docs).select("doc_id", "pos", F.explode(F.array(F.sort_array(F.array_distinct(coded)))).alias("s")).filter(F.size("s") > 0)
+    sets = lines.select("doc_id", "pos", F.explode(F.array(F.sort_array(F.array_distinct(coded)))).alias("s")).filter(F.size("s") > 0)
     n = F.size("s")
     size = F.when(n <= BANDS[0][0], n).otherwise(_at_most(n) + 1 + _by_band(n, [m for _, m in BANDS]) * (wise - 1))
-    return sets.select("doc_id", "pos", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(17), "s").alias("k2"), n.alias("n"), F.transform(F.slice("s", F.lit(1), size), packed).alias("prefix"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda half: F.aggregate("s", F.lit(0).cast("long"), lambda b, h: F.when(h.bitwiseAND(F.lit(64)) == half, b.bitwiseXOR(bit(h))).otherwise(b))
+    return sets.select("doc_id", "pos", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(17), "s").alias("k2"), n.alias("n"), parity(0).alias("b0"), parity(64).alias("b1"), F.transform(F.slice("s", F.lit(1), size), packed).alias("prefix"))
 
 
-def _order(lines: DataFrame) -> Column:
-    """What orders lines by (doc_id, pos): one long where both fit, else a struct."""
-    if lines.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+def _order(lines: DataFrame) -> tuple[Column, Column, Column]:
+    """What orders lines by (doc_id, pos): one long where both fit, else a struct; and doc_id and pos as they follow from a column ``ord``."""
+    kind = lines.schema["doc_id"].dataType
+    if kind.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         low, high, pos = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("pos")).first()
         bits = (pos or 0).bit_length() + 1
         if max(abs(low or 0), abs(high or 0)).bit_length() + bits < 63:
-            return F.col("doc_id").cast("long") * F.lit(1 << bits) + F.col("pos")
-    return F.struct("doc_id", "pos")
+            back = F.shiftright("ord", bits).cast(kind), F.col("ord").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+            return F.col("doc_id").cast("long") * F.lit(1 << bits) + F.col("pos"), *back
+    return F.struct("doc_id", "pos"), F.col("ord.doc_id"), F.col("ord.pos")
+
+
+def _chosen(docs: DataFrame, ids: DataFrame, order: tuple[Column, Column, Column]) -> DataFrame:
+    """(doc_id, pos, line): the plain lines of the numbers in ``ids``; texts meet the places of their lines, and only these lines are made into rows."""
+    _, doc_id, pos = order
+    places = ids.select(doc_id.alias("doc_id"), pos.alias("pos")).groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    places = F.broadcast(places) if _few(ids) else places
+    # explode() of one array: see measured_lines
+    split = docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "at", F.explode(F.array(F.split(_plain(F.col("text")), "\n"))).alias("s"))
+    lines = split.select("doc_id", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.get(F.col("s"), p).alias("line")))).alias("l"))
+    return lines.select("doc_id", "l.pos", "l.line").filter("line is not null")
 
 
 def _keys(classes: DataFrame, wise: int) -> DataFrame:
@@ -161,30 +185,33 @@ def _short_pairs(classes: DataFrame) -> DataFrame:
     return met.select(F.greatest("x.ord", "y.ord").alias("ord_x"), F.least("x.ord", "y.ord").alias("ord_y")).filter("ord_x > ord_y")
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
     """The table, broadcast if its size has been checked."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _few(df) else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, order: Column) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, order: tuple[Column, Column, Column], maps: DataFrame) -> DataFrame:
     """Lines (by order number) with an earlier match among the pairs (ord_x later, ord_y earlier).
 
-    Bitmaps of parities come first: no more bits can differ than the sets' difference has words. One match is enough, so each line
-    is then compared with the earliest of its candidates, and with the others only if that fails.
+    Bitmaps of parities (``maps``: ord, n, b0, b1) come first: no more bits can differ than the sets' difference has words; only what
+    is left is looked up in the texts. One match is enough, so each line is then compared with the earliest of its candidates, and with
+    the others only if that fails.
     """
     ends = cut(pairs.distinct(), "line-pairs")
     free_shuffles(docs.sparkSession)
-    wanted = cut(ends.select(F.col("ord_x").alias("ord")).union(ends.select("ord_y")).distinct(), "line-ids")
-    lines = _lines(docs).withColumn("ord", order).join(_small(wanted), "ord", "left_semi")
-    sets = cut(lines.select("ord", F.array_distinct(_hashes(F.col("line"))).alias("w")).dropDuplicates(["ord"]), "line-words")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    parts = [F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(3)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(4)]
-    maps = cut(sets.select("ord", F.explode("w").alias("h")).groupBy("ord").agg(F.count("*").alias("n"), *parts), "line-maps")
     named = lambda df, c: df.select(*[F.col(x).alias(f"{x}_{c}") for x in df.columns])
-    differ = sum((F.bit_count(F.col(f"b{k}_x").bitwiseXOR(F.col(f"b{k}_y"))) for k in range(1, 4)), F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))))
+    differ = sum(F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in ("b0", "b1"))
     near = ends.join(named(maps, "x"), "ord_x").join(named(maps, "y"), "ord_y").filter(differ * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y")))
     near = cut(near.select("ord_x", "ord_y"), "line-near-pairs")
-    drop(ends, wanted, maps)
+    drop(ends)
+    wanted = cut(near.select(F.col("ord_x").alias("ord")).union(near.select("ord_y")).distinct(), "line-ids")
+    lines = _chosen(docs, wanted, order)
+    sets = cut(lines.select(order[0].alias("ord"), F.array_distinct(_hashes(F.col("line"))).alias("w")).dropDuplicates(["ord"]), "line-words")
+    drop(wanted)
 
     def similar(some):
         both = some.join(named(sets, "x"), "ord_x").join(named(sets, "y"), "ord_y")
@@ -207,22 +234,22 @@ def _removed(docs: DataFrame, wise: int | None) -> DataFrame:
         most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
         wise = 2 if most <= MANY_CLASSES else 3
     levels = rarity_levels(docs)
-    lines = cut(measured_lines(docs, wise, levels), "lines")
+    lines = cut(measured_lines(_lines(docs), wise, levels), "lines")
     order = _order(lines)
-    numbered = cut(lines.select("doc_id", "pos", "k1", "k2", order.alias("ord")), "line-numbers")
-    classes = lines.withColumn("ord", order).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    numbered = cut(lines.select("doc_id", "pos", "k1", "k2", order[0].alias("ord")), "line-numbers")
+    classes = lines.withColumn("ord", order[0]).groupBy("k1", "k2").agg(F.min("ord").alias("ord"), *[F.any_value(c).alias(c) for c in ("n", "b0", "b1", "prefix")])
     classes = cut(classes, "line-classes")
     drop(lines)
-    gone = _matched(docs, classes, numbered, order, wise, levels)
+    gone = _matched(docs, classes, order, wise, levels)
     near = gone.distinct().withColumn("near", F.lit(True))
 
     verdicts = classes.select("k1", "k2", "ord").join(near, "ord", "left").select("k1", "k2", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     return numbered.join(verdicts, ["k1", "k2"]).filter((F.col("ord") > F.col("first")) | F.col("near")).select("doc_id", "pos").distinct()
 
 
-def _matched(docs: DataFrame, classes: DataFrame, numbered: DataFrame, order: Column, wise: int, levels: bytes) -> DataFrame:
+def _matched(docs: DataFrame, classes: DataFrame, order: tuple[Column, Column, Column], wise: int, levels: bytes) -> DataFrame:
     """(ord): classes that an earlier one matches. Classes of hot keys are sought again with longer keys until no key is hot."""
-    pairs, gone = _short_pairs(classes), None
+    pairs, gone, maps = _short_pairs(classes), None, classes.select("ord", "n", "b0", "b1")
     while True:
         keyed = _keys(classes, wise)
         later = lambda rows: rows if gone is None else rows.join(_small(gone), "ord", "left_anti")  # noqa: B023, E731
@@ -230,22 +257,23 @@ def _matched(docs: DataFrame, classes: DataFrame, numbered: DataFrame, order: Co
         hot_keys = cut(busy.groupBy("key").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter(F.col("c") > HOT), "hot-keys")
         if hot_keys.isEmpty():
             last = _fitting(later(keyed), keyed, "key")
-            return _verified(last.union(pairs), docs, order) if gone is None else gone.union(_verified(last, docs, order))
+            return _verified(last.union(pairs), docs, order, maps) if gone is None else gone.union(_verified(last, docs, order, maps))
         usual = keyed.join(_small(hot_keys), "key", "left_anti").select("key", "ord", "n", "i")
         hot = cut(busy.join(_small(hot_keys), "key").select("key", "ord", "n", "i", "first"), "hot-lines")
         met = _fitting(later(usual), usual, "key").union(_fitting(later(hot), hot.filter("ord = first"), "key"))
         if gone is None:
-            gone = cut(_verified(met.union(pairs), docs, order), "lines-gone")
+            gone = cut(_verified(met.union(pairs), docs, order, maps), "lines-gone")
         else:
-            gone = cut(gone.union(_verified(met, docs, order)), "lines-gone")
+            gone = cut(gone.union(_verified(met, docs, order, maps)), "lines-gone")
         if wise >= WISEST:
             step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
             rest = later(hot).select("key", "ord", "n", "i", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-            return gone.union(_verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order))
+            return gone.union(_verified(_fitting(rest, hot.select("key", "ord", "n", "i", step.alias("step")), "key", "step"), docs, order, maps))
         wise += 1
-        hot_lines = cut(numbered.join(hot.select("ord").distinct(), "ord", "left_semi").select("doc_id", "ord"), "hot-line-numbers")
-        theirs = docs.join(hot_lines.select("doc_id").distinct(), "doc_id", "left_semi")
-        longer = measured_lines(theirs, wise, levels).withColumn("ord", order).join(_small(hot_lines.select("ord")), "ord", "left_semi")
+        # plans with the table of levels are long texts for the driver, which adaptive execution renews after each stage: here there are none to renew
+        texts = cut(_chosen(docs, hot.select("ord").distinct(), order), "hot-line-texts")
+        longer = cut(measured_lines(texts, wise, levels).withColumn("ord", order[0]), "hot-lines-measured")
+        drop(texts)
         classes = cut(longer.groupBy("ord").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "hot-line-classes")
 
 

@@ -356,6 +356,20 @@ def test_line_dedup_hot_keys(spark, monkeypatch):
     assert {r["doc_id"] for r in linededup.removed_lines(docs).collect()} == want and 0 < len(want) < 900 and tried[:2] == [2, 3]
 
 
+def test_line_dedup_reads_few_texts_again(spark, monkeypatch):
+    """Pairs that share a key but differ too much are ruled out by bitmaps: only lines that may match are looked up, whether broadcast or shuffled."""
+    lines = [" ".join(["common", f"rare{i // 4}", *(f"own{i}x{j}" for j in range(20))]) for i in range(40)]
+    lines += [lines[0] + " more", lines[5] + " more"]
+    docs = spark.createDataFrame([(i - 20, f"\n{t}", "", "", 0) for i, t in enumerate(lines)], DOCS)
+    cut = linededup.cut
+    for most in (linededup.BROADCAST_ROWS, 0):
+        looked_up = []
+        monkeypatch.setattr(linededup, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(linededup, "cut", lambda df, name: (kept := cut(df, name), name == "line-words" and looked_up.append(kept.count()))[0])  # noqa: B023
+        assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {(20, 1), (21, 1)}
+        assert looked_up == [4]
+
+
 def test_line_dedup_text_ids(spark):
     docs = spark.createDataFrame([("b", "one two three"), ("a", "three two one\n"), ("a", None)], "doc_id string, text string")
     assert {(r["doc_id"], r["pos"]) for r in linededup.removed_lines(docs).collect()} == {("b", 0)}
