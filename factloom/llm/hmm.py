@@ -182,75 +182,99 @@ class Model:
 
 
 def segments(texts: list[np.ndarray]):
-    """Symbols in rows of SEGMENT, lengths, and whether a row begins its text."""
-    rows, size, first = [], [], []
-    for own in texts:
-        for at in range(0, len(own), SEGMENT):
-            part = own[at : at + SEGMENT]
-            rows.append(np.pad(part, (0, SEGMENT - len(part)))), size.append(len(part)), first.append(at == 0)
-    order = np.argsort(-np.array(size, np.int64), kind="stable")
-    return np.array(rows, np.int64).reshape(-1, SEGMENT)[order], np.array(size, np.int64)[order], np.array(first, bool)[order]
+    """Where rows of up to SEGMENT symbols begin in the joined texts, their lengths, and whether a row begins its text; longer rows first."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    rows = -(-sizes // SEGMENT)
+    place = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+    begin = np.repeat(np.cumsum(sizes) - sizes, rows) + place * SEGMENT
+    size = np.minimum(np.repeat(sizes, rows) - place * SEGMENT, SEGMENT)
+    order = np.argsort(-size, kind="stable")
+    return begin[order], size[order], (place == 0)[order]
+
+
+def _by_step(begin: np.ndarray, size: np.ndarray, symbols: np.ndarray):
+    """Symbols of all rows step after step, and the slice of each step; rows are ordered by length, so a step's rows are the first ones."""
+    steps = int(size[0]) if len(size) else 0
+    active = np.searchsorted(-size, -np.arange(steps), "left").tolist()  # rows longer than t
+    ends = np.cumsum(active).tolist()
+    flat = np.concatenate([symbols[begin[:m] + t] for t, m in enumerate(active)]) if steps else symbols[:0]
+    return flat, [slice(end - m, end) for end, m in zip(ends, active)], active
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """The E step over some texts: expected starts, moves and emissions of every state, by scaled forward and backward passes.
 
-    Segments are ordered by length, so a step's rows are the first ones; all steps' rows lie in one array of 32-bit numbers, step after
-    step, which takes the posteriors in the end. Sums are in 64 bits.
+    Arrays have a row for each state, and in it all segments, step after step (see _by_step), as 32-bit numbers. A symbol's emissions
+    are divided by their largest, which changes no posterior and keeps numbers in range between the steps that scale, every fourth
+    and each segment's last. Sums are in 64 bits.
     """
-    symbols, size, first = segments(texts)
+    begin, size, first = segments(texts)
     out = np.zeros((STATES, 1 + STATES + ALPHABET))
-    if not len(symbols):
+    if not len(begin):
         return out
-    move, start, mean = (np.asarray(x, np.float32) for x in (model.move, model.start, model.mean))
-    steps = int(size[0])
-    active = [int(np.searchsorted(-size, -t, "left")) for t in range(steps)]  # rows longer than t
-    ends = np.cumsum(active)
-    rows = [slice(int(end) - m, int(end)) for end, m in zip(ends, active)]
-    flat = np.concatenate([symbols[:m, t] for t, m in enumerate(active)])
-    emits = np.ascontiguousarray(model.emit.T, np.float32)[flat]
-    forward, scales = np.empty_like(emits), np.empty((len(flat), 1), np.float32)
-    for t in range(steps):
-        before = np.where(first[:, None], start, mean) if t == 0 else forward[rows[t - 1]][: active[t]] @ move
-        now = np.multiply(before, emits[rows[t]], out=forward[rows[t]])
-        np.sum(now, axis=1, keepdims=True, out=scales[rows[t]])
-        now /= scales[rows[t]]
-    moves, back = np.zeros((STATES, STATES)), np.ones((active[-1], STATES), np.float32)
-    for t in range(steps - 1, 0, -1):
-        ahead = emits[rows[t]] * back / scales[rows[t]]
-        moves += forward[rows[t - 1]][: active[t]].T @ ahead
-        forward[rows[t]] *= back
-        back = np.ones((active[t - 1], STATES), np.float32)
-        np.matmul(ahead, move.T, out=back[: active[t]])
-    forward[rows[0]] *= back
-    out[:, 0] = forward[rows[0]][first].sum(axis=0, dtype=np.float64)
+    flat, rows, active = _by_step(begin, size, np.concatenate(texts))
+    emit = np.ascontiguousarray(model.emit / model.emit.max(axis=0), np.float32)
+    move, start, mean = (np.asarray(x, np.float32) for x in (model.move, model.start[:, None], model.mean[:, None]))
+    turned = np.ascontiguousarray(move.T)
+    emits = np.empty((STATES, len(flat)), np.float32)
+    for k in range(STATES):
+        emit[k].take(flat, out=emits[k], mode="clip")
+    forward, scales, now = [], [], np.where(first, start, mean)
+    for t, m in enumerate(active):
+        now = (now if t == 0 else turned @ now[:, :m]) * emits[:, rows[t]]
+        after = active[t + 1] if t + 1 < len(active) else 0
+        done = 0 if t % 4 == 3 else after  # rows from there on are scaled
+        scale = now[:, done:].sum(axis=0)
+        now[:, done:] /= scale
+        forward.append(now), scales.append((done, scale))
+    moves, back, post = np.zeros((STATES, STATES)), np.ones((STATES, active[-1]), np.float32), np.empty((STATES, len(flat)), np.float32)
+    for t in range(len(active) - 1, -1, -1):
+        np.multiply(forward[t], back, out=post[:, rows[t]])
+        if t == 0:
+            break
+        done, scale = scales[t]
+        ahead = emits[:, rows[t]] * back
+        ahead[:, done:] /= scale
+        moves += forward[t - 1][:, : active[t]] @ ahead.T
+        back = np.ones((STATES, active[t - 1]), np.float32)
+        np.matmul(move, ahead, out=back[:, : active[t]])
+    out[:, 0] = post[:, rows[0]][:, first].sum(axis=1, dtype=np.float64)
     out[:, 1 : 1 + STATES] = model.move * moves
     for k in range(STATES):
-        out[k, 1 + STATES :] = np.bincount(flat, forward[:, k], ALPHABET)
+        out[k, 1 + STATES :] = np.bincount(flat, post[k], ALPHABET)
     return out
 
 
 def log10_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Exact log10 probability of each symbol sequence, by the scaled forward recursion."""
+    """Exact log10 probability of each symbol sequence, by the forward recursion, scaled at every fourth symbol and at the last one."""
     size = np.array([len(x) for x in texts], np.int64)
     order = np.argsort(-size, kind="stable")
-    flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.empty(0, np.int64)
-    size = size[order]
-    at = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-    emit_of, total, a = np.ascontiguousarray(model.emit.T), np.zeros(len(texts)), None
-    for t in range(int(size[0]) if len(texts) else 0):
-        m = int(np.searchsorted(-size, -t, "left"))
-        a = (np.broadcast_to(model.start, (m, STATES)) if t == 0 else a[:m] @ model.move) * emit_of[flat[at[:m] + t]]
-        scale = a.sum(axis=1)
-        total[:m] += np.log10(scale)
-        a /= scale[:, None]
+    begin, size = (np.cumsum(size) - size)[order], size[order]
+    symbols, total = np.concatenate(texts) if len(texts) else np.empty(0, np.int64), np.zeros(len(texts))
+    active = np.searchsorted(-size, -np.arange(int(size[0]) if len(texts) else 0), "left").tolist()
+    emit_of, ones, a = np.ascontiguousarray(model.emit.T), np.ones(STATES), None
+    for t, (m, after) in enumerate(zip(active, [*active[1:], 0])):
+        a = (model.start if t == 0 else a[:m] @ model.move) * emit_of.take(symbols[begin[:m] + t], axis=0)
+        done = 0 if t % 4 == 3 else after  # texts from there on are scaled
+        if done < m:
+            scale = a[done:] @ ones
+            total[done:m] += np.log10(scale)
+            a[done:] /= scale[:, None]
     out = np.empty(len(texts))
     out[order] = total
     return out
 
 
 def _texts(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in column]
+    """The symbols of each row of a binary column, as parts of one array."""
+    if not len(column):
+        return []
+    column = column.cast("large_binary")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    whole = np.frombuffer(data, "<u2", ends[-1] - ends[0], 2 * ends[0]).astype(np.int64) if ends[-1] > ends[0] else np.empty(0, np.int64)
+    ends = (ends - ends[0]).tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def neighbour_sums(texts: list[np.ndarray]) -> np.ndarray:

@@ -254,6 +254,45 @@ def test_hmm_is_exact():
     assert counts[:, 0].sum() == pytest.approx(3) and counts[:, 1 + k :].sum() == pytest.approx(6) and counts[:, 1 : 1 + k].sum() == pytest.approx(3)
 
 
+def test_hmm_passes_keep_their_range():
+    """Rows are places in the joined texts; scaling at some steps only gives what scaling at every step gives, with very rare symbols too."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, hmm.ALPHABET, n) for n in (1, 2, 4, 5, 255, 256, 257, 700)]
+    begin, size, first = hmm.segments(texts)
+    assert size.tolist() == [256, 256, 256, 256, 255, 188, 5, 4, 2, 1, 1] and first.sum() == len(texts) and begin.tolist()[:4] == [267, 523, 780, 1036]
+    emit = rng.random((hmm.STATES, hmm.ALPHABET)) ** 8 + 1e-12
+    emit[:, :1000] *= 1e-9
+    model = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), 1e-6 + (1 - 12e-6) * np.eye(hmm.STATES), emit / emit.sum(axis=1, keepdims=True), np.full(hmm.STATES, 1 / hmm.STATES))
+    want, emissions = [], np.zeros((hmm.STATES, hmm.ALPHABET))
+    for text in texts:
+        a, total = model.start, 0.0
+        for t, s in enumerate(text):
+            a = (a if t == 0 else a @ model.move) * model.emit[:, s]
+            total, a = total + np.log10(a.sum()), a / a.sum()
+        want.append(total)
+        for at in range(0, len(text), hmm.SEGMENT):
+            part = text[at : at + hmm.SEGMENT]
+            ahead, back = [model.start * model.emit[:, part[0]]], [np.ones(hmm.STATES)]
+            for s in part[1:]:
+                ahead.append(ahead[-1] / ahead[-1].sum() @ model.move * model.emit[:, s])
+            for s in part[:0:-1]:
+                back.append(model.move @ (back[-1] / back[-1].sum() * model.emit[:, s]))
+            for s, f, b in zip(part, ahead, back[::-1]):
+                emissions[:, s] += f * b / (f * b).sum()
+    assert np.allclose(hmm.log10_likelihoods(model, texts), want)
+    assert np.allclose(hmm.expected_counts(model, texts)[:, 1 + hmm.STATES :], emissions, atol=1e-3)
+
+
+def test_hmm_reads_symbols():
+    """All rows of a column, of slices and of empty values."""
+    import pyarrow as pa
+
+    rows = [np.arange(n, dtype="<u2").tobytes() for n in (0, 3, 0, 400, 1, 0)]
+    for a in range(len(rows) + 1):
+        for b in range(a, len(rows) + 1):
+            assert [x.astype("<u2").tobytes() for x in hmm._texts(pa.array(rows, pa.binary()).slice(a, b - a))] == rows[a:b]
+
+
 def test_hmm_learns(spark):
     df = hmm.op6_lm_scoring(spark, SF).cache()
     held = df.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
