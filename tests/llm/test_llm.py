@@ -397,7 +397,8 @@ def test_line_dedup_hot_keys(spark, monkeypatch):
 
 def test_line_dedup_reads_few_texts_again(spark, monkeypatch):
     """Pairs that share a key but differ too much are ruled out by bitmaps: only lines that may match are looked up, whether broadcast or shuffled."""
-    lines = [" ".join(["common", f"rare{i // 4}", *(f"own{i}x{j}" for j in range(20))]) for i in range(40)]
+    rng = random.Random(4)
+    lines = [" ".join([f"rare{i // 2}", *rng.sample([f"w{j}" for j in range(100)], 19)]) for i in range(40)]
     lines += [lines[0] + " more", lines[5] + " more"]
     docs = spark.createDataFrame([(i - 20, f"\n{t}", "", "", 0) for i, t in enumerate(lines)], DOCS)
     cut = linededup.cut
