@@ -24,17 +24,29 @@ def methods(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("line"), F.col("p_brand").alias("type"), name.alias("name"), "p_size", "p_type")
 
 
-def calls(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """Line items with their place in the order. The columns that would order them further tell no calls apart."""
     from pyspark.sql import Window
 
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").withColumn("idx", place)
+
+
+def _placed(lines, m):
+    """Lines as calls inside the method of their part; parts, a thirtieth of the lines, are the hashed side."""
+    own = m.select(F.col("id").alias("l_partkey"), "type", F.col("name").alias("method"), "p_size", "p_type").hint("shuffle_hash")
+    at = {"call_id": F.concat("l_orderkey", F.lit(":"), "idx"), "line": F.col("l_partkey") + F.col("l_linenumber"), "ord": F.col("l_orderkey") * 100 + F.col("idx")}
+    return lines.join(own, "l_partkey").withColumns(at)
+
+
+def calls(spark, sf_dir):
     m = methods(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")) - 1
-    lines = table(spark, sf_dir, "lineitem").withColumn("idx", place).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "idx")
-    p, q = m.select(F.col("id").alias("l_partkey"), "type", F.col("name").alias("method"), "p_size", "p_type"), m.select(F.col("id").alias("q_id"), F.col("type").alias("q_type"), "name")
-    joined = lines.join(p, "l_partkey").join(q, (F.col("l_partkey") * 7 + F.col("l_suppkey")) % m.count() == F.col("q_id"))
+    called = m.select(F.col("id").alias("q_id"), F.col("type").alias("q_type"), "name").hint("shuffle_hash")
+    lines = _lines(spark, sf_dir).withColumn("q_id", (F.col("l_partkey") * 7 + F.col("l_suppkey")) % m.count())
+    joined = _placed(lines.join(called, "q_id").select("l_orderkey", "l_partkey", "l_linenumber", "idx", "q_type", "name"), m)
     n = F.col("l_linenumber")
     qualifier = F.when(n == 1, "").when(n == 2, "this").when(n == 3, F.col("q_type")).when(n == 4, F.concat(F.lit("f_"), "p_type")).when(n == 5, F.concat(F.lit("a.b."), "q_type")).when(n == 6, F.concat(F.lit("q_"), F.col("p_size") % 5)).otherwise("zzz")
-    return joined.select(F.concat("l_orderkey", F.lit(":"), "idx").alias("call_id"), "type", "method", "name", (F.col("l_partkey") + n).alias("line"), (F.col("l_orderkey") * 100 + F.col("idx")).alias("ord"), "l_orderkey", "l_linenumber", qualifier.alias("qualifier"))
+    return joined.select("call_id", "type", "method", "name", "line", "ord", "l_orderkey", "l_linenumber", qualifier.alias("qualifier"))
 
 
 def _brand(number):
@@ -75,7 +87,8 @@ def _usages(spark, sf_dir):
 
 
 def caller_nearest(spark, sf_dir):
-    return D.attribute_callers(calls(spark, sf_dir), D.method_refs(methods(spark, sf_dir))).select("call_id", "caller")
+    m = methods(spark, sf_dir)
+    return D.attribute_callers(_placed(_lines(spark, sf_dir), m).select("call_id", "type", "method", "line"), D.method_refs(m)).select("call_id", "caller")
 
 
 def method_lookup(spark, sf_dir):
