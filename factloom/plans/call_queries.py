@@ -68,11 +68,19 @@ def _resolved(spark, sf_dir, own=None):
     return D.resolve_calls(D.attribute_callers(calls(spark, sf_dir) if own is None else own, refs), refs, _fields(spark, sf_dir), _params(spark, sf_dir))
 
 
+def _ends(spark, sf_dir):
+    """Attributed and resolved calls with the qualified names of both ends; ``dst`` is null where unresolved."""
+    dst = F.when(F.col("callee").isNotNull(), F.concat_ws(".", "callee_type", "name"))
+    return _resolved(spark, sf_dir).withColumns({"src": F.concat_ws(".", "type", "method"), "dst": dst})
+
+
+def _called(spark, sf_dir):
+    return _ends(spark, sf_dir).filter("dst is not null").select("src", "dst", "ord")
+
+
 def _edges(spark, sf_dir):
     """All resolved calls by qualified names, written once for the queries that walk along them."""
-    names = methods(spark, sf_dir).select("id", F.concat_ws(".", "type", "name").alias("q"))
-    resolved = _resolved(spark, sf_dir).filter("callee is not null")
-    return kept(resolved.join(names.toDF("caller", "src"), "caller").join(names.toDF("callee", "dst"), "callee").select("src", "dst", "ord"), "edges")
+    return kept(_called(spark, sf_dir), "edges")
 
 
 def _endpoints(spark, sf_dir):
