@@ -117,7 +117,7 @@ def _entries(spark, sf_dir, edges):
 
 
 def entrypoints(spark, sf_dir):
-    return _entries(spark, sf_dir, _edges(spark, sf_dir))
+    return _entries(spark, sf_dir, _called(spark, sf_dir))
 
 
 def call_chains(spark, sf_dir):
