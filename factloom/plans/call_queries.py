@@ -127,10 +127,7 @@ def call_chains(spark, sf_dir):
 
 def call_sites(spark, sf_dir):
     """Chains of all calls, the unresolved ones too, with the sites of their calls."""
-    resolved = _resolved(spark, sf_dir)
-    names = methods(spark, sf_dir).select("id", F.concat_ws(".", "type", "name").alias("q"))
-    ends = resolved.join(names.toDF("caller", "src"), "caller").join(names.toDF("callee", "dst"), "callee", "left")
-    calls = kept(ends.select("src", D.shown_callee(F.col("dst"), F.col("name")).alias("dst"), "ord", F.concat("type", F.lit(".src")).alias("file_path"), "line", F.col("name").alias("call"), F.col("dst").isNotNull().alias("resolved")), "sites")
+    calls = kept(_ends(spark, sf_dir).select("src", D.shown_callee(F.col("dst"), F.col("name")).alias("dst"), "ord", F.concat("type", F.lit(".src")).alias("file_path"), "line", F.col("name").alias("call"), F.col("dst").isNotNull().alias("resolved")), "sites")
     found = D.call_sites(D.call_chains(calls, _entries(spark, sf_dir, calls.filter("resolved")), with_calls=True), calls)
     return found.select("n", "entry", "chain", F.array_join("sites.place", ",").alias("places"), F.array_join("sites.call", ",").alias("calls"))
 
