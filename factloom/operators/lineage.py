@@ -7,6 +7,8 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import kept, small
+
 
 def extract_tables(statement: Column) -> Column:
     """Names after from, join, into or update (one dot at most, quotes stripped), distinct, in order of first occurrence."""
@@ -63,7 +65,7 @@ def endpoint_flows(endpoints: DataFrame, reachable: DataFrame, usages: DataFrame
 
     endpoints: (endpoint_path, entry); reachable: (entry, node, path); usages: (owner, statement, tables) with the node's name as owner.
     """
-    return endpoints.join(reachable, "entry").join(usages, F.col("node") == F.col("owner")).select(
+    return reachable.join(small(endpoints), "entry").join(small(usages), F.col("node") == F.col("owner")).select(
         "endpoint_path", F.col("entry").alias("handler"), F.array_join("path", " -> ").alias("code_path"), "owner", "statement", F.array_join("tables", ",").alias("tables")
     )
 

@@ -45,3 +45,9 @@ def test_no_row_for_each_edge(spark, monkeypatch):
     edges = spark.createDataFrame([(f"n{a}", f"n{b}", a * 30 + b) for a in range(30) for b in range(30) if a != b], "src string, dst string, ord int")
     rows = callgraph.reachable_paths(edges, edges.selectExpr("src AS entry").distinct()).collect()
     assert len(rows) == 900 and sum(written) <= 30
+
+
+def test_flows_meet_few_endpoints_and_usages_in_place(spark):
+    reachable = spark.createDataFrame([("a", "b", ["a", "b"])], "entry string, node string, path array<string>")
+    flows = lineage.endpoint_flows(spark.createDataFrame([("/a", "a")], "endpoint_path string, entry string"), reachable, spark.createDataFrame([("b", "s", ["t"])], "owner string, statement string, tables array<string>"))
+    assert [r[:] for r in flows.collect()] == [("/a", "a", "a -> b", "b", "s", "t")] and "SortMergeJoin" not in flows._jdf.queryExecution().executedPlan().toString()
