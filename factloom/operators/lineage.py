@@ -77,7 +77,7 @@ def flow_graph(flows: DataFrame, chains: DataFrame | None = None, cap: int = 80,
     are. Without a flow, the graph has the calls of ``chains`` (n, entry, chain) in its place.
     """
     place = F.row_number().over(Window.orderBy("endpoint_path", "code_path", "owner", "statement"))
-    top = flows.orderBy("endpoint_path", "code_path", "owner", "statement").limit(cap).withColumn("n", place)
+    top = kept(flows.orderBy("endpoint_path", "code_path", "owner", "statement").limit(cap).withColumn("n", place), "top")
 
     def steps(df, nodes):
         rows = df.select("n", F.posexplode(nodes).alias("i", "node"))

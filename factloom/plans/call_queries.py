@@ -168,7 +168,7 @@ def flow_nodes(spark, sf_dir):
 
 def flow_graph(spark, sf_dir):
     flows, edges, ends = _flows(spark, sf_dir)
-    return E.flow_graph(kept(flows, "flows"), D.call_chains(edges, ends))
+    return E.flow_graph(flows, D.call_chains(edges, ends) if flows.isEmpty() else None)
 
 
 def capped_flows(spark, sf_dir):

@@ -51,3 +51,17 @@ def test_flows_meet_few_endpoints_and_usages_in_place(spark):
     reachable = spark.createDataFrame([("a", "b", ["a", "b"])], "entry string, node string, path array<string>")
     flows = lineage.endpoint_flows(spark.createDataFrame([("/a", "a")], "endpoint_path string, entry string"), reachable, spark.createDataFrame([("b", "s", ["t"])], "owner string, statement string, tables array<string>"))
     assert [r[:] for r in flows.collect()] == [("/a", "a", "a -> b", "b", "s", "t")] and "SortMergeJoin" not in flows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def flows(spark, monkeypatch):
+    """Flows from a query's plan, which may not be written whole, and no chains beside them."""
+    rows = spark.createDataFrame([(f"/{i:03}", f"{i:03}", f"{i:03} -> b", "b", "s", "t") for i in range(120)], "endpoint_path string, handler string, code_path string, owner string, statement string, tables string")
+    monkeypatch.setattr(call_queries, "_flows", lambda *_: (rows, None, None))
+    monkeypatch.setattr(call_queries, "kept", lambda df, name, **_: pytest.fail(f"{name} written"))
+    monkeypatch.setattr(call_queries.D, "call_chains", lambda *_: pytest.fail("chains walked"))
+
+
+def test_flow_graph_reads_flows_in_place(spark, flows):
+    got = {r[:] for r in call_queries.flow_graph(spark, "").collect()}
+    assert ("", "omitted", "40") in got and ("/079", "calls", "079") in got and ("/080", "calls", "080") not in got and len(got) == 163
