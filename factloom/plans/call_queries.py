@@ -163,7 +163,7 @@ def endpoint_flows(spark, sf_dir):
 
 
 def flow_nodes(spark, sf_dir):
-    return E.flow_nodes(kept(_flows(spark, sf_dir)[0], "flows"))
+    return E.flow_nodes(_flows(spark, sf_dir)[0])
 
 
 def flow_graph(spark, sf_dir):

@@ -65,3 +65,7 @@ def flows(spark, monkeypatch):
 def test_flow_graph_reads_flows_in_place(spark, flows):
     got = {r[:] for r in call_queries.flow_graph(spark, "").collect()}
     assert ("", "omitted", "40") in got and ("/079", "calls", "079") in got and ("/080", "calls", "080") not in got and len(got) == 163
+
+
+def test_flow_nodes_reads_flows_in_place(spark, flows):
+    assert collections.Counter(r["kind"] for r in call_queries.flow_nodes(spark, "").collect()) == {"endpoint": 80, "method": 81, "sql": 1, "table": 1}
