@@ -172,7 +172,7 @@ def flow_graph(spark, sf_dir):
 
 
 def capped_flows(spark, sf_dir):
-    return E.capped(kept(_flows(spark, sf_dir)[0], "flows"), ["endpoint_path", "code_path", "owner", "statement"])
+    return E.capped(_flows(spark, sf_dir)[0], ["endpoint_path", "code_path", "owner", "statement"])
 
 
 QUERIES = {f.__name__: f for f in (caller_nearest, method_lookup, call_resolution, resolution_stats, entrypoints, call_chains, reachable_paths, extract_tables, usages, annotation_usages, endpoint_flows, flow_graph, flow_nodes, call_sites, capped_flows)}

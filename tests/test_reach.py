@@ -69,3 +69,8 @@ def test_flow_graph_reads_flows_in_place(spark, flows):
 
 def test_flow_nodes_reads_flows_in_place(spark, flows):
     assert collections.Counter(r["kind"] for r in call_queries.flow_nodes(spark, "").collect()) == {"endpoint": 80, "method": 81, "sql": 1, "table": 1}
+
+
+def test_capped_flows_reads_flows_in_place(spark, flows):
+    rows = call_queries.capped_flows(spark, "").collect()
+    assert len(rows) == 101 and [r["omitted"] for r in rows if r["place"] is None] == [20]
